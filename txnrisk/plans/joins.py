@@ -16,12 +16,12 @@ _ENTITIES = "ids AS (SELECT source AS entity FROM transfers UNION SELECT target
 def _accounts(spark, sf_dir):
     """Two account rows per customer key with different names, to need the first one."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return c.withColumn("seq", F.lit(1)).unionByName(c.select("c_custkey", F.lit("other").alias("c_name"), "c_acctbal").withColumn("seq", F.lit(2)))
+    return c.withColumn("seq", F.lit(1.0)).unionByName(c.select("c_custkey", F.lit("other").alias("c_name"), "c_acctbal").withColumn("seq", F.lit(2.0)))
 
 
 @register(
     "c1_master_entities",
-    with_transfers("SELECT entity, c_name, c_acctbal, CASE WHEN c_name IS NOT NULL THEN 1 END AS seq FROM ids LEFT JOIN customer ON entity = c_custkey", _ENTITIES),
+    with_transfers("SELECT entity, c_name, c_acctbal, CASE WHEN c_name IS NOT NULL THEN 1.0::DOUBLE END AS seq FROM ids LEFT JOIN customer ON entity = c_custkey", _ENTITIES),
 )
 def c1(spark, sf_dir):
     return joins.master_entities(transfers(spark, sf_dir), _accounts(spark, sf_dir), "c_custkey", ["seq"])
