@@ -187,9 +187,9 @@ def outcome_stats(df: DataFrame, score: str, label: str, threshold: float = 0.5)
 
 
 def median_segments(df: DataFrame, column: str, out: str = "segment") -> DataFrame:
-    """Split the rows at the exact median: ``high`` is above it."""
+    """Split the rows at the exact median: ``high`` is at or above it."""
     median = quantiles(df, [column], [0.5]).select(F.col("q")[0])
-    return df.withColumn(out, F.when(F.col(column) > median.scalar(), "high").otherwise("low"))
+    return df.withColumn(out, F.when(F.col(column) >= median.scalar(), "high").otherwise("low"))
 
 
 def segment_profile(df: DataFrame, segment: str, score: str, label: str, threshold: float = 0.5) -> DataFrame:

@@ -252,7 +252,7 @@ def d15(spark, sf_dir):
         f"""SELECT segment, count(*) AS n, {sq('avg(label)', 6)} AS rate, {sq('avg(score)', 6)} AS mean_score,
 {sq('count(*) FILTER (score >= 0.5 AND label = 1)::DOUBLE / count(*) FILTER (label = 1)', 6)} AS recall,
 {sq('count(*) FILTER (score >= 0.5 AND label = 0)::DOUBLE / count(*) FILTER (label = 0)', 6)} AS fpr
-FROM (SELECT *, CASE WHEN amount > (SELECT quantile_cont(amount, 0.5) FROM scores) THEN 'high' ELSE 'low' END AS segment FROM scores) GROUP BY 1"""
+FROM (SELECT *, CASE WHEN amount >= (SELECT quantile_cont(amount, 0.5) FROM scores) THEN 'high' ELSE 'low' END AS segment FROM scores) GROUP BY 1"""
     ),
 )
 def d16(spark, sf_dir):
