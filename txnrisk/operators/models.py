@@ -112,7 +112,7 @@ def fit_folds(
     The loop is over folds; every fit and all scoring is distributed, and one
     evaluation job covers all folds and roles.
     """
-    rows = settle(assign_folds(df.select(*cols, label, *order), order, bounds, limit))
+    rows = settle(assign_folds(df.select(*dict.fromkeys([*cols, label, *order])), order, bounds, limit))
     scored = []
     for fold, *_ in bounds:
         part = rows.filter(F.col("fold") == fold)
@@ -148,7 +148,7 @@ def search(
     n: int = 3, seed: int = SEED, limit: int = WINDOW_ROWS,
 ) -> DataFrame:
     """(trial, settings, mean_pr_auc, rank) of random settings under time folds."""
-    rows = settle(assign_folds(df.select(*cols, label, *order), order, bounds, limit))
+    rows = settle(assign_folds(df.select(*dict.fromkeys([*cols, label, *order])), order, bounds, limit))
     tried = candidates(kind, n, seed)
     scored = []
     for trial, settings in enumerate(tried):
@@ -176,7 +176,7 @@ def permutation_importance(
     order, and each variant takes one column from the partner. All variants are
     evaluated in one job.
     """
-    base = settle(df.select(*cols, label, *[c for c in order if c not in cols], *[c for c in hash_cols if c not in [*cols, *order]]))
+    base = settle(df.select(*dict.fromkeys([*cols, label, *order, *hash_cols])))
     placed = ranked(base, [], order, "_at", limit)
     shuffled = ranked(base.withColumn("_hash", stable_hash(hash_cols, "permute")), [], ["_hash", *order], "_at", limit)
     partner = shuffled.select(F.col("_at").alias("_other"), *[F.col(c).alias(f"_p_{c}") for c in cols])
