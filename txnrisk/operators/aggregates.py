@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.operators.ordering import same_keys
-from txnrisk.operators.quantiles import long_form, quantiles
+from txnrisk.operators.ordering import attach
+from txnrisk.operators.quantiles import long_form, quantile_row, quantiles
 
 
 def with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
@@ -16,10 +16,7 @@ def with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], value:
     found = quantiles(df, [value], list(names.values()), keys).select(
         *keys, *[F.col("q")[i].alias(n) for i, n in enumerate(names)]
     )
-    if not keys:
-        return stats.withColumns({n: found.select(n).scalar() for n in names})
-    small, condition = same_keys(stats, found, keys)
-    return stats.join(small, condition, "left").drop(*[f"_r_{k}" for k in keys])
+    return attach(stats, found, keys, "left")
 
 
 def entity_profile(df: DataFrame, entity: str, amount: str = "amount", label: str = "is_fraud") -> DataFrame:
@@ -188,8 +185,8 @@ def outcome_stats(df: DataFrame, score: str, label: str, threshold: float = 0.5)
 
 def median_segments(df: DataFrame, column: str, out: str = "segment") -> DataFrame:
     """Split the rows at the exact median: ``high`` is at or above it."""
-    median = quantiles(df, [column], [0.5]).select(F.col("q")[0])
-    return df.withColumn(out, F.when(F.col(column) >= median.scalar(), "high").otherwise("low"))
+    median = quantile_row(df, [column], [0.5]).get(column, [None])[0]
+    return df.withColumn(out, F.when(F.col(column) >= F.lit(median), "high").otherwise("low"))
 
 
 def segment_profile(df: DataFrame, segment: str, score: str, label: str, threshold: float = 0.5) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.operators.joins import align_rows, thresholds_met
-from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, ranked, running_sum, same_keys
+from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, attach, ranked, running_sum
 from txnrisk.session import settle
 
 # Costs of a false and a missed alert, and the regulatory limits.
@@ -64,8 +64,7 @@ def curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), limit
     )
     totals = counts.groupBy(*keys).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     run = running_sum(counts, keys, [F.col("score").desc()], {"cum_tp": F.col("p"), "cum_fp": F.col("n")}, limit)
-    small, condition = same_keys(run, totals, keys)
-    return run.join(small, condition).drop(*[f"_r_{k}" for k in keys])
+    return attach(run, totals, keys)
 
 
 def curve_metrics(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -166,11 +165,10 @@ def metrics_at_share(
     keys = list(keys)
     placed = settle(_score_ranks(df, score, label, order, keys, limit))
     totals = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
-    small, condition = same_keys(placed, totals, keys)
-    rows = placed.join(small, condition)
+    rows = attach(placed, totals, keys)
     cuts = [F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(s)))) for s in shares]
     sums = [F.sum(F.when(F.col("_rank") <= c, F.col("_y")).otherwise(0)).alias(f"_h{i}") for i, c in enumerate(cuts)]
-    base = rows.groupBy(*[placed[k] for k in keys]).agg(F.first("_n").alias("_n"), F.first("_pos").alias("_pos"), *sums)
+    base = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_pos").alias("_pos"), *sums)
     flat = base.select(
         *keys, "_pos",
         F.inline(F.array(*[F.struct(F.lit(float(s)).alias("share"), c.cast("long").alias("k"), F.col(f"_h{i}").alias("hits")) for i, (s, c) in enumerate(zip(shares, cuts))])),
@@ -188,11 +186,10 @@ def alert_efficiency(
     y = (F.col(label) == 1).cast("long")
     walked = settle(running_sum(df, keys, by_score, {"_tp": y, "_alerts": F.lit(1)}, limit).select(*keys, "_tp", "_alerts"))
     totals = walked.groupBy(*keys).agg(F.max("_tp").alias("_pos"), F.max("_alerts").alias("_n"))
-    small, condition = same_keys(walked, totals, keys)
-    rows = walked.join(small, condition)
+    rows = attach(walked, totals, keys)
     goals = [F.floor(F.col("_pos") * F.lit(float(e))) for e in levels]
     first = [F.min(F.when(F.col("_tp") >= g, F.struct("_alerts", "_tp"))).alias(f"_a{i}") for i, g in enumerate(goals)]
-    base = rows.groupBy(*[walked[k] for k in keys]).agg(F.first("_n").alias("_n"), F.first("_pos").alias("_pos"), *first)
+    base = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_pos").alias("_pos"), *first)
     flat = base.select(
         *keys, "_n", "_pos",
         F.inline(F.array(*[F.struct(F.lit(float(e)).alias("level"), F.col(f"_a{i}").alias("_at")) for i, e in enumerate(levels)])),

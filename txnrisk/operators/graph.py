@@ -13,6 +13,7 @@ from txnrisk.functions.numeric import gaussian_similarity, guarded_ratio, row_ma
 from txnrisk.operators.aggregates import amount_profile, value_shares
 from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, ranked
 from txnrisk.operators.windows import group_size, short_run_features
+from txnrisk.session import settle
 
 
 def dictionary(df: DataFrame, column: str, order: Sequence, limit: int = WINDOW_ROWS) -> DataFrame:
@@ -58,7 +59,7 @@ def edge_table(
     """
     sent = sent_currency if sent_currency is not None else F.lit("Euro")
     received = received_currency if received_currency is not None else F.lit("Euro")
-    rows = ranked(df, [], order, "_rank", limit).select(
+    numbered = ranked(df, [], order, "_rank", limit).select(
         (F.col("_rank") - 1).alias("edge_id"),
         account_key(F.col("from_bank"), F.col("source")).alias("_from"),
         account_key(F.col("to_bank"), F.col("target")).alias("_to"),
@@ -70,6 +71,8 @@ def edge_table(
         F.col("payment_format").alias("_format"),
         F.col("is_fraud"),
     )
+    # the numbered rows feed three dictionaries and the joins with them
+    rows = settle(numbered)
     accounts = first_seen_codes(rows, F.col("_from"), F.col("_to"), ["edge_id"], limit)
     currencies = first_seen_codes(rows, F.col("_received"), F.col("_sent"), ["edge_id"], limit)
     formats = dictionary(rows, "_format", ["edge_id"], limit)

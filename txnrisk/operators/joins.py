@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.operators.ordering import as_columns, same_keys
+from txnrisk.operators.ordering import as_columns, attach
 
 
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
@@ -74,8 +74,7 @@ def map_frequency(df: DataFrame, frequencies: DataFrame, column: str, out: str)
 
 def align_rows(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Row alignment on the explicit row key (null-safe)."""
-    small, condition = same_keys(left, right, keys)
-    return left.join(small, condition).drop(*[f"_r_{k}" for k in keys])
+    return attach(left, right, keys)
 
 
 def thresholds_met(df: DataFrame, score: str, label: str, thresholds: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:

@@ -36,11 +36,18 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Names, prefix: str = "_r_
     condition = reduce(
         lambda a, b: a & b,
         [left[k].eqNullSafe(renamed[f"{prefix}{k}"]) for k in keys],
-        F.lit(True),
     )
     return renamed, condition
 
 
+def attach(rows: DataFrame, table: DataFrame, keys: Names, how: str = "inner") -> DataFrame:
+    """Add the columns of a per-key table to its rows; without keys the table has one row."""
+    if not keys:
+        return rows.withColumns({c: table.select(c).scalar() for c in table.columns})
+    small, condition = same_keys(rows, table, keys)
+    return rows.join(small, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def hot_keys(df: DataFrame, keys: Names, limit: int = WINDOW_ROWS) -> DataFrame | None:
     """Keys with too many rows for one task, or None when there are none.
 
@@ -177,10 +184,8 @@ def running_sum(
     totals = placed.groupBy(*by).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums])
-    local = inside(placed, by, ["_pos"])
-    small, condition = same_keys(local, offsets, by)
-    done = local.join(small, condition).withColumns(
+    done = attach(inside(placed, by, ["_pos"]), offsets, by).withColumns(
         {n: F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums}
     )
-    done = done.drop("_pos", "_chunk", *[f"_r_{k}" for k in by], *[f"_o_{n}" for n in sums])
+    done = done.drop("_pos", "_chunk", *[f"_o_{n}" for n in sums])
     return done if cold is None else inside(cold, keys, cols).unionByName(done)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.operators.ordering import WINDOW_ROWS, running_sum, same_keys
+from txnrisk.operators.ordering import WINDOW_ROWS, attach, running_sum
 from txnrisk.session import settle
 
 
@@ -34,8 +34,7 @@ def quantiles_of_counts(
     keys = list(keys)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     running = running_sum(counts, keys, ["value"], {"_seen": F.col("n")}, limit)
-    small, condition = same_keys(running, totals, keys)
-    rows = running.join(small, condition)
+    rows = attach(running, totals, keys)
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("_seen") > position, F.col("value")))

@@ -31,9 +31,24 @@ def correlations_with(df: DataFrame, cols: Sequence[str], target: str) -> DataFr
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, r) for each pair of columns, in one aggregation over pairwise complete rows."""
+    """(a, b, r) for each pair of columns over their pairwise complete rows.
+
+    Columns without nulls are standardised by one first pass, so that each of their
+    pairs costs one sum; only pairs with nulls need their own moments.
+    """
     pairs = list(combinations(cols, 2))
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    moments = [F.struct(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in cols]
+    first = values.agg(F.count(F.lit(1)).alias("_rows"), *moments).first()
+    whole = {c for c in cols if first[c]["n"] == first["_rows"] and first[c]["s"]}
+    z = {c: (F.col(c) - F.lit(first[c]["m"])) / F.lit(first[c]["s"]) for c in whole}
+
+    def pair(a: str, b: str) -> Column:
+        if a in whole and b in whole:
+            return F.sum(z[a] * z[b]) / F.lit(float(first["_rows"] - 1))
+        return F.corr(a, b)
+
+    row = values.agg(*[pair(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.inline(F.array(*cells)))
 

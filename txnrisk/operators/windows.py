@@ -11,10 +11,10 @@ from txnrisk.functions.dates import micros
 from txnrisk.functions.numeric import guarded_ratio
 from txnrisk.operators.ordering import (
     WINDOW_ROWS,
+    attach,
     framed,
     hot_keys,
     running_sum,
-    same_keys,
 )
 
 DAY_MICROS = 86_400_000_000
@@ -130,8 +130,7 @@ def _swept_times(df: DataFrame, key: str, value: str, days: Sequence[int], limit
     level = running_sum(steps, [key], ["_t"], sums, limit).select(
         key, "_t", *[F.col(f"_sum_{d}").cast("double").alias(f"_sum_{d}") for d in days], *[f"_cnt_{d}" for d in days]
     )
-    small, condition = same_keys(df, level, [key, "_t"])
-    return df.join(small, condition).drop(f"_r_{key}", "_r__t")
+    return attach(df, level, [key, "_t"])
 
 
 def _swept_rows(
@@ -252,21 +251,17 @@ def group_size(df: DataFrame, keys: Sequence[str], out: str, counted: str | None
     """
     what = F.count(F.lit(1)) if counted is None else F.count(counted)
     sizes = df.groupBy(*keys).agg(what.alias(out))
-    small, condition = same_keys(df, sizes, keys)
-    return df.join(small, condition, "left").drop(*[f"_r_{k}" for k in keys])
+    return attach(df, sizes, keys, "left")
 
 
 def first_drop(df: DataFrame, keys: Sequence[str], order: str, value: str, share: float = 0.95) -> DataFrame:
     """Ratio of each period's value to the first period's, and the first period below ``share``.
 
-    Two aggregates and two joins on a per-period table; no window.
+    Aggregates of a per-period table, added back to it; no window.
     """
     keys = list(keys)
     base = df.groupBy(*keys).agg(F.min_by(value, order).alias("base_value"))
-    small, condition = same_keys(df, base, keys)
-    rated = df.join(small, condition).drop(*[f"_r_{k}" for k in keys])
-    rated = rated.withColumn("ratio", F.col(value) / F.nullif(F.col("base_value"), F.lit(0.0)))
+    rated = attach(df, base, keys).withColumn("ratio", F.col(value) / F.nullif(F.col("base_value"), F.lit(0.0)))
     low = rated.groupBy(*keys).agg(F.min(F.when(F.col("ratio") < share, F.col(order))).alias("first_drop"))
-    small, condition = same_keys(rated, low, keys)
-    return rated.join(small, condition).drop(*[f"_r_{k}" for k in keys])
+    return attach(rated, low, keys)
 
