@@ -60,7 +60,7 @@ def key_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return joined.agg(
         F.count(F.lit(1)).alias("n_keys"),
         F.count("_hit").alias("n_shared"),
-        (F.count("_hit") / F.count(F.lit(1))).alias("overlap_rate"),
+        (F.count("_hit") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("overlap_rate"),
     )
 
 

@@ -54,12 +54,12 @@ def hot_keys(df: DataFrame, keys: Names, limit: int = WINDOW_ROWS) -> DataFrame
     The result has fewer than ``MAX_HOT_KEYS`` rows by construction (each holds more
     than 1/MAX_HOT_KEYS of the input), which is what makes broadcasting it safe.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    top, total = sizes.agg(F.max("_rows"), F.sum("_rows")).first()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    top, total = sizes.agg(F.max("__rows"), F.sum("__rows")).first()
     cut = max(limit, (total or 0) // MAX_HOT_KEYS)
     if (top or 0) <= cut:
         return None
-    return sizes.filter(F.col("_rows") > cut).select(*keys)
+    return sizes.filter(F.col("__rows") > cut).select(*keys)
 
 
 def split_hot(df: DataFrame, keys: Names, hot: DataFrame) -> tuple[DataFrame | None, DataFrame]:
@@ -82,17 +82,17 @@ def global_rank(df: DataFrame, order: Order, out: str = "rank") -> DataFrame:
     placed = settle(
         df.repartitionByRange(*cols)
         .sortWithinPartitions(*cols)
-        .withColumn("_slot", F.monotonically_increasing_id())
-    ).withColumn("_part", F.shiftright("_slot", _LOCAL_BITS))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    local = F.col("_slot").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+        .withColumn("__slot", F.monotonically_increasing_id())
+    ).withColumn("__part", F.shiftright("__slot", _LOCAL_BITS))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    local = F.col("__slot").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     # one row per range partition: the broadcast does not grow with the rows
     return (
-        placed.join(F.broadcast(starts), "_part")
-        .withColumn(out, (F.col("_start") + local).cast("long"))
-        .drop("_part", "_slot", "_start")
+        placed.join(F.broadcast(starts), "__part")
+        .withColumn(out, (F.col("__start") + local).cast("long"))
+        .drop("__part", "__slot", "__start")
     )
 
 
@@ -109,14 +109,14 @@ def ranked(df: DataFrame, keys: Names, order: Order, out: str = "rank", limit: i
     if hot is None:
         return plain(df)
     cold, warm = split_hot(df, keys, hot)
-    placed = global_rank(warm, [*keys, *cols], "_pos")
+    placed = global_rank(warm, [*keys, *cols], "__pos")
     if keys:
-        firsts = placed.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+        firsts = placed.groupBy(*keys).agg(F.min("__pos").alias("__first"))
         small, condition = same_keys(placed, firsts, keys)
         placed = placed.join(F.broadcast(small), condition).drop(*[f"_r_{k}" for k in keys])
     else:
-        placed = placed.withColumn("_first", F.lit(0))
-    done = placed.withColumn(out, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")
+        placed = placed.withColumn("__first", F.lit(0))
+    done = placed.withColumn(out, F.col("__pos") - F.col("__first") + 1).drop("__pos", "__first")
     return done if cold is None else plain(cold).unionByName(done)
 
 
@@ -140,15 +140,15 @@ def framed(
         return df.withColumns(columns(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*cols)))
     cold, warm = split_hot(df, keys, hot)
     span = max(limit, lookback, 1)
-    chunk = F.floor(F.col("_pos") / span).cast("long")
-    own = F.struct(chunk.alias("_chunk"), F.lit(True).alias("_own"))
-    halo = F.struct((chunk + 1).alias("_chunk"), F.lit(False).alias("_own"))
-    near_end = F.col("_pos") % span >= span - lookback
-    placed = global_rank(warm, [*keys, *cols], "_pos").select(
+    chunk = F.floor(F.col("__pos") / span).cast("long")
+    own = F.struct(chunk.alias("__chunk"), F.lit(True).alias("__own"))
+    halo = F.struct((chunk + 1).alias("__chunk"), F.lit(False).alias("__own"))
+    near_end = F.col("__pos") % span >= span - lookback
+    placed = global_rank(warm, [*keys, *cols], "__pos").select(
         "*", F.inline(F.when(near_end, F.array(own, halo)).otherwise(F.array(own)))
     )
-    spec = Window.partitionBy(*keys, "_chunk").orderBy("_pos")
-    done = placed.withColumns(columns(spec)).filter("_own").drop("_own", "_chunk", "_pos")
+    spec = Window.partitionBy(*keys, "__chunk").orderBy("__pos")
+    done = placed.withColumns(columns(spec)).filter("__own").drop("__own", "__chunk", "__pos")
     if cold is None:
         return done
     return cold.withColumns(columns(Window.partitionBy(*keys).orderBy(*cols))).unionByName(done)
@@ -177,15 +177,15 @@ def running_sum(
     if hot is None:
         return inside(df, keys or [F.lit(0)], cols)
     cold, warm = split_hot(df, keys, hot)
-    placed = global_rank(warm, [*keys, *cols], "_pos").withColumn(
-        "_chunk", F.floor(F.col("_pos") / max(limit, 1)).cast("long")
+    placed = global_rank(warm, [*keys, *cols], "__pos").withColumn(
+        "__chunk", F.floor(F.col("__pos") / max(limit, 1)).cast("long")
     )
-    by = [*keys, "_chunk"]
-    totals = placed.groupBy(*by).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums])
-    done = attach(inside(placed, by, ["_pos"]), offsets, by).withColumns(
-        {n: F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums}
+    by = [*keys, "__chunk"]
+    totals = placed.groupBy(*by).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, *[F.sum(f"__t_{n}").over(before).alias(f"__o_{n}") for n in sums])
+    done = attach(inside(placed, by, ["__pos"]), offsets, by).withColumns(
+        {n: F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)) for n in sums}
     )
-    done = done.drop("_pos", "_chunk", *[f"_o_{n}" for n in sums])
+    done = done.drop("__pos", "__chunk", *[f"__o_{n}" for n in sums])
     return done if cold is None else inside(cold, keys, cols).unionByName(done)

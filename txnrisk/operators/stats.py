@@ -16,6 +16,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnrisk.functions.labels import effect_label
 from txnrisk.operators.encoding import standard_scale
@@ -24,9 +25,15 @@ from txnrisk.operators.quantiles import long_form, quantiles
 from txnrisk.session import settle
 
 
+def safe_corr(a: str, b: str) -> Column:
+    """Correlation over rows where both are known; null instead of an error for a constant."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.covar_samp(a, b) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
+
+
 def correlations_with(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """(variable, r): correlation of each column with one target, in one aggregation."""
-    row = df.agg(*[F.corr(c, target).alias(c) for c in cols])
+    row = df.agg(*[safe_corr(c, target).alias(c) for c in cols])
     return row.unpivot([], list(cols), "variable", "r")
 
 
@@ -46,7 +53,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     def pair(a: str, b: str) -> Column:
         if a in whole and b in whole:
             return F.sum(z[a] * z[b]) / F.lit(float(first["_rows"] - 1))
-        return F.corr(a, b)
+        return safe_corr(a, b)
 
     row = values.agg(*[pair(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
@@ -126,7 +133,7 @@ def ks_two_sample(df: DataFrame, cols: Sequence[str], label: str, limit: int = W
     return ks_of_counts(class_counts(df, cols, label), limit)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Normal two-sided p-value; runs on result rows, one per feature."""
     for z in batches:

@@ -10,9 +10,14 @@ from txnrisk.session import scratch_path
 from txnrisk.sources import pattern_files, readers, writers
 from txnrisk.sources.canonical import ROW_KEY, line_scores, pattern_rows, table, transfers
 
-ORDERS = T.StructType.fromDDL(
-    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp_ntz, o_orderpriority string"
+ORDERS = (
+    T.StructType()
+    .add("o_orderkey", T.LongType())
+    .add("o_custkey", T.LongType())
+    .add("o_orderstatus", T.StringType())
+    .add("o_totalprice", T.DoubleType())
+    .add("o_orderdate", T.TimestampNTZType())
+    .add("o_orderpriority", T.StringType())
 )
 ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
