@@ -62,7 +62,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) - 1 AS i FROM scores),
 folds AS (SELECT r.*, fold, CASE WHEN i < tr THEN 'train' ELSE 'test' END AS role FROM r JOIN f ON i < tr OR (i >= s AND i < e))"""
 
 
-_K4 = _fold_sql("SELECT CAST(k AS INT) AS fold, n - (5 - k) * 2000 - 2000 - 100 AS tr, n - (5 - k) * 2000 - 2000 AS s, n - (5 - k) * 2000 AS e FROM n, range(5) t(k)")
+_K4 = _fold_sql("SELECT CAST(k AS INT) AS fold, greatest(0, e - 2000) - 100 AS tr, greatest(0, e - 2000) AS s, e FROM (SELECT k, greatest(2000, n - (5 - k) * 2000) AS e FROM n, range(5) t(k)) WHERE greatest(0, e - 2000) - 100 > 0")
 _K5 = _fold_sql("SELECT CAST(k AS INT) AS fold, n - (5 - k) * (n // 6) AS tr, n - (5 - k) * (n // 6) AS s, n - (5 - k - 1) * (n // 6) AS e FROM n, range(5) t(k)")
 
 

@@ -22,10 +22,13 @@ QS = "[0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]"
 
 
 def _binned_sql(c):
+    """Quantile bins for more than ten distinct values, else a category per value."""
     edges = f"(SELECT list_sort(list_distinct(quantile_cont({c}, {QS}))) FROM b)"
+    many = f"(SELECT count(DISTINCT {c}) > 10 FROM b)"
+    number = f"CASE WHEN {many} THEN greatest(1, len(list_filter({edges}, lambda x: x < {c}))) END"
     return (
-        f"SELECT '{c}' AS v, CAST(greatest(1, len(list_filter({edges}, lambda x: x < {c}))) AS VARCHAR) AS bin, "
-        f"greatest(1, len(list_filter({edges}, lambda x: x < {c}))) AS bin_no, {c} AS val, is_fraud FROM b WHERE {c} IS NOT NULL"
+        f"SELECT '{c}' AS v, coalesce(CAST({number} AS VARCHAR), CAST({c} AS VARCHAR), '**MISSING**') AS bin, "
+        f"{number} AS bin_no, {c} AS val, is_fraud FROM b WHERE {c} IS NOT NULL OR NOT {many}"
     )
 
 
@@ -76,7 +79,7 @@ def i3(spark, sf_dir):
     "i4_monotonicity",
     with_transfers(
         """SELECT v AS variable, coalesce(bool_and(d >= 0), true) OR coalesce(bool_and(d <= 0), true) AS is_monotonic FROM
-(SELECT v, woe - lag(woe) OVER (PARTITION BY v ORDER BY low) AS d FROM w WHERE bin_no IS NOT NULL) GROUP BY 1""",
+(SELECT v, woe - lag(woe) OVER (PARTITION BY v ORDER BY low) AS d FROM w WHERE low IS NOT NULL) GROUP BY 1""",
         IV_BASE, _LONG, _CT, _W,
     ),
 )
