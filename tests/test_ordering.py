@@ -45,7 +45,7 @@ def test_global_rank_descending_order(skewed):
 
 def test_hot_keys_are_bounded_and_found(skewed):
     assert ordering.hot_keys(skewed, ["k"], 1000) is None
-    assert [r["k"] for r in ordering.hot_keys(skewed, ["k"], 200).collect()] == ["hot"]
+    assert [r["k"] for r in ordering.hot_keys(skewed, ["k"], 200).keys.collect()] == ["hot"]
 
 
 @pytest.mark.parametrize("limit", [10_000, 100, 7, 1])

@@ -48,6 +48,13 @@ def test_pattern_blocks_by_regex(spark, pattern_path):
     assert [(r["type"], r["characteristics"]) for r in out][::2] == [("FAN", "-OUT:  Max 2-degree Fan-Out"), ("CYCLE", "Max 2 hops")]
 
 
+def test_block_without_end(spark, tmp_path):
+    path = tmp_path / "p.txt"
+    path.write_text(PATTERNS.replace("END LAUNDERING ATTEMPT - FAN-OUT\n", ""))
+    assert pattern_files.read_patterns(spark, str(path)).count() == 4
+    assert {r["type"] for r in pattern_files.read_pattern_blocks(spark, str(path)).collect()} == {"CYCLE"}
+
+
 def test_unknown_types_are_told_apart_in_the_full_column(spark, tmp_path):
     path = tmp_path / "p.txt"
     path.write_text(PATTERNS.replace("FAN-OUT:", "FAN-IN:").replace("CYCLE:", "SCATTER-GATHER:"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from txnrisk.session import settle
 WINDOW_ROWS = 1_000_000
 # A key is hot only above this share of all rows, so there are fewer hot keys than this.
 MAX_HOT_KEYS = 100_000
+# Rows per task aimed at when rows of hot keys are range partitioned.
+RANGE_TASK_ROWS = 2_000_000
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id above, row index below
 
 Names = Sequence[str]
@@ -48,39 +51,51 @@ def attach(rows: DataFrame, table: DataFrame, keys: Names, how: str = "inner") -
     return rows.join(small, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Names, limit: int = WINDOW_ROWS) -> DataFrame | None:
-    """Keys with too many rows for one task, or None when there are none.
+def largest_group(df: DataFrame, keys: Names) -> int:
+    """Rows of the largest group, from a map-side combined count."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).agg(F.max("__rows")).first()[0] or 0
 
-    The result has fewer than ``MAX_HOT_KEYS`` rows by construction (each holds more
-    than 1/MAX_HOT_KEYS of the input), which is what makes broadcasting it safe.
+
+class HotKeys(NamedTuple):
+    keys: DataFrame
+    rows: int
+
+
+def hot_keys(df: DataFrame, keys: Names, limit: int = WINDOW_ROWS) -> HotKeys | None:
+    """Keys with too many rows for one task and the size of the input, or None if there are none.
+
+    There are fewer than ``MAX_HOT_KEYS`` of them by construction (each holds more than
+    1/MAX_HOT_KEYS of the input), which is what makes broadcasting them safe.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     top, total = sizes.agg(F.max("__rows"), F.sum("__rows")).first()
     cut = max(limit, (total or 0) // MAX_HOT_KEYS)
     if (top or 0) <= cut:
         return None
-    return sizes.filter(F.col("__rows") > cut).select(*keys)
+    return HotKeys(sizes.filter(F.col("__rows") > cut).select(*keys), total)
 
 
-def split_hot(df: DataFrame, keys: Names, hot: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+def split_hot(df: DataFrame, keys: Names, hot: HotKeys) -> tuple[DataFrame | None, DataFrame]:
     """(rows of ordinary keys, rows of hot keys). Without keys every row is hot."""
     if not keys:
         return None, df
-    small, condition = same_keys(df, hot, keys)
+    small, condition = same_keys(df, hot.keys, keys)
     small = F.broadcast(small)  # bounded by MAX_HOT_KEYS
     return df.join(small, condition, "left_anti"), df.join(small, condition, "left_semi")
 
 
-def global_rank(df: DataFrame, order: Order, out: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: Order, out: str = "rank", rows: int = 0) -> DataFrame:
     """0-based position of each row in the total order, without a one-task window.
 
     Range partitioning sorts the rows over all tasks; the position is the row's index
     in its partition plus the sizes of the partitions before it. The partition-based
     id is settled first, since a recomputed range partitioning may cut elsewhere.
+    ``rows``, if known, sets the number of tasks above the session's default.
     """
     cols = as_columns(order)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_TASK_ROWS))
     placed = settle(
-        df.repartitionByRange(*cols)
+        df.repartitionByRange(tasks, *cols)
         .sortWithinPartitions(*cols)
         .withColumn("__slot", F.monotonically_increasing_id())
     ).withColumn("__part", F.shiftright("__slot", _LOCAL_BITS))
@@ -109,7 +124,7 @@ def ranked(df: DataFrame, keys: Names, order: Order, out: str = "rank", limit: i
     if hot is None:
         return plain(df)
     cold, warm = split_hot(df, keys, hot)
-    placed = global_rank(warm, [*keys, *cols], "__pos")
+    placed = global_rank(warm, [*keys, *cols], "__pos", hot.rows)
     if keys:
         firsts = placed.groupBy(*keys).agg(F.min("__pos").alias("__first"))
         small, condition = same_keys(placed, firsts, keys)
@@ -144,7 +159,7 @@ def framed(
     own = F.struct(chunk.alias("__chunk"), F.lit(True).alias("__own"))
     halo = F.struct((chunk + 1).alias("__chunk"), F.lit(False).alias("__own"))
     near_end = F.col("__pos") % span >= span - lookback
-    placed = global_rank(warm, [*keys, *cols], "__pos").select(
+    placed = global_rank(warm, [*keys, *cols], "__pos", hot.rows).select(
         "*", F.inline(F.when(near_end, F.array(own, halo)).otherwise(F.array(own)))
     )
     spec = Window.partitionBy(*keys, "__chunk").orderBy("__pos")
@@ -177,7 +192,7 @@ def running_sum(
     if hot is None:
         return inside(df, keys or [F.lit(0)], cols)
     cold, warm = split_hot(df, keys, hot)
-    placed = global_rank(warm, [*keys, *cols], "__pos").withColumn(
+    placed = global_rank(warm, [*keys, *cols], "__pos", hot.rows).withColumn(
         "__chunk", F.floor(F.col("__pos") / max(limit, 1)).cast("long")
     )
     by = [*keys, "__chunk"]

@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.operators.ordering import WINDOW_ROWS, attach, running_sum
+from txnrisk.operators.ordering import WINDOW_ROWS, attach, largest_group, running_sum
 from txnrisk.session import settle
 
+# Most distinct values per group for which the built-in percentile is used.
+MAP_VALUES = 100_000
+
 
 def long_form(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """keys..., column, value (double): one row per value of the listed columns."""
@@ -28,10 +31,15 @@ def quantiles_of_counts(
 ) -> DataFrame:
     """keys..., n, q: array of linearly interpolated quantiles, from (keys, value, n) rows.
 
-    The value at 0-based position i is the smallest one whose running count exceeds i,
+    The built-in exact percentile keeps one map entry per distinct value of a group, so
+    it serves groups counted to be small. Otherwise: the value at 0-based position i is the smallest one whose running count exceeds i,
     so each quantile needs two minima and no group is ever collected.
     """
     keys = list(keys)
+    if largest_group(counts, keys) <= min(limit, MAP_VALUES):
+        return counts.groupBy(*keys).agg(
+            F.sum("n").alias("n"), F.percentile("value", [float(p) for p in probs], F.col("n")).alias("q")
+        )
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     running = running_sum(counts, keys, ["value"], {"_seen": F.col("n")}, limit)
     rows = attach(running, totals, keys)

@@ -13,7 +13,7 @@ from txnrisk.operators.ordering import (
     WINDOW_ROWS,
     attach,
     framed,
-    hot_keys,
+    largest_group,
     running_sum,
 )
 
@@ -102,7 +102,7 @@ def rolling_days(
     df = df.withColumn("_t", micros(F.col(ts)))
     if tie_mode == "rows":
         return finish(_swept_rows(df, key, value, days, tiebreak, chunk_rows))
-    if hot_keys(df, [key], limit) is None:
+    if largest_group(df, [key]) <= limit:
         return finish(plain(df))
     return finish(_swept_times(df, key, value, days, chunk_rows))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.operators.ordering import WINDOW_ROWS, running_sum, same_keys
+from txnrisk.operators.ordering import WINDOW_ROWS, attach, running_sum
 from txnrisk.session import settle
 
 BEGIN, END = "BEGIN LAUNDERING ATTEMPT", "END LAUNDERING ATTEMPT"
@@ -26,7 +26,7 @@ def _header_type(header: Column, types: list[str]) -> Column:
 
 
 def pattern_lines(spark: SparkSession, path: str, limit: int = WINDOW_ROWS) -> DataFrame:
-    """(file, block, position, header, line) for each line inside a block.
+    """(file, block, closed, header, line) for each line between BEGIN and END.
 
     Lines are numbered in file order and the block is the running count of BEGIN lines,
     so a block of any size is spread over tasks; it is never read as one record.
@@ -41,12 +41,14 @@ def pattern_lines(spark: SparkSession, path: str, limit: int = WINDOW_ROWS) -> D
     lines = settle(lines)
     starts = F.col("line").startswith(BEGIN).cast("int")
     ends = F.col("line").startswith(END).cast("int")
-    marked = running_sum(lines, ["file"], ["_start", "_id"], {"block": starts, "_ended": ends}, limit)
-    headers = marked.filter(F.col("line").startswith(BEGIN)).select("file", "block", F.col("line").alias("header"))
-    inside = (F.col("block") > 0) & (F.col("block") > F.col("_ended")) & (F.length("line") > 0)
-    body = marked.filter(inside & ~F.col("line").startswith(BEGIN))
-    small, condition = same_keys(body, headers, ["file", "block"])
-    return body.join(small, condition).select("file", "block", "_start", "_id", "header", "line")
+    numbered = running_sum(lines, ["file"], ["_start", "_id"], {"block": starts}, limit)
+    marked = running_sum(numbered, ["file", "block"], ["_start", "_id"], {"_ended": ends}, limit)
+    headers = marked.groupBy("file", "block").agg(
+        F.max(F.when(starts == 1, F.col("line"))).alias("header"), F.max(ends).alias("closed")
+    )
+    inside = (F.col("block") > 0) & (F.col("_ended") == 0) & (starts == 0) & (F.length("line") > 0)
+    body = attach(marked.filter(inside), headers, ["file", "block"])
+    return body.select("file", "block", "closed", "_start", "_id", "header", "line")
 
 
 def _transactions(lines: DataFrame) -> DataFrame:
@@ -89,11 +91,12 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
 def read_pattern_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Transactions with the header split into ``type`` and ``characteristics``.
 
-    The type ends at the first non-word character, so FAN-OUT gives FAN. The rows stay
+    The type ends at the first non-word character, so FAN-OUT gives FAN. Blocks without
+    an END line are left out. The rows stay
     flat, with block and line order, instead of one nested list per block.
     """
     pattern = BEGIN + r" - (\w+):?\s*(.*)"
-    rows = _transactions(pattern_lines(spark, path)).filter(F.col("header").rlike(pattern))
+    rows = _transactions(pattern_lines(spark, path)).filter(F.col("header").rlike(pattern) & (F.col("closed") == 1))
     return rows.select(
         "file",
         "block",
