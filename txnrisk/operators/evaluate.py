@@ -281,9 +281,9 @@ def compare_models(
 
 def normalise_columns(df: DataFrame, cols: Sequence[str], by: str = "minmax") -> DataFrame:
     """Column-wise min-max or maximum scaling of a comparison table."""
-    bounds = df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols])
-    lo = {c: bounds.select(f"lo_{c}").scalar() for c in cols}
-    hi = {c: bounds.select(f"hi_{c}").scalar() for c in cols}
+    bounds = df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
+    lo = {c: F.lit(bounds[f"lo_{c}"]) for c in cols}
+    hi = {c: F.lit(bounds[f"hi_{c}"]) for c in cols}
     if by == "max":
         return df.withColumns({c: F.col(c) / F.nullif(hi[c], F.lit(0.0)) for c in cols})
     return df.withColumns({c: ratio(F.col(c) - lo[c], hi[c] - lo[c]) for c in cols})

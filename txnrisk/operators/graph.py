@@ -121,7 +121,8 @@ def degree_table(df: DataFrame, src: str = "source", dst: str = "target", distin
     edges = df.select(src, dst)
     if distinct:
         edges = edges.distinct()
-    nodes = _degrees(edges, src, dst).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
+    # one row per account, read again for the number of accounts
+    nodes = settle(_degrees(edges, src, dst)).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
     n = nodes.agg(F.count(F.lit(1))).scalar()
     divisor = (n - 1) if distinct else n
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions.dates import micros
 from txnrisk.operators.ordering import WINDOW_ROWS, ranked
+from txnrisk.session import settle
 
 DAY_SECONDS = 86_400
 
@@ -76,12 +77,15 @@ def validate_splits(df: DataFrame, split: str, ts: str, label: str, max_differen
             F.avg(F.when(own, F.col(label))).alias(f"{s}_rate"),
             F.count_if(own).alias(f"{s}_rows"),
         ]
-    stats = df.agg(*per)
-    train_max, val_max = stats.select("_train_max").scalar(), stats.select("_val_max").scalar()
+    # the bounds of the splits must be known before overlapping rows can be counted
+    found = df.agg(*per).first().asDict()
+    train_max, val_max = F.lit(found["_train_max"]), F.lit(found["_val_max"])
     overlaps = df.agg(
         F.count_if((F.col(split) == "val") & (t <= train_max)).alias("overlap_val"),
         F.count_if((F.col(split) == "test") & (t <= val_max)).alias("overlap_test"),
     )
+    types = {c: "double" if c.endswith("_rate") else "long" for c in found}
+    stats = overlaps.withColumns({c: F.lit(v).cast(types[c]) for c, v in found.items()})
     whole = (F.col("_test_max") - F.col("_train_min")).cast("double")
     shares = {f"{s}_share": (F.col(f"_{s}_max") - F.col(f"_{s}_min")) / F.nullif(whole, F.lit(0.0)) for s in names}
     rates = [F.col(f"{s}_rate") for s in names]
@@ -91,8 +95,6 @@ def validate_splits(df: DataFrame, split: str, ts: str, label: str, max_differen
         stats.withColumns(
             {
                 "is_ordered": F.coalesce(ordered, F.lit(False)),
-                "overlap_val": overlaps.select("overlap_val").scalar(),
-                "overlap_test": overlaps.select("overlap_test").scalar(),
                 **shares,
                 "max_rate_difference": gap,
                 "is_similar": F.coalesce(gap < max_difference, F.lit(False)),
@@ -169,7 +171,7 @@ def best_day_cuts(df: DataFrame, ts: str, shares: Sequence[float] = (0.6, 0.2, 0
     the second cut, so its best place is one of the two days around one known point;
     both are found by a running maximum and minimum over the sorted day table.
     """
-    days = day_totals(df, ts)
+    days = settle(day_totals(df, ts))
     total = days.agg(F.sum("n").cast("double"))
     rows = days.withColumn("_total", total.scalar())
     # where the weighted errors of parts two and three are equal
@@ -197,11 +199,9 @@ def best_day_cuts(df: DataFrame, ts: str, shares: Sequence[float] = (0.6, 0.2, 0
         return F.when(usable, _cut_error(F.col("before"), b, F.col("_total"), shares))
 
     scored = near.withColumn("error", F.least(error_at("_lo"), error_at("_hi"), error_at("_next")))
-    best = scored.filter(F.col("error").isNotNull()).agg(
-        F.min(F.struct("error", "day")).alias("_best"), F.min_by("before", F.struct("error", "day")).alias("_before")
-    )
-    error = best.select("_best.error").scalar()
-    first_day, first_before = best.select("_best.day").scalar(), best.select("_before").scalar()
+    best = scored.filter(F.col("error").isNotNull()).agg(F.min(F.struct("error", "day", "before")).alias("b")).first()["b"]
+    error = F.lit(best["error"] if best else None).cast("double")
+    first_day, first_before = (F.lit(best[c] if best else None).cast("long") for c in ("day", "before"))
     reached = rows.filter(F.col("day") > first_day).withColumn(
         "error", _cut_error(first_before, F.col("before"), F.col("_total"), shares)
     )

@@ -16,6 +16,7 @@ from txnrisk.operators.ordering import (
     largest_group,
     running_sum,
 )
+from txnrisk.session import settle
 
 DAY_MICROS = 86_400_000_000
 # Most rows of one key for which a moving time range is read directly.
@@ -260,6 +261,7 @@ def first_drop(df: DataFrame, keys: Sequence[str], order: str, value: str, share
     Aggregates of a per-period table, added back to it; no window.
     """
     keys = list(keys)
+    df = settle(df)
     base = df.groupBy(*keys).agg(F.min_by(value, order).alias("base_value"))
     rated = attach(df, base, keys).withColumn("ratio", F.col(value) / F.nullif(F.col("base_value"), F.lit(0.0)))
     low = rated.groupBy(*keys).agg(F.min(F.when(F.col("ratio") < share, F.col(order))).alias("first_drop"))
