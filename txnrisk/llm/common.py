@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from txnrisk.session import scratch_path, settle
 
+#: Rows that go to a Python worker at once: texts may be long, and a batch is held whole.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Largest table, in rows, that is sent to every executor.
 BROADCAST_ROWS = 2_000_000
 
@@ -15,6 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df``; from now on its session sends at most ``rows`` rows at once to Python."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH)) <= 0 or int(conf.get(_BATCH)) > rows:
+        conf.set(_BATCH, rows)
+    return df
+
+
+def stored_in_batches(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``stored`` with at most ``rows`` rows, which are large, at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, rows)
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(_BATCH, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is made once, survives lost
     executors, and Spark knows its size when it plans the joins."""

@@ -14,10 +14,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import stored
+from txnrisk.llm.common import in_batches, stored
 from txnrisk.llm.words import LETTERS, Words, pieces, run_hash
 
 WINDOW = 13
@@ -102,7 +103,7 @@ def _searched(batches: Iterator[pa.RecordBatch], index, first: bool) -> Iterator
     if index is not None:
         index, owners = index.value
     for batch in batches:
-        text = pa.compute.struct_field(batch.column(0), [1])
+        text = pc.struct_field(batch.column(0), [1])
         for part, texts in pieces(batch, text):
             words = Words(texts, LETTERS)
             n = len(texts)
@@ -168,7 +169,7 @@ def contamination(
     by 64-bit hashes. The windows are sent to the executors in blocks of at most ``block`` distinct
     ones, each searched over all rows in the same scan.
     """
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"), F.col(f"`{text_col}`").alias("text"))
+    own = in_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"), F.col(f"`{text_col}`").alias("text"))
     indexes = _blocks(own, bench, item_col, item_text_col, window, block)
     kind = own.schema["all"].dataType.simpleString()
     kind = f"row struct<all:{kind},text:string>, n_words bigint, places array<int>, items array<string>"

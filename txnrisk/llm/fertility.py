@@ -13,10 +13,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import small, stored
+from txnrisk.llm.common import in_batches, small, stored
 from txnrisk.llm.words import SPACED, Words, mix, pieces, spans_hash
 
 VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
@@ -135,7 +136,7 @@ def _repeated_lines(words: Words) -> np.ndarray:
 def _measured(batches: Iterator[pa.RecordBatch], text_at: int, vocabulary: str) -> Iterator[pa.RecordBatch]:
     tokens = _Tokens(vocabulary)
     for batch in batches:
-        for part, texts in pieces(batch, pa.compute.struct_field(batch.column(0), [text_at])):
+        for part, texts in pieces(batch, pc.struct_field(batch.column(0), [text_at])):
             words = Words(texts, SPACED, lower=False)
             n, owner = len(texts), words.owner
             counts = words.counts
@@ -169,7 +170,7 @@ def measures(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULA
     kind = docs.schema.simpleString()
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     schema = f"row {kind}, {counts}, {', '.join(f'{m} double' for m in METRICS)}, script string"
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = in_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return rows.mapInArrow(partial(_measured, text_at=docs.columns.index(text_col), vocabulary=vocabulary), schema)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import stored
+from txnrisk.llm.common import in_batches, stored
 from txnrisk.llm.words import SPACED, Words, mix, pieces, run_hash
 
 #: Tokens that a repeated substring has at least.
@@ -252,7 +252,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     url, source = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
     key = F.xxhash64(F.col(f"`{id_col}`"), url, source)
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), source.alias("html"), key.alias("key"), _host(url).alias("host"))
+    rows = in_batches(pages).select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), source.alias("html"), key.alias("key"), _host(url).alias("host"))
     kind = "page_id long, url string, key long, host string, blocks array<struct<kind: byte, text: string, tokens: int>>, stream array<long>"
     parsed = stored(rows.mapInArrow(_parsed, kind), "blocks")
     streams = parsed.select("host", F.coalesce("page_id", "key").alias("page"), "stream").where("size(stream) > 0")

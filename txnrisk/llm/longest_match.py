@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnrisk.llm.common import in_batches
 from txnrisk.llm.words import SPACED, Words, pieces
 
 VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
@@ -141,6 +142,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty text has no tokens; null ids, repeated rows and texts of any length are counted as they
     are; other columns are ignored. ``vocabulary`` is a file that every executor can read.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = in_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     counted = rows.mapInArrow(partial(_counted, vocabulary=vocabulary), "id long, n_bytes long, n_words long, n_tokens long")
     return counted.withColumnRenamed("id", id_col)

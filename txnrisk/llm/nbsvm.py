@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import small, stored
+from txnrisk.llm.common import in_batches, small, stored
 from txnrisk.llm.words import SPACED, Words, mix, pieces
 
 BITS = 17
@@ -176,7 +176,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Without labels of both classes all scores are 0.5. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = in_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     marked = labels.select(F.col(f"`{id_col}`").cast("long").alias("label_of"), F.col(f"`{label_col}`").cast("int").alias("label")).where("label in (0, 1) and label_of is not null")
     marked = marked.where(_fold(F.col("label_of")) != 2).groupBy("label_of").agg(F.min("label").alias("label"))
     marked = stored(marked, "labels")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnrisk.llm.common import in_batches
 from txnrisk.llm.words import SPACED, Words, pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -29,6 +30,8 @@ SHAPES = 4096
 ROUNDS = 20
 #: Tokens between two nodes that are still neighbours.
 NEAR = 3
+#: Bounds of what a token's shape, and one neighbour, can say against a label.
+EVIDENCE, TIE = 5.0, 1.5
 #: Belief that a further span needs.
 BELIEF = 0.5
 
@@ -246,9 +249,11 @@ def potentials(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         both /= both.sum()
         side = both.sum(1)
         out.append(np.log(both) - np.log(np.outer(side, side)))
-    # unlike neighbours, similar tokens are the same thing: their potential at least favours agreement
-    out[2] = np.maximum(out[2], np.where(np.eye(LABELS, dtype=bool), 0.0, out[2]))
-    return out[0], out[1], out[2]
+    # a label missed by the patterns is no proof against it: no potential is stronger than these bounds
+    node, chain = np.maximum(out[0], -EVIDENCE), np.clip(out[1], -TIE, TIE)
+    # similar tokens are the same thing, so agreement counts at least as much as the worst evidence
+    agree = np.diag(np.maximum(np.diag(out[2]), 0.0)) + (EVIDENCE + 2 * TIE) * np.eye(LABELS)
+    return node, chain, np.minimum(agree, 3 * EVIDENCE)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -281,7 +286,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind:start:end in code points. A null or empty text has no spans; null ids and repeated rows
     are rows like others; other columns are ignored.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = in_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(potentials(rows))
     kind = "id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
     return rows.mapInArrow(partial(_found, model=sent), kind).withColumnRenamed("id", id_col)

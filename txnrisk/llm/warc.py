@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import stored
+from txnrisk.llm.common import in_batches, stored
 from txnrisk.llm.words import raw
 from txnrisk.session import scratch_path
 
@@ -30,6 +30,7 @@ NUMBER, ORIGIN, TOTAL = "WARC-Segment-Number", "WARC-Segment-Origin-ID", "WARC-S
 DIGEST, RUNNING, LENGTH, PAGE = "WARC-Payload-Digest", "X-Payload-Digest-So-Far", "X-Payload-Length", "X-Page-Id"
 #: Without a date of capture in the table, all records carry this one, so that reruns agree.
 DATE = "1970-01-01T00:00:00Z"
+_PLAIN = "".join(map(chr, range(33, 127)))
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -38,7 +39,7 @@ def base32(digest: bytes) -> str:
 
 
 def cuts(payload: memoryview, chunk: int) -> Iterator[tuple[int, int]]:
-    """Chunks of whole characters, at most ``chunk`` bytes, none holding the record line."""
+    """Chunks of whole characters, at most ``chunk`` bytes; no record line in or at the end of any."""
     line, at = VERSION.encode(), 0
     while at < len(payload):
         stop = min(at + max(chunk, 16), len(payload))
@@ -47,6 +48,8 @@ def cuts(payload: memoryview, chunk: int) -> Iterator[tuple[int, int]]:
         inner = bytes(payload[at:stop]).find(line)
         if inner >= 0:
             stop = at + inner + 4
+        elif bytes(payload[max(at, stop - 8) : stop]) == line[:8]:  # the line end after a block would complete it
+            stop -= 4
         yield at, stop
         at = stop
 
@@ -65,7 +68,7 @@ def _written(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Recor
             payload = memoryview(data[at[i] : at[i + 1]])
             revisit = answer is not None and answer != page
             name = f"<urn:x-record:{key}>"
-            common = [("WARC-Date", DATE), ("WARC-Target-URI", None if url is None else urllib.parse.quote(url, safe="".join(map(chr, range(33, 127)))))]
+            common = [("WARC-Date", DATE), ("WARC-Target-URI", None if url is None else urllib.parse.quote(url, safe=_PLAIN).replace("WARC/", "WARC%2F"))]
             own = [(PAGE, page), (LENGTH, len(payload)), ("Content-Type", "text/html")]
             parts = [(0, 0)] if revisit else list(cuts(payload, chunk)) or [(0, 0)]
             if revisit or len(parts) == 1:
@@ -102,7 +105,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     it. A null payload is empty. Rows that share the largest id are all stored; null ids revisit
     a known one, and are stored if there is none. Other columns are ignored.
     """
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
+    rows = in_batches(pages).select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     # only payloads that occur more than once need their response named; Spark broadcasts them if they are few
     same = rows.groupBy("digest").agg(F.max("page_id").alias("answer"), F.count("*").alias("times")).where("times > 1").select("digest", "answer")
