@@ -5,7 +5,7 @@ the sets: at each level of a tree a set follows the branch of its minwise token
 of similarity s stay together with probability s per level. Small nodes are compared exhaustively;
 larger ones branch again. Nodes that stay large on the last level hold sets that hardly differ:
 their members are compared with pivots and in small random blocks, and members that are then not in
-the node's main component are compared with all its members. All candidate links are confirmed on
+the main component are compared with all members, block by block. All candidate links are confirmed on
 the full shingle sets, and confirmed links give the components.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import components, small, stored
+from txnrisk.llm.common import components, in_batches, small, stored, stored_in_batches
 from txnrisk.llm.words import Words, mix, pieces, run_hash
 
 TREES = 10
@@ -28,6 +28,8 @@ LEVELS = 4
 LEAF = 16
 #: Documents to which the members of a large node are compared, per tree.
 PIVOTS = 2
+#: Sets that are compared with as many others in one step, where a large node needs it.
+BLOCK = 128
 #: A link is a candidate if the agreement of the two sketches is at most this much below the threshold.
 SLACK = 0.25
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -183,7 +185,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A link is missed only if the sketches (40 minwise tokens) differ by far more than the sets do,
     or if no tree keeps the two together: below 1 in 1,000 at the threshold.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = in_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = stored(source.mapInArrow(partial(_describe, width=width), "id long, n long, fp1 long, fp2 long, sketch array<int>"), "sets")
     reps = stored(
         seen.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")),
@@ -208,14 +210,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _across(links.where("not tree"), parts)
     edges = stored(edges.union(_confirmed(more, sets, percent)), "edges")
     parts = stored(components(edges), "parts")
-    left = _left_over(heavy, parts)
-    if left.limit(1).count():
-        packed = left.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(1 << 20)) % F.ceil(F.col("of") / 64)).groupBy("node", "block").agg(F.collect_list(one).alias("others"))
-        late = heavy.join(packed, "node").select("id", "n", "sketch", "others").mapInArrow(partial(_against, percent=percent), _LINKS)
-        late = stored(_across(late, parts).join(links.select("a", "b"), ["a", "b"], "left_anti").distinct(), "late")
-        ids = small(late.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    groups = _groups(heavy, parts)
+    if groups.where("left_over").limit(1).count():
+        ids = small(groups.select("id"))
         own = source.where("id is not null").join(ids, "id", "left_semi").mapInArrow(partial(_sets, width=width), "id long, tokens array<long>")
-        edges = edges.union(_confirmed(late, stored(own, "tokens"), percent))
+        own = stored(own.groupBy("id").agg(F.min("tokens").alias("tokens")).join(groups, "id"), "group-tokens")
+        edges = stored(edges.union(_late_links(own, percent)), "edges")
         parts = stored(components(edges), "parts")
     named = reps.join(parts.withColumnRenamed("node", "id"), "id", "left").select("fp1", "fp2", "n", F.coalesce("component", "id").alias("component_id"))
     found = seen.select("id", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
@@ -237,12 +237,58 @@ def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.where("a_part != b_part").select("a", "b")
 
 
-def _left_over(heavy: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of large nodes outside their node's largest component."""
-    named = heavy.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = named.groupBy("node", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("node").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("most"))
-    return named.join(main, "node").where("component != main").select("node", "id", "n", "sketch", (F.col("members") - F.col("most")).alias("of"))
+def _groups(heavy: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, group, component, left_over, members, rest) of the members of large nodes.
+
+    Large nodes that share members are one group, so that no two members are compared twice;
+    left_over are those outside the group's largest component; members and rest count both.
+    """
+    least = heavy.groupBy("node").agg(F.min("id").alias("least"))
+    ties = stored(heavy.select("node", "id").join(least, "node").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "ties")
+    joined = components(ties).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    named = ties.select(F.col("a").alias("id")).distinct().join(joined, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    named = stored(named.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    sizes = named.groupBy("group", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("members")).where("most < members")
+    left_over = (F.col("component") != F.col("main")).alias("left_over")
+    return stored(named.join(main, "group").select("id", "group", "component", left_over, "members", (F.col("members") - F.col("most")).alias("rest")), "groups")
+
+
+def _late_links(own: DataFrame, percent: int) -> DataFrame:
+    """Links of left-over members to all members of their group, block by block.
+
+    own: the groups with tokens. Of the links of a member to one component one is given.
+    """
+    one = F.collect_list(F.struct("id", "component", "tokens"))
+
+    def packed(df: DataFrame, size: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK))
+        return df.groupBy("group", block.alias(name)).agg(one.alias(f"{name}_sets"))
+
+    pairs = packed(own.where("left_over"), "rest", "late").join(packed(own, "members", "all"), "group")
+    found = pairs.select("late_sets", "all_sets").mapInArrow(partial(_compared, percent=percent), "a long, b long")
+    return stored_in_batches(found.distinct(), "late", 4)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Confirmed links of each set of the first list to those of the second in other components."""
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for row in range(batch.num_rows):
+            (ids, parts, tokens), (ids2, parts2, tokens2) = ([v.field(k) for k in range(3)] for v in (batch.column(c)[row].values for c in (0, 1)))
+            sizes2 = tokens2.value_lengths().to_numpy()
+            flat, of = tokens2.flatten().to_numpy(), np.repeat(np.arange(len(ids2)), sizes2)
+            parts2, ids2 = parts2.to_numpy(), ids2.to_numpy()
+            for k in range(len(ids)):
+                mine = np.sort(tokens[k].values.to_numpy())
+                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                shared = np.bincount(of[mine[at] == flat], minlength=len(ids2))
+                linked = np.flatnonzero((100 * shared >= percent * (len(mine) + sizes2 - shared)) & (parts2 != parts[k].as_py()))
+                for j in linked[np.unique(parts2[linked], return_index=True)[1]].tolist():
+                    x, y = int(ids[k].as_py()), int(ids2[j])
+                    out.append((min(x, y), max(x, y)))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _repeats(source: DataFrame) -> bool:
