@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.llm import chosen_path, decontam, entropy_mix, fertility, ring
-from txnrisk.llm.common import stored, table
+from txnrisk.llm.common import small, stored, table
 
 #: Words of a shingle in the near-duplicate stage, and percent of shared shingles of a link.
 WIDTH, PERCENT = 5, 80
@@ -32,9 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the smallest id of each near-duplicate group; of repeated rows one."""
     nodes = docs.select(_node().alias("node"), "text")
     found = chosen_path.near_components(nodes, id_col="node", width=WIDTH, percent=PERCENT)
-    kept = stored(found.groupBy("node").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("times")).where("kept").select("node", "times"), "kept")
-    left = docs.join(kept.select(F.col("node").alias("kept_node")), _node() == F.col("kept_node"), "left_semi")
-    if kept.where("times > 1").limit(1).count():
+    nodes = stored(found.groupBy("node").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("times")), "nodes")
+    # dropped documents are the fewer ones: if they are few enough they are broadcast, and no text moves
+    dropped = small(nodes.where("not kept").select(F.col("node").alias("dropped")))
+    left = docs.join(dropped, _node() == F.col("dropped"), "left_anti")
+    if nodes.where("kept and times > 1").limit(1).count():
         left = left.dropDuplicates(["doc_id", "text"])
     return left
 
