@@ -31,7 +31,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(1 << 22, n)
+        size = max(1 << 20, n)
         for k, base in enumerate((_P, pow(_P, -1, 2**64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -59,7 +59,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return content, at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def pieces(batch: pa.RecordBatch, texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of a batch with about ``most`` bytes of text each, so that work arrays stay small.
 
     A text is never cut: one longer than ``most`` makes a slice of its own.
