@@ -184,9 +184,9 @@ def outcome_stats(df: DataFrame, score: str, label: str, threshold: float = 0.5)
 
 
 def median_segments(df: DataFrame, column: str, out: str = "segment") -> DataFrame:
-    """Split the rows at the exact median: ``high`` is at or above it."""
-    median = quantile_row(df, [column], [0.5]).get(column, [None])[0]
-    return df.withColumn(out, F.when(F.col(column) >= F.lit(median), "high").otherwise("low"))
+    """Split the rows at the exact median: ``high`` is at or above it; a missing value is in neither."""
+    median = F.lit(quantile_row(df, [column], [0.5]).get(column, [None])[0]).cast("double")
+    return df.withColumn(out, F.when(F.col(column) >= median, "high").when(F.col(column) < median, "low"))
 
 
 def segment_profile(df: DataFrame, segment: str, score: str, label: str, threshold: float = 0.5) -> DataFrame:

@@ -81,7 +81,8 @@ def edge_table(
     def code(codes: DataFrame, column: str, out: str) -> None:
         nonlocal rows
         c = codes.select(F.col("value").alias("_v"), F.col("code").alias(out))
-        rows = rows.join(c, F.col(column) == F.col("_v")).drop("_v", column)
+        # an unknown bank, account, currency or format has a code too
+        rows = rows.join(c, F.col(column).eqNullSafe(F.col("_v"))).drop("_v", column)
 
     code(accounts, "_from", "from_id")
     code(accounts, "_to", "to_id")
@@ -139,11 +140,14 @@ def degree_table(df: DataFrame, src: str = "source", dst: str = "target", distin
 
 
 def fan_degrees(df: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
-    """Distinct receivers of the row's sender and distinct senders to its receiver."""
+    """Distinct receivers of the row's sender and distinct senders to its receiver.
+
+    An unknown end is no counterparty, and its own degree is null; every row is kept.
+    """
     pairs = df.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct()
-    out = pairs.groupBy("_s").agg(F.count(F.lit(1)).alias("fan_out_degree"))
-    into = pairs.groupBy("_d").agg(F.count(F.lit(1)).alias("fan_in_degree"))
-    return df.join(out, F.col(src) == F.col("_s")).join(into, F.col(dst) == F.col("_d")).drop("_s", "_d")
+    out = pairs.filter("_s IS NOT NULL").groupBy("_s").agg(F.count("_d").alias("fan_out_degree"))
+    into = pairs.filter("_d IS NOT NULL").groupBy("_d").agg(F.count("_s").alias("fan_in_degree"))
+    return df.join(out, F.col(src) == F.col("_s"), "left").join(into, F.col(dst) == F.col("_d"), "left").drop("_s", "_d")
 
 
 def degree_ratio(df: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
@@ -253,7 +257,7 @@ def ports(
     pairs = ranked(pairs, ["_d"], ["_first", "_s"], "in_port", limit)
     pairs = ranked(pairs, ["_s"], ["_first", "_d"], "out_port", limit)
     numbered = pairs.select("_s", "_d", *[(F.col(p) - 1).alias(p) for p in ("in_port", "out_port")])
-    return df.join(numbered, (F.col(src) == F.col("_s")) & (F.col(dst) == F.col("_d"))).drop("_s", "_d")
+    return df.join(numbered, F.col(src).eqNullSafe(F.col("_s")) & F.col(dst).eqNullSafe(F.col("_d"))).drop("_s", "_d")
 
 
 def with_reverse(edges: DataFrame, src: str, dst: str, edge_id: str | None = None, in_port: str | None = None, out_port: str | None = None) -> DataFrame:

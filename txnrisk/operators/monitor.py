@@ -30,13 +30,16 @@ CONFIGURED_RULES = [
     ("data_drift_score", "above", 0.1, "warning", "Statistical drift from training distribution"),
     ("missing_data_rate", "above", 0.05, "warning", "Rate of missing values in input"),
 ]
-MIN_VALUES, MAX_COLUMNS = 10, 10
+MIN_VALUES = 10
 KS_ALERT, KS_RETRAIN = 0.1, 0.2
 
 
-def drift_score(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Mean of |mean| / deviation over the first ten numeric columns with enough values."""
-    cols = list(cols if cols is not None else numeric_columns(df))[:MAX_COLUMNS]
+def drift_score(df: DataFrame, cols: Sequence[str] | None = None, first: int | None = None) -> DataFrame:
+    """Mean of |mean| / deviation over the numeric (or listed) columns with enough values.
+
+    ``first`` limits it to that many columns, in their order.
+    """
+    cols = list(cols if cols is not None else numeric_columns(df))[:first]
     stats = df.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in cols])
     each = F.array(*[F.when(F.col(f"`{c}`.n") > MIN_VALUES, F.abs(F.col(f"`{c}`.m")) / (F.col(f"`{c}`.s") + 1e-10)) for c in cols])
     known = stats.select(F.filter(each, lambda x: x.isNotNull()).alias("_d"))
@@ -115,7 +118,7 @@ def check_alerts(metrics: DataFrame, rules: Sequence[tuple], keys: Sequence[str]
 
 def health_report(records: DataFrame, alerts: DataFrame, day: Column, last: int = 10) -> DataFrame:
     """Means of the newest records, alerts of the day and the resulting status, in one row."""
-    newest = records.orderBy(F.col("timestamp").desc()).limit(last)
+    newest = records.orderBy(F.col("timestamp").desc(), *[F.col(c) for c in records.columns if c != "timestamp"]).limit(last)
     means = newest.agg(
         F.max("timestamp").alias("last_update"),
         F.avg("pr_auc").alias("avg_pr_auc"),

@@ -56,7 +56,9 @@ def quantiles_of_counts(
     for i, p in enumerate(probs):
         place = F.lit(float(p)) * (F.col("n") - 1)
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        values.append(low + (high - low) * (place - F.floor(place)))
+        # the built-in's two products: infinite values stay infinite and are not subtracted
+        between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        values.append(F.when((low == high) | (place == F.floor(place)), low).otherwise(between))
     return out.select(*keys, "n", F.array(*values).alias("q"))
 
 

@@ -109,6 +109,8 @@ def expanding_bounds(n: int, folds: int, test_size: int, gap: int = 0) -> list[t
 
     The newest ``test_size`` rows belong to no test block.
     """
+    if folds < 1 or test_size < 1 or gap < 0:
+        raise ValueError(f"folds {folds} and test size {test_size} must be positive, gap {gap} not negative")
     out = []
     for i in range(folds):
         end = max(test_size, n - (folds - i) * test_size)

@@ -180,22 +180,29 @@ def cohens_d(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 
 
 def class_histogram(df: DataFrame, column: str, label: str, buckets: int = 20) -> DataFrame:
-    """(label, bucket, low, count, density): equal-width histogram per class."""
+    """(label, bucket, low, count, density): equal-width histogram per class.
+
+    Rows without a label are a class of their own; a column without values has no buckets.
+    """
     low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    low, high = (0.0, 0.0) if low is None else (low, high)
     width = ((high - low) / buckets) or 1.0
     bucket = F.least(F.lit(buckets - 1), F.floor((F.col(column) - low) / width)).cast("int")
     counts = df.filter(F.col(column).isNotNull()).groupBy(label, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy(F.col(label).alias("_l")).agg(F.sum("count").alias("_t"))
-    return counts.join(totals, F.col(label) == F.col("_l")).select(
+    return counts.join(totals, F.col(label).eqNullSafe(F.col("_l"))).select(
         label, "bucket", (F.lit(low) + F.col("bucket") * width).alias("low"), "count",
         (F.col("count") / F.col("_t") / width).alias("density"),
     )
 
 
 def principal_components(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """(component, explained, cumulative, class1_mean, class0_mean) on standardised columns."""
+    """(component, explained, cumulative, class1_mean, class0_mean) on standardised columns.
+
+    Missing values count as 0, so every row takes part.
+    """
     k = len(cols)
-    scaled = standard_scale(df.select(label, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(), cols)
+    scaled = standard_scale(df.select(label, *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cols]), cols)
     vectors = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(scaled).select(label, "_x")
     model = PCA(k=k, inputCol="_x", outputCol="_pc").fit(vectors)
     share = [float(v) for v in model.explainedVariance.toArray()]

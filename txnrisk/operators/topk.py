@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,7 +88,26 @@ def sampling_report(before: DataFrame, after: DataFrame, label: str, amount: str
     return stats(before, "original").withColumns({c: late.select(c).scalar() for c in late.columns})
 
 
-def bootstrap_positives(df: DataFrame, label: str, times: float = 2.0, seed: int = 42) -> DataFrame:
-    """Positives drawn with replacement and appended to all rows."""
-    drawn = df.filter(F.col(label) == 1).sample(withReplacement=True, fraction=times, seed=seed)
+def poisson_steps(mean: float) -> list[float]:
+    """Probabilities of at most 0, 1, 2, .. events, up to the last that a 32-bit share can tell from 1."""
+    out, term, k = [], math.exp(-mean), 0
+    total = term
+    while total < 1 - 2.0**-33 and k < 1000:
+        out.append(total)
+        k += 1
+        term *= mean / k
+        total += term
+    return out
+
+
+def bootstrap_positives(df: DataFrame, label: str, key: Sequence[str], times: float = 2.0, seed: str = "42") -> DataFrame:
+    """Positives drawn with replacement and appended to all rows.
+
+    How often a row is drawn follows from the hash of ``key``, Poisson with mean ``times``, so the
+    draw is the same in any partitioning.
+    """
+    place = F.conv(F.substring(stable_hash(key, seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    copies = sum(((place >= p).cast("int") for p in poisson_steps(times)), F.lit(0))
+    drawn = df.filter(F.col(label) == 1).withColumn("_copies", copies).filter("_copies > 0")
+    drawn = drawn.select(*df.columns, F.explode(F.sequence(F.lit(1), "_copies"))).drop("col")
     return df.unionByName(drawn)

@@ -21,8 +21,8 @@ from txnrisk.session import settle
 DAY_MICROS = 86_400_000_000
 # Most rows of one key for which a moving time range is read directly.
 RANGE_ROWS = 20_000
-# Scale of the exact sums used where amounts are added and later taken away again.
-EXACT = "decimal(28,8)"
+# Exact sums used where amounts, scaled to at most 2, are added and later taken away again.
+EXACT = "decimal(38,26)"
 
 
 def rolling_rows(
@@ -112,47 +112,86 @@ def _swept_times(df: DataFrame, key: str, value: str, days: Sequence[int], limit
     """Range sums by adding each amount at its time and taking it away ``d`` days later.
 
     Rows are first reduced to one per (key, time); the running total of additions minus
-    removals is the range sum. Decimal sums make the removals exact.
+    removals is the range sum. Rows without a time are each other's peers, as in a window.
     """
-    amount = F.col(value).cast(EXACT)
-    per_time = df.groupBy(key, "_t").agg(F.sum(amount).alias("_v"), F.count(value).alias("_n"))
+    scaled = _scaled(df, key, value)
+    parts = _parts(value)
+    per_time = scaled.groupBy(key, "_power", "_t").agg(*[F.sum(c).alias(f"_{p}") for p, c in parts.items()])
     moves = [F.struct(F.col("_t"), F.lit(0).alias("_d"), F.lit(1).alias("_sign"))]
     moves += [F.struct((F.col("_t") + d * DAY_MICROS).alias("_t"), F.lit(d).alias("_d"), F.lit(-1).alias("_sign")) for d in days]
-    events = per_time.select(key, "_v", "_n", F.inline(F.array(*moves)))
+    timed = F.filter(F.array(*moves), lambda m: m["_t"].isNotNull() | (m["_d"] == 0))
+    events = per_time.select(key, "_power", *[f"_{p}" for p in parts], F.inline(timed))
     sums: dict[str, Column] = {}
     grouped = []
     for d in days:
-        applies = F.when(F.col("_d").isin(0, d), F.col("_sign"))
-        grouped.append(F.sum(F.coalesce(applies * F.col("_v"), F.lit(0).cast(EXACT))).alias(f"_dv_{d}"))
-        grouped.append(F.sum(F.coalesce(applies * F.col("_n"), F.lit(0))).alias(f"_dn_{d}"))
-        sums[f"_sum_{d}"] = F.col(f"_dv_{d}")
-        sums[f"_cnt_{d}"] = F.col(f"_dn_{d}")
-    steps = events.groupBy(key, "_t").agg(*grouped)
-    level = running_sum(steps, [key], ["_t"], sums, limit).select(
-        key, "_t", *[F.col(f"_sum_{d}").cast("double").alias(f"_sum_{d}") for d in days], *[f"_cnt_{d}" for d in days]
-    )
-    return attach(df, level, [key, "_t"])
+        applies = F.when(F.col("_d").isin(0, d), F.col("_sign")).otherwise(0)
+        for p in parts:
+            grouped.append(F.sum(applies * F.col(f"_{p}")).alias(f"_d{p}_{d}"))
+            sums[f"_{p}_{d}"] = F.col(f"_d{p}_{d}")
+    steps = events.groupBy(key, "_power", "_t").agg(*grouped).withColumn("_untimed", F.col("_t").isNull())
+    level = running_sum(steps, [key, "_untimed"], ["_t"], sums, limit)
+    return attach(df, _rebuilt(level, days).select(key, "_t", *[f"_{s}_{d}" for d in days for s in ("sum", "cnt")]), [key, "_t"])
+
+
+def _scaled(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Add ``_power``: the power of two of the key's largest finite amount.
+
+    Divided by it, the amounts of a key fit the exact sums, whatever their unit.
+    """
+    size = F.abs(F.col(value).cast("double"))
+    known = F.when(~F.isnan(size) & (size < float("inf")) & (size > 0), size)
+    top = df.groupBy(key).agg(F.coalesce(F.floor(F.log2(F.max(known))), F.lit(0)).cast("double").alias("_power"))
+    return attach(df, top, [key])
+
+
+def _parts(value: str) -> dict[str, Column]:
+    """What can be added and taken away exactly: the scaled finite amount, and counts of the rest."""
+    v = F.col(value).cast("double")
+    finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
+    # two steps of scaling keep both factors inside the doubles
+    half = F.floor(F.col("_power") / 2)
+    small = v / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), F.col("_power") - half)
+    return {
+        "fin": F.when(finite, small).otherwise(0.0).cast(EXACT),
+        "cnt": F.col(value).isNotNull().cast("long"),
+        "nan": F.coalesce(F.isnan(v), F.lit(False)).cast("long"),
+        "pos": F.coalesce(v == float("inf"), F.lit(False)).cast("long"),
+        "neg": F.coalesce(v == float("-inf"), F.lit(False)).cast("long"),
+    }
+
+
+def _rebuilt(level: DataFrame, days: Sequence[int]) -> DataFrame:
+    """The double sums that the parts stand for."""
+    out: dict[str, Column] = {}
+    half = F.floor(F.col("_power") / 2)
+    for d in days:
+        nan, pos, neg = (F.col(f"_{p}_{d}") for p in ("nan", "pos", "neg"))
+        finite = F.col(f"_fin_{d}").cast("double") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), F.col("_power") - half)
+        infinite = F.when((nan > 0) | ((pos > 0) & (neg > 0)), float("nan")).when(pos > 0, float("inf")).when(neg > 0, float("-inf"))
+        out[f"_sum_{d}"] = F.coalesce(infinite, finite)
+    return level.withColumns(out)
 
 
 def _swept_rows(
     df: DataFrame, key: str, value: str, days: Sequence[int], tiebreak: Sequence[str], limit: int
 ) -> DataFrame:
     """The same sweep row by row, so that equal times are ordered by ``tiebreak``."""
-    rows = df.withColumn("_at", F.col("_t")).withColumn("_d", F.lit(0))
+    rows = _scaled(df, key, value).withColumns({"_at": F.col("_t"), "_d": F.lit(0), "_untimed": F.col("_t").isNull()})
     leaves = [rows]
     for d in days:
-        leaves.append(rows.withColumn("_at", F.col("_t") + d * DAY_MICROS).withColumn("_d", F.lit(d)))
+        leaves.append(rows.filter("_t IS NOT NULL").withColumn("_at", F.col("_t") + d * DAY_MICROS).withColumn("_d", F.lit(d)))
     events = leaves[0]
     for more in leaves[1:]:
         events = events.unionByName(more)
     sums: dict[str, Column] = {}
+    parts = _parts(value)
     for d in days:
         sign = F.when(F.col("_d") == 0, 1).when(F.col("_d") == d, -1).otherwise(0)
-        sums[f"_sum_{d}"] = sign * F.coalesce(F.col(value).cast(EXACT), F.lit(0).cast(EXACT))
-        sums[f"_cnt_{d}"] = sign * F.col(value).isNotNull().cast("int")
+        sums |= {f"_{p}_{d}": sign * c for p, c in parts.items()}
     order = ["_at", F.col("_d").desc(), *tiebreak]
-    swept = running_sum(events, [key], order, sums, limit).filter(F.col("_d") == 0)
-    return swept.withColumns({f"_sum_{d}": F.col(f"_sum_{d}").cast("double") for d in days}).drop("_at", "_d")
+    swept = running_sum(events, [key, "_untimed"], order, sums, limit).filter(F.col("_d") == 0)
+    spare = [f"_{p}_{d}" for p in parts if p != "cnt" for d in days]
+    return _rebuilt(swept, days).drop("_at", "_d", "_untimed", "_power", *spare)
 
 
 def short_run_features(

@@ -109,7 +109,7 @@ def m8(spark, sf_dir):
     arriving, scored = scratch_path(spark, "arriving"), scratch_path(spark, "scored")
     rows.filter(F.col("split") == "test").drop("split").write.parquet(arriving)
     stream = jobs.read_stream(spark, arriving, rows.drop("split").schema)
-    flagged = jobs.score_stream(stream, lambda df: models.score(model, df))
+    flagged = jobs.score_stream(stream, lambda df: models.score(model, df), needs=COLS, gives=["probability", "prediction"])
     jobs.run_to_parquet(flagged, scored, scratch_path(spark, "progress"))
     out = spark.read.parquet(scored)
     return out.agg(F.count(F.lit(1)).alias("total"), F.sum("prediction").alias("suspicious"), F.avg("probability").alias("mean_probability"))

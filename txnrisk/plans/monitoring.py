@@ -171,11 +171,16 @@ def m7(spark, sf_dir):
     return out.withColumns({"missing_data_rate": q("missing_data_rate", 8), "mean_value": q("mean_value"), "max_value": q("max_value")})
 
 
-@register("m7_streaming_window_metrics")
+@register(
+    "m7_streaming_window_metrics",
+    f"""SELECT time_bucket(INTERVAL 300 SECONDS, ts) AS window_start, count(*) AS sample_size, {sq('avg(CAST(value IS NULL AS INT))', 8)} AS missing_data_rate, {sq('avg(value)')} AS mean_value, {sq('max(value)')} AS max_value FROM events GROUP BY 1
+HAVING time_bucket(INTERVAL 300 SECONDS, ts) + INTERVAL 300 SECONDS <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""",
+)
 def m7_stream(spark, sf_dir):
     """The same metrics from a stream; windows still open at the end are not emitted."""
     schema = user_events(spark, sf_dir).schema
     stream = jobs.read_stream(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, glob="events.parquet")
     path = scratch_path(spark, "window-metrics")
-    jobs.run_to_parquet(jobs.window_metric_stream(stream.select(*schema.names), "ts", "value"), path, scratch_path(spark, "progress"))
-    return spark.read.parquet(path)
+    jobs.run_to_parquet(jobs.window_metric_stream(stream.select(*schema.names), "ts", "value", late="10 minutes"), path, scratch_path(spark, "progress"))
+    out = spark.read.parquet(path)
+    return out.withColumns({"missing_data_rate": q("missing_data_rate", 8), "mean_value": q("mean_value"), "max_value": q("max_value")})

@@ -95,6 +95,16 @@ def f8(spark, sf_dir):
     return out.withColumns({c: q(c, 6 if c.endswith("rate") else 4) for c in out.columns if not c.endswith("rows")})
 
 
-@register("f9_bootstrap_positives")
+_COPIES = " + ".join(f"CAST(u >= {p!r}::DOUBLE AS INT)" for p in topk.poisson_steps(2.0))
+
+
+@register(
+    "f9_bootstrap_positives",
+    with_scores(
+        f"""SELECT label, CAST(sum(n) AS BIGINT) AS n, {sq('sum(n * amount)', 2)} AS amount FROM (SELECT label, amount, 1 + CASE WHEN label = 1 THEN {_COPIES} ELSE 0 END AS n
+FROM (SELECT *, CAST('0x' || substr({HASH_SQL}, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM scores)) GROUP BY label"""
+    ),
+)
 def f9(spark, sf_dir):
-    return topk.bootstrap_positives(line_scores(spark, sf_dir), "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    out = topk.bootstrap_positives(line_scores(spark, sf_dir), "label", IDS)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), q(F.sum("amount"), 2).alias("amount"))
