@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_fixtures import documents, odd, sf  # noqa: F401
 from txnrisk.llm import chosen_path, decontam, entropy_mix, fertility, longest_match, nbsvm, pii_chain, queries, ring
 from txnrisk.llm.words import LETTERS, SPACED, Words, pieces
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpus_fixtures import documents, odd, odd_pages, pages, sf  # noqa: F401
 from test_documents import components_by_force, contamination_by_force
 from txnrisk.llm import html_suffix, queries, warc
 from txnrisk.session import scratch_path
