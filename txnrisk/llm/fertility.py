@@ -190,8 +190,13 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", voca
     seen = stored(measures(docs, text_col, vocabulary), "measured")
     lang = F.coalesce(F.col(f"row.`{lang_col}`").cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
     seen = seen.withColumns({"lang": lang, "base_failed": base_failed()})
-    points = [F.percentile_approx(m, [0.05, 0.5, 0.95], 10_000).alias(m) for m in METRICS]
-    bands = seen.where("not base_failed").groupBy("lang", "script").agg(F.count("*").alias("texts"), *points)
+    # exact quantiles of figures rounded to thousandths: the same bands in any partitioning, from a few thousand counts
+    figures = F.array(*(F.struct(F.lit(m).alias("metric"), F.round(m, 3).alias("value")) for m in METRICS))
+    rounded = seen.where("not base_failed").select("lang", "script", F.inline(figures))
+    counts = rounded.groupBy("lang", "script", "metric", "value").agg(F.count("*").alias("texts"))
+    points = [F.percentile(F.when(F.col("metric") == m, F.col("value")), [0.05, 0.5, 0.95], F.col("texts")).alias(m) for m in METRICS]
+    own = F.sum(F.when(F.col("metric") == METRICS[0], F.col("texts"))).alias("texts")
+    bands = counts.groupBy("lang", "script").agg(own, *points)
     edges = []
     for m in METRICS:
         low, mid, high = (F.col(m)[k] for k in range(3))
