@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,21 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BROADCAST_ROWS = 2_000_000
 
 
+#: The folder that holds this library.
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def _reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this library wherever the session was started; on a cluster
+    it has to be installed or sent with ``--py-files`` as well."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
