@@ -22,11 +22,13 @@ from txnrisk.llm.words import SPACED, Words, mix, pieces, spans_hash
 
 VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MIN_WORDS = 50
-#: A text is rejected only if a figure lies so many times the spread between the 5 % (95 %) point and the median outside that point.
-REACH = 2.0
+#: A text is rejected only if a figure lies so many times the distance of the quartiles outside them.
+REACH = 5.0
 #: Bands of a language and script with fewer texts than this are not applied.
 LEAST_TEXTS = 100
 METRICS = ("chars_per_token", "byte_share", "entropy")
+#: Least distance of the quartiles that is reckoned with, by metric: figures that hardly vary get no zero-width band.
+LEAST_SPREAD = {"chars_per_token": 0.02, "byte_share": 0.01, "entropy": 0.05}
 
 # Lead bytes of UTF-8 by script.
 _SCRIPTS = {"latin": [(0xC3, 0xCA)], "greek": [(0xCD, 0xCF)], "cyrillic": [(0xD0, 0xD4)], "hebrew": [(0xD6, 0xD7)], "arabic": [(0xD8, 0xDB)], "indic": [(0xE0, 0xE0)], "cjk": [(0xE3, 0xE9)], "hangul": [(0xEA, 0xED)]}
@@ -194,13 +196,14 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", voca
     figures = F.array(*(F.struct(F.lit(m).alias("metric"), F.round(m, 3).alias("value")) for m in METRICS))
     rounded = seen.where("not base_failed").select("lang", "script", F.inline(figures))
     counts = rounded.groupBy("lang", "script", "metric", "value").agg(F.count("*").alias("texts"))
-    points = [F.percentile(F.when(F.col("metric") == m, F.col("value")), [0.05, 0.5, 0.95], F.col("texts")).alias(m) for m in METRICS]
+    points = [F.percentile(F.when(F.col("metric") == m, F.col("value")), [0.25, 0.75], F.col("texts")).alias(m) for m in METRICS]
     own = F.sum(F.when(F.col("metric") == METRICS[0], F.col("texts"))).alias("texts")
     bands = counts.groupBy("lang", "script").agg(own, *points)
     edges = []
     for m in METRICS:
-        low, mid, high = (F.col(m)[k] for k in range(3))
-        edges += [(low - reach * (mid - low)).alias(f"{m}_low"), (high + reach * (high - mid)).alias(f"{m}_high")]
+        low, high = (F.col(m)[k] for k in range(2))
+        spread = F.greatest(high - low, F.lit(LEAST_SPREAD[m]))
+        edges += [(low - reach * spread).alias(f"{m}_low"), (high + reach * spread).alias(f"{m}_high")]
     bands = small(bands.where(F.col("texts") >= LEAST_TEXTS).select("lang", "script", *edges))
     inside = F.lit(True)
     for m in METRICS:
