@@ -335,6 +335,21 @@ def test_repeated_rows_spread_over_shards(spark, odd):
     assert rows(ring.sharded(odd.limit(0))) == []
 
 
+def test_documents_without_an_id_spread_over_the_ring(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ring, "place", lambda counts, *more, to=ring.place: seen.append(counts) or to(counts, *more))
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert len(rows(ring.sharded(df))) == 20_000
+    assert max(seen[0].values()) < 30
+
+
+def test_more_slots_for_more_keys(spark, monkeypatch):
+    monkeypatch.setattr(ring, "PER_SLOT", 1)
+    found = rows(ring.ring_shards(spark.range(9_000).withColumnRenamed("id", "doc_id"), [F.col("doc_id")]))
+    assert sorted({r["doc_id"] for r in found}) == list(range(9_000))
+    assert {sum(r["shard"] == s for r in found) for s in range(16)} == {562, 563}
+
+
 # 10 mixing
 
 

@@ -76,6 +76,14 @@ def even(rows: int, shards: int) -> list[int]:
     return [rows // shards + (i < rows % shards) for i in range(shards)]
 
 
+def _slot(slots: int) -> Column:
+    return F.shiftrightunsigned("ring_hash", 64 - (slots - 1).bit_length()).cast("int")
+
+
+def _per_slot(rows: DataFrame, slots: int) -> dict[int, int]:
+    return {r[0]: r[1] for r in rows.groupBy(_slot(slots)).count().collect()}
+
+
 def ring_shards(df: DataFrame, key: list[Column], shards: int = 16, slack: float = 0.0, per_shard: int = VNODES) -> DataFrame:
     """Columns of ``df`` with shard and slot (gapless from 0 in each shard).
 
@@ -89,12 +97,14 @@ def ring_shards(df: DataFrame, key: list[Column], shards: int = 16, slack: float
     df = df.drop("shard", "slot")
     names = df.columns
     rows = df.withColumn("ring_hash", F.xxhash64(*key))
-    total = rows.count()
     slots = SLOTS
+    counts = _per_slot(rows, slots)
+    total = sum(counts.values())
     while total / slots > PER_SLOT:
         slots *= 2
-    rows = rows.withColumn("ring_slot", F.shiftrightunsigned("ring_hash", 64 - (slots - 1).bit_length()).cast("int"))
-    counts = {r[0]: r[1] for r in rows.groupBy("ring_slot").count().collect()}
+    if slots > SLOTS:
+        counts = _per_slot(rows, slots)
+    rows = rows.withColumn("ring_slot", _slot(slots))
     capacity = even(total, shards) if not slack else [int(total / shards * (1 + slack)) + 1] * shards
     runs = place(counts, capacity, slots, per_shard)
     plan = spark.createDataFrame(runs, "ring_slot int, run_from long, run_to long, shard int, run_first long")
@@ -114,8 +124,8 @@ def ring_shards(df: DataFrame, key: list[Column], shards: int = 16, slack: float
 def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, slack: float = 0.0) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of all documents under the law of rows.
 
-    The ring's key is the id; equal ids are told apart by their text. Null ids share one place on
-    the ring; a null text has size 1 and checksum 0.
+    The ring's key is the id with the text's size and checksum, so that documents without an id, or
+    with one that many share, spread over the ring. A null text has size 1 and checksum 0.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(
@@ -123,5 +133,5 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    placed = ring_shards(rows, [F.col("doc_id")], shards, slack)
+    placed = ring_shards(rows, [F.col(c) for c in rows.columns], shards, slack)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
