@@ -145,7 +145,9 @@ def test_search_is_seeded_and_ranks(labelled):
 def test_folds_report_train_and_test(labelled):
     out = models.fit_folds(labelled, ["a", "b"], "y", "logistic", splits.series_bounds(300, 2), ["id"])
     assert {(r["fold"], r["role"]) for r in out.collect()} == {(0, "train"), (0, "test"), (1, "train"), (1, "test")}
-    assert {r["metric"] for r in models.summarise_folds(out).collect()} == {"average_precision", "pr_auc", "roc_auc"}
+    found = {r["metric"]: r for r in models.summarise_folds(out).collect()}
+    assert set(found) == {*models.THRESHOLD_METRICS, *models.RANK_METRICS, "overall"}
+    assert all(r["n_folds"] == 2 and abs(r["overfit"] - r["train_mean"] + r["test_mean"]) < 1e-9 for r in found.values())
 
 
 def test_calibration_is_monotone_and_clipped(spark):

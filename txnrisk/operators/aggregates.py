@@ -89,6 +89,16 @@ def extremes(rates: DataFrame, name: str, value: str = "fraud_rate") -> DataFram
     )
 
 
+def peak_periods(df: DataFrame, ts: str) -> DataFrame:
+    """(peak_hour, peak_day, peak_month): the parts of the time with most rows, the smallest on ties; days from Monday, 0."""
+    parts = {"peak_hour": F.hour(ts), "peak_day": F.weekday(ts), "peak_month": F.month(ts)}
+    # one scan: a few hundred counts per hour, day and month hold all three tables
+    counts = df.filter(F.col(ts).isNotNull()).groupBy(*[p.alias(n) for n, p in parts.items()]).agg(F.count(F.lit(1)).alias("n"))
+    long = counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("part"), F.col("n")) for n in parts])))
+    sums = long.groupBy("name", "part").agg(F.sum("n").alias("n"))
+    return sums.agg(*[F.min_by(F.when(F.col("name") == n, F.col("part")), F.when(F.col("name") == n, F.struct(-F.col("n"), F.col("part")))).alias(n) for n in parts])
+
+
 def hour_by_label(df: DataFrame, hour: Column, label: str, classes: Sequence[int] = (0, 1)) -> DataFrame:
     """Counts per hour and class, 0 where a combination does not occur."""
     pivoted = df.groupBy(hour.alias("hour")).pivot(label, list(classes)).agg(F.count(F.lit(1)))

@@ -349,15 +349,28 @@ def stability(before: DataFrame, after: DataFrame, keys: Sequence[str], score: s
     return align_rows(before, changed, keys).agg((1 - F.avg(gap)).alias("stability"), F.max(gap).alias("max_change"))
 
 
+def segment_table(
+    df: DataFrame, segment: str, score: str, label: str, threshold: float = 0.5, min_rows: int = 30, limit: int = WINDOW_ROWS
+) -> DataFrame:
+    """(segment, size, fraud_rate, roc_auc, average_precision, fpr) of segments with more than ``min_rows`` scored rows.
+
+    Rows without a segment are in none.
+    """
+    areas = ranking_metrics(df, score, label, [segment], limit)
+    rates = confusion(df, score, label, threshold, [segment])
+    rows = areas.join(rates.select(F.col(segment).alias("_s"), (1 - F.col("specificity")).alias("fpr")), F.col(segment) == F.col("_s"))
+    size = F.col("positives") + F.col("negatives")
+    return rows.filter(size > min_rows).select(
+        segment, size.alias("size"), (F.col("positives") / size).alias("fraud_rate"), "roc_auc", "average_precision", "fpr"
+    )
+
+
 def segment_parity(
     df: DataFrame, segment: str, score: str, label: str, threshold: float = 0.5, min_rows: int = 30, tolerance: float = 0.05,
     limit: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Largest differences of ROC area, average precision and false positive rate between segments."""
-    areas = ranking_metrics(df, score, label, [segment], limit)
-    rates = confusion(df, score, label, threshold, [segment])
-    rows = areas.join(rates.select(F.col(segment).alias("_s"), (1 - F.col("specificity")).alias("fpr")), F.col(segment) == F.col("_s"))
-    rows = rows.filter(F.col("positives") + F.col("negatives") > min_rows)
+    rows = segment_table(df, segment, score, label, threshold, min_rows, limit)
     spread = rows.agg(
         F.count(F.lit(1)).alias("segments"),
         *[(F.max(c) - F.min(c)).alias(f"{c}_gap") for c in ("roc_auc", "average_precision", "fpr")],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from txnrisk.functions.dates import seconds
 from txnrisk.functions.labels import same_value
 from txnrisk.functions.numeric import gaussian_similarity, guarded_ratio, row_max, row_mean
-from txnrisk.operators.aggregates import amount_profile, value_shares
+from txnrisk.operators.aggregates import value_shares
 from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, ranked
 from txnrisk.operators.windows import group_size, short_run_features
 from txnrisk.session import settle
@@ -177,9 +177,7 @@ def amount_similarity(df: DataFrame, patterns: DataFrame, amount: str = "amount"
 
     One column per type, so the types (a handful) are read to the driver as literals.
     """
-    stats = amount_profile(patterns, "pattern_type").select(
-        "pattern_type", F.round("amount_mean", 2).alias("m"), F.round("amount_std", 2).alias("s")
-    )
+    stats = patterns.groupBy("pattern_type").agg(F.round(F.avg(amount), 2).alias("m"), F.round(F.stddev_samp(amount), 2).alias("s"))
     out: dict[str, Column] = {}
     similar: dict[str, Column] = {}
     for r in sorted(stats.collect(), key=lambda r: r["pattern_type"]):

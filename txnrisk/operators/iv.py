@@ -129,6 +129,25 @@ def _woe() -> Column:
     return log_odds(F.col("events"), F.col("others"), F.col("all_events"), F.col("all_others"))
 
 
+def skipped_columns(
+    df: DataFrame, target: str, cols: Sequence[str], min_samples: int = 10, max_unique: int = 1000, bins: int = 10, limit: int = WINDOW_ROWS
+) -> DataFrame:
+    """(variable, reason, unique_values) of the columns that ``information_value`` leaves out:
+    high_cardinality, constant, single_class or few_samples (no bin has enough rows)."""
+    rows = binned(value_profile(df, target, cols), bins, limit)
+    found = rows.groupBy(F.col("column").alias("variable")).agg(
+        F.first("unique_values").alias("unique_values"), F.first("all_events").alias("_e"), F.first("all_others").alias("_o"),
+        F.max(F.col("events") + F.col("others")).alias("_most"),
+    )
+    reason = (
+        F.when(F.col("unique_values") > max_unique, "high_cardinality")
+        .when(F.col("unique_values") <= 1, "constant")
+        .when((F.col("_e") == 0) | (F.col("_o") == 0), "single_class")
+        .when(F.col("_most") < min_samples, "few_samples")
+    )
+    return found.select("variable", reason.alias("reason"), "unique_values").filter("reason is not null")
+
+
 def information_value(
     df: DataFrame,
     target: str,
@@ -142,12 +161,13 @@ def information_value(
 ) -> DataFrame:
     """(variable, iv, unique_values, is_suspect), highest value first.
 
-    Columns with too many distinct values or only one are left out. ``smoothed=False``
+    Columns with too many distinct values or only one are left out, and all if the target has one
+    class; ``skipped_columns`` names them. ``smoothed=False``
     uses plain shares with zero shares set to 0.0001 and no clipping.
     """
     rows = binned(value_profile(df, target, cols), bins, limit)
     rows = rows.filter((F.col("unique_values") <= max_unique) & (F.col("unique_values") > 1))
-    rows = rows.filter(F.col("events") + F.col("others") >= min_samples)
+    rows = rows.filter((F.col("all_events") > 0) & (F.col("all_others") > 0) & (F.col("events") + F.col("others") >= min_samples))
     if smoothed:
         a, b = _shares()
         part = (a - b) * _woe()

@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnrisk.operators.encoding import class_weights
-from txnrisk.operators.evaluate import ranking_metrics
+from txnrisk.operators.evaluate import confusion, ranking_metrics
 from txnrisk.operators.ordering import WINDOW_ROWS, ranked
-from txnrisk.operators.splits import assign_folds, stable_hash
+from txnrisk.operators.splits import fold_role, stable_hash
 from txnrisk.session import settle
 
 SEED = 42
+THRESHOLD_METRICS = ["recall", "precision", "f1", "accuracy"]
+RANK_METRICS = ["average_precision", "pr_auc", "roc_auc"]
 # Models by name with their default settings.
 MODELS = {
     "logistic": (LogisticRegression, {"maxIter": 50, "regParam": 0.01}),
@@ -103,37 +105,56 @@ def mean_importances(models: Iterable[PipelineModel], cols: Sequence[str], spark
     return _ranked_table(spark, {c: sum(e[c] for e in each) / len(each) for c in cols})
 
 
+def ranked_rows(df: DataFrame, order: Sequence, limit: int = WINDOW_ROWS) -> DataFrame:
+    """The rows with their place in time, stored once; every fold is a filter on the place."""
+    return settle(ranked(df, [], order, "_rank", limit))
+
+
+def fold_rows(rows: DataFrame, bounds: tuple[int, int, int, int]) -> DataFrame:
+    """Rows of one fold with ``fold`` and ``role``."""
+    fold, *cuts = bounds
+    role = fold_role(F.col("_rank") - 1, *cuts)
+    return rows.filter(role.isNotNull()).withColumns({"fold": F.lit(fold), "role": role}).drop("_rank")
+
+
+def fold_metrics(scored: DataFrame, score_col: str, label: str, threshold: float = 0.5, limit: int = WINDOW_ROWS) -> DataFrame:
+    """(fold, role, recall, precision, f1, accuracy, average_precision, pr_auc, roc_auc) of rows with fold and role."""
+    rates = confusion(scored, score_col, label, threshold, ["fold", "role"]).select("fold", "role", *THRESHOLD_METRICS)
+    areas = ranking_metrics(scored, score_col, label, ["fold", "role"], limit).select("fold", "role", *RANK_METRICS)
+    return rates.join(areas, ["fold", "role"], "left")
+
+
 def fit_folds(
     df: DataFrame, cols: Sequence[str], label: str, kind: str, bounds: Sequence[tuple[int, int, int, int]], order: Sequence,
-    limit: int = WINDOW_ROWS, **settings,
+    threshold: float = 0.5, limit: int = WINDOW_ROWS, **settings,
 ) -> DataFrame:
-    """(fold, role, average_precision, pr_auc, roc_auc): train and test scores of each time fold.
+    """``fold_metrics`` of the train and test rows of each time fold.
 
     The loop is over folds; every fit and all scoring is distributed, and one
-    evaluation job covers all folds and roles.
+    evaluation covers all folds and roles.
     """
-    rows = settle(assign_folds(df.select(*dict.fromkeys([*cols, label, *order])), order, bounds, limit))
+    rows = ranked_rows(df.select(*dict.fromkeys([*cols, label, *order])), order, limit)
     scored = []
-    for fold, *_ in bounds:
-        part = rows.filter(F.col("fold") == fold)
+    for bound in bounds:
+        part = fold_rows(rows, bound)
         model = train(part.filter(F.col("role") == "train"), cols, label, kind, **settings)
         scored.append(score(model, part).select("fold", "role", "probability", label))
-    everything = reduce(DataFrame.unionByName, scored)
-    return ranking_metrics(everything, "probability", label, ["fold", "role"], limit)
+    return fold_metrics(settle(reduce(DataFrame.unionByName, scored)), "probability", label, threshold, limit)
 
 
 def summarise_folds(metrics: DataFrame) -> DataFrame:
-    """(metric, train_mean, test_mean, test_std, overfit): deviation over folds with ddof 0."""
-    names = ["average_precision", "pr_auc", "roc_auc"]
-    rows = metrics.unpivot(["fold", "role"], names, "metric", "value")
-
-    def of(role: str):
-        return F.when(F.col("role") == role, F.col("value"))
-
-    out = rows.groupBy("metric").agg(
-        F.avg(of("train")).alias("train_mean"), F.avg(of("test")).alias("test_mean"), F.stddev_pop(of("test")).alias("test_std")
-    )
-    return out.withColumn("overfit", F.col("train_mean") - F.col("test_mean"))
+    """(metric, train_mean, train_std, test_mean, test_std, overfit, overfit_std, n_folds): means and
+    deviations (ddof 0) over folds. The metric ``overall`` is the mean of those at the threshold."""
+    overall = sum((F.col(m) for m in THRESHOLD_METRICS), F.lit(0.0)) / len(THRESHOLD_METRICS)
+    long = metrics.withColumn("overall", overall).unpivot(["fold", "role"], [*THRESHOLD_METRICS, *RANK_METRICS, "overall"], "metric", "value")
+    sides = [F.max(F.when(F.col("role") == r, F.col("value"))).alias(r) for r in ("train", "test")]
+    each = long.groupBy("metric", "fold").agg(*sides).withColumn("overfit", F.col("train") - F.col("test"))
+    return each.groupBy("metric").agg(
+        F.avg("train").alias("train_mean"), F.stddev_pop("train").alias("train_std"),
+        F.avg("test").alias("test_mean"), F.stddev_pop("test").alias("test_std"),
+        F.avg("overfit").alias("overfit"), F.stddev_pop("overfit").alias("overfit_std"),
+        F.count("overfit").alias("n_folds"),
+    )
 
 
 def candidates(kind: str, n: int, seed: int = SEED) -> list[dict]:
@@ -148,12 +169,12 @@ def search(
     n: int = 3, seed: int = SEED, limit: int = WINDOW_ROWS,
 ) -> DataFrame:
     """(trial, settings, mean_pr_auc, rank) of random settings under time folds."""
-    rows = settle(assign_folds(df.select(*dict.fromkeys([*cols, label, *order])), order, bounds, limit))
+    rows = ranked_rows(df.select(*dict.fromkeys([*cols, label, *order])), order, limit)
     tried = candidates(kind, n, seed)
     scored = []
     for trial, settings in enumerate(tried):
-        for fold, *_ in bounds:
-            part = rows.filter(F.col("fold") == fold)
+        for bound in bounds:
+            part = fold_rows(rows, bound)
             model = train(part.filter(F.col("role") == "train"), cols, label, kind, **settings)
             test = score(model, part.filter(F.col("role") == "test"))
             scored.append(test.select(F.lit(trial).alias("trial"), F.lit(str(settings)).alias("settings"), "fold", "probability", label))

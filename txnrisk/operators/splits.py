@@ -129,6 +129,11 @@ def series_bounds(n: int, folds: int) -> list[tuple[int, int, int, int]]:
     return [(i, s, s, s + size) for i, s in enumerate(starts)]
 
 
+def fold_role(at: Column, train_end: int, start: int, end: int) -> Column:
+    """'train', 'test' or null of the row at place ``at`` (from 0)."""
+    return F.when(at < train_end, "train").when((at >= start) & (at < end), "test")
+
+
 def assign_folds(
     df: DataFrame, order: Sequence, bounds: Sequence[tuple[int, int, int, int]], limit: int = WINDOW_ROWS
 ) -> DataFrame:
@@ -137,7 +142,7 @@ def assign_folds(
     at = F.col("_rank") - 1
     parts = []
     for fold, train_end, start, end in bounds:
-        role = F.when(at < train_end, "train").when((at >= start) & (at < end), "test")
+        role = fold_role(at, train_end, start, end)
         parts.append(F.when(role.isNotNull(), F.struct(F.lit(fold).alias("fold"), role.alias("role"))))
     return placed.select("*", F.inline(F.filter(F.array(*parts), lambda p: p.isNotNull()))).drop("_rank")
 

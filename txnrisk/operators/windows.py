@@ -46,9 +46,11 @@ def rolling_rows(
                 frame = spec.rowsBetween(-(w - 1), 0)
                 for v in value_cols:
                     name = f"{key}_{v}"
-                    out[f"{name}_sum_{w}d"] = F.coalesce(F.sum(v).over(frame), F.lit(0.0))
-                    out[f"{name}_mean_{w}d"] = F.coalesce(F.avg(v).over(frame), F.lit(0.0))
-                    out[f"{name}_count_{w}d"] = F.count(v).over(frame)
+                    total, n = F.sum(v).over(frame), F.count(v).over(frame)
+                    out[f"{name}_sum_{w}d"] = F.coalesce(total, F.lit(0.0))
+                    # from the sum and count that the frame has anyway: each frame is read again for every row
+                    out[f"{name}_mean_{w}d"] = F.coalesce(total / F.nullif(n, F.lit(0)), F.lit(0.0))
+                    out[f"{name}_count_{w}d"] = n
                     out[f"{name}_std_{w}d"] = F.coalesce(F.stddev_samp(v).over(frame), F.lit(0.0))
             return out
 

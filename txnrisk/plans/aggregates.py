@@ -140,12 +140,7 @@ def d6_month(spark, sf_dir):
 (SELECT CAST(month(ts) AS INT) FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS peak_month""",
 )
 def d6_peak(spark, sf_dir):
-    rows = _events(spark, sf_dir)
-    out = None
-    for name, part in (("peak_hour", F.hour("ts")), ("peak_day", F.weekday("ts")), ("peak_month", F.month("ts"))):
-        top = agg.extremes(agg.rate_by(rows, part, "part", "is_high"), "part", "count").select(F.col("highest").alias(name))
-        out = top if out is None else out.withColumn(name, top.scalar())
-    return out
+    return agg.peak_periods(_events(spark, sf_dir), "ts")
 
 
 @register(

@@ -326,6 +326,20 @@ def l24(spark, sf_dir):
     return rounded(out, "roc_auc_gap", "average_precision_gap", "fpr_gap", digits=8)
 
 
+@register(
+    "l24_segment_table",
+    with_scores(
+        f"""SELECT x.model AS segment, n AS size, {sq('rate', 8)} AS fraud_rate, {sq('roc', 8)} AS roc_auc, {sq('ap', 8)} AS average_precision, {sq('fpr', 8)} AS fpr
+FROM ka JOIN (SELECT model, count(*) AS n, avg(label) AS rate, count(*) FILTER (score >= 0.5 AND label = 0)::DOUBLE / count(*) FILTER (label = 0) AS fpr FROM lm GROUP BY 1) x ON ka.model = x.model""",
+        "lm AS (SELECT CASE WHEN amount >= (SELECT quantile_cont(amount, 0.5) FROM scores) THEN 'high' ELSE 'low' END AS model, score, label FROM scores)",
+        KEYED_CURVE,
+    ),
+)
+def l24_table(spark, sf_dir):
+    rows = aggregates.median_segments(line_scores(spark, sf_dir), "amount")
+    return rounded(evaluate.segment_table(rows, "segment", "score", "label"), "fraud_rate", "roc_auc", "average_precision", "fpr", digits=8)
+
+
 @register(
     "l25_business_value",
     with_scores(

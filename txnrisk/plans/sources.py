@@ -247,13 +247,7 @@ def a16(spark, sf_dir):
 )
 def a17(spark, sf_dir):
     path = scratch_path(spark, "a17")
-    ts = F.col("timestamp")
     val, test = (F.lit(d).cast("timestamp_ntz") for d in ("1996-01-01", "1997-06-01"))
-    df = line_scores(spark, sf_dir).select(
-        *ROW_KEY, "score", "label",
-        (ts < val).cast("int").alias("is_train"),
-        ((ts >= val) & (ts < test)).cast("int").alias("is_val"),
-        (ts >= test).cast("int").alias("is_test"),
-    )
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = line_scores(spark, sf_dir).select(*ROW_KEY, "score", "label")
+    schema = writers.export_scores(rows, path, "timestamp", val, test)
+    return spark.read.schema(schema).parquet(path)

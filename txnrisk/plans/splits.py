@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.operators import encoding, evaluate, splits
+from txnrisk.operators import encoding, evaluate, models, splits
 from txnrisk.plans.aggregates import rounded
 from txnrisk.plans.joins import DAY_PAIR_SQL
 from txnrisk.plans.registry import KEY, q, register, sq, with_scores, with_transfers
@@ -226,6 +229,31 @@ def k18(spark, sf_dir):
     return out.select(*ROW_KEY, q("ensemble_score", 8).alias("ensemble_score"), "ensemble_vote")
 
 
+_FOLD_METRICS = {"recall": "tp / nullif(tp + fn, 0)", "precision": "tp / nullif(tp + fp, 0)", "f1": "2 * tp / nullif(2 * tp + fp + fn, 0)", "accuracy": "(tp + tn) / (tp + fp + fn + tn)"}
+_CM = "cm AS (SELECT fold, role, " + ", ".join(f"count(*) FILTER ({c})::DOUBLE AS {n}" for n, c in {"tp": "score >= 0.5 AND label = 1", "fp": "score >= 0.5 AND label = 0", "fn": "score < 0.5 AND label = 1", "tn": "score < 0.5 AND label = 0"}.items()) + " FROM folds GROUP BY 1, 2)"
+_MT = "mt AS (SELECT fold, role, " + ", ".join(f"coalesce({e}, 0) AS {m}" for m, e in _FOLD_METRICS.items()) + " FROM cm)"
+_LG = "lg AS (" + " UNION ALL ".join(f"SELECT fold, role, '{m}' AS metric, {e} AS v FROM mt" for m, e in [*((m, m) for m in _FOLD_METRICS), ("overall", "(recall + precision + f1 + accuracy) / 4")]) + ")"
+_PR = "pr AS (SELECT metric, fold, max(v) FILTER (role = 'train') AS tr, max(v) FILTER (role = 'test') AS te FROM lg GROUP BY 1, 2)"
+
+
+@register(
+    "k20_fold_metrics",
+    with_scores(
+        f"""SELECT metric, {sq('avg(tr)', 8)} AS train_mean, {sq('stddev_pop(tr)', 8)} AS train_std, {sq('avg(te)', 8)} AS test_mean, {sq('stddev_pop(te)', 8)} AS test_std,
+{sq('avg(tr - te)', 8)} AS overfit, {sq('stddev_pop(tr - te)', 8)} AS overfit_std, count(*) AS n_folds FROM pr GROUP BY 1""",
+        _K5, _CM, _MT, _LG, _PR,
+    ),
+)
+def k20_metrics(spark, sf_dir):
+    """The metrics of the cross-validation for a stored score instead of fitted ones."""
+    rows = line_scores(spark, sf_dir)
+    placed = models.ranked_rows(rows, ORDER)
+    folds = [models.fold_rows(placed, b) for b in splits.series_bounds(rows.count(), 5)]
+    out = models.summarise_folds(models.fold_metrics(reduce(DataFrame.unionByName, folds), "score", "label"))
+    out = out.filter(~F.col("metric").isin(models.RANK_METRICS))
+    return rounded(out, "train_mean", "train_std", "test_mean", "test_std", "overfit", "overfit_std", digits=8)
+
+
 @register(
     "k20_fold_summary",
     with_scores(

@@ -57,6 +57,22 @@ def i1(spark, sf_dir):
     return rounded(out, "iv", digits=8)
 
 
+@register(
+    "i1_default_settings",
+    with_transfers(f"SELECT variable, {sq('iv', 8)} AS iv, unique_values, unique_values > 500 AS is_suspect FROM ivt WHERE unique_values BETWEEN 2 AND 1000", IV_BASE, _LONG, _UNIQ, _CT, _W, _IV),
+)
+def i1_default(spark, sf_dir):
+    return rounded(iv.information_value(_base(spark, sf_dir), "is_fraud", IV_COLS), "iv", digits=8)
+
+
+@register(
+    "i1_skipped_columns",
+    with_transfers("SELECT v AS variable, CASE WHEN u > 8 THEN 'high_cardinality' ELSE 'constant' END AS reason, u AS unique_values FROM uniq WHERE u > 8 OR u <= 1", IV_BASE, _LONG, _UNIQ),
+)
+def i1_skipped(spark, sf_dir):
+    return iv.skipped_columns(_base(spark, sf_dir), "is_fraud", IV_COLS, max_unique=8)
+
+
 @register(
     "i2_weight_of_evidence",
     with_transfers(f"SELECT bin AS label, bin_no::DOUBLE AS bin, e::BIGINT AS events, o::BIGINT AS others, {sq('woe', 8)} AS woe FROM w WHERE v = 'amount'", IV_BASE, _LONG, _CT, _W),

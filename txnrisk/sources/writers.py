@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from txnrisk.sources.readers import RAW_COLUMNS, RAW_TIME_FORMAT
 
@@ -35,6 +36,15 @@ def write_sorted_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
     df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_scores(df: DataFrame, path: str, ts: str, val_start: Column, test_start: Column) -> StructType:
+    """Scored rows with flags of the time span they fall into; gives the written schema."""
+    at = F.col(ts)
+    flags = {"is_train": at < val_start, "is_val": (at >= val_start) & (at < test_start), "is_test": at >= test_start}
+    out = df.withColumns({name: flag.cast("int") for name, flag in flags.items()})
+    out.write.parquet(path)
+    return out.schema
+
+
 def append_json(df: DataFrame, path: str) -> None:
     """Metric, alert, evaluation and report records, one JSON object per line."""
     df.write.mode("append").json(path)
