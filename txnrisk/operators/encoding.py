@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.operators.joins import map_frequency
+from txnrisk.operators.ordering import sized
 from txnrisk.operators.quantiles import quantile_row
 
 
@@ -67,7 +68,7 @@ def target_map(df: DataFrame, column: str, label: str) -> DataFrame:
 
 def target_encode(df: DataFrame, fitted: DataFrame, column: str, out: str, default: float) -> DataFrame:
     """Mean label of the value, ``default`` for values without one."""
-    f = fitted.select(F.col("value").alias("_v"), F.col("freq").alias("_f"))
+    f = sized(fitted.select(F.col("value").alias("_v"), F.col("freq").alias("_f")))
     return df.join(f, F.col(column) == F.col("_v"), "left").withColumn(out, F.coalesce("_f", F.lit(default))).drop("_v", "_f")
 
 

@@ -11,7 +11,7 @@ from txnrisk.functions.dates import seconds
 from txnrisk.functions.labels import same_value
 from txnrisk.functions.numeric import gaussian_similarity, guarded_ratio, row_max, row_mean
 from txnrisk.operators.aggregates import value_shares
-from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, ranked
+from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, ranked, sized
 from txnrisk.operators.windows import group_size, short_run_features
 from txnrisk.session import settle
 
@@ -73,9 +73,9 @@ def edge_table(
     )
     # the numbered rows feed three dictionaries and the joins with them
     rows = settle(numbered)
-    accounts = first_seen_codes(rows, F.col("_from"), F.col("_to"), ["edge_id"], limit)
-    currencies = first_seen_codes(rows, F.col("_received"), F.col("_sent"), ["edge_id"], limit)
-    formats = dictionary(rows, "_format", ["edge_id"], limit)
+    accounts = sized(first_seen_codes(rows, F.col("_from"), F.col("_to"), ["edge_id"], limit))
+    currencies = sized(first_seen_codes(rows, F.col("_received"), F.col("_sent"), ["edge_id"], limit))
+    formats = sized(dictionary(rows, "_format", ["edge_id"], limit))
     start = rows.agg(F.min_by(seconds(F.date_trunc("day", F.col("timestamp").cast("timestamp"))), "edge_id")).scalar()
 
     def code(codes: DataFrame, column: str, out: str) -> None:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.operators.ordering import as_columns, attach
+from txnrisk.operators.ordering import as_columns, attach, sized
 
 
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
@@ -66,8 +66,8 @@ def key_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
 def map_frequency(df: DataFrame, frequencies: DataFrame, column: str, out: str) -> DataFrame:
     """Apply a fitted (value, freq) map; values it does not know get the map's mean."""
-    mean = frequencies.agg(F.avg("freq"))
-    f = frequencies.select(F.col("value").alias("_v"), F.col("freq").alias("_f"))
+    f = sized(frequencies.select(F.col("value").alias("_v"), F.col("freq").alias("_f")))
+    mean = f.agg(F.avg("_f"))
     joined = df.join(f, F.col(column) == F.col("_v"), "left")
     return joined.withColumn(out, F.coalesce("_f", mean.scalar())).drop("_v", "_f")
 

@@ -23,6 +23,8 @@ WINDOW_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 # Rows per task aimed at when rows of hot keys are range partitioned.
 RANGE_TASK_ROWS = 2_000_000
+# Largest table of one narrow row per value, in rows, that is sent to every executor.
+BROADCAST_ROWS = 100_000
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id above, row index below
 
 Names = Sequence[str]
@@ -51,6 +53,15 @@ def attach(rows: DataFrame, table: DataFrame, keys: Names, how: str = "inner") -
     return rows.join(small, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def sized(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of narrow rows, made once, and broadcast if a count shows at most ``rows`` of them.
+
+    A join with few distinct values would otherwise shuffle all rows onto these values.
+    """
+    made = settle(table)
+    return F.broadcast(made) if made.limit(rows + 1).count() <= rows else made
+
+
 def largest_group(df: DataFrame, keys: Names) -> int:
     """Rows of the largest group, from a map-side combined count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).agg(F.max("__rows")).first()[0] or 0

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions.dates import micros
-from txnrisk.operators.ordering import WINDOW_ROWS, ranked
+from txnrisk.operators.ordering import WINDOW_ROWS, ranked, sized
 from txnrisk.session import settle
 
 DAY_SECONDS = 86_400
@@ -259,7 +259,7 @@ def stratified_split(
     """
     shares = shares or {"train": 0.6, "val": 0.2, "test": 0.2}
     placed = _class_ranks(df, label, hash_cols, order, seed, limit)
-    sizes = placed.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sized(df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_size")))
     rows = placed.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
     names = list(shares)
     role: Column | None = None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.operators.clean import clean_transactions
+from txnrisk.operators.ordering import sized
 from txnrisk.operators.windows import rolling_days
 from txnrisk.plans.registry import q
 from txnrisk.sources.canonical import ROW_KEY, transfers
@@ -24,7 +25,7 @@ f AS (SELECT payment_format, avg(is_fraud) AS rate FROM clean GROUP BY 1)
 def account_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clean_transactions(transfers(spark, sf_dir))
     recent = rolling_days(rows, "source")
-    risk = rows.groupBy("payment_format").agg(F.avg("is_fraud").alias("format_fraud_rate"))
+    risk = sized(rows.groupBy("payment_format").agg(F.avg("is_fraud").alias("format_fraud_rate")))
     return recent.join(risk, "payment_format").select(
         *ROW_KEY,
         "source",
