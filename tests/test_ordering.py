@@ -117,3 +117,10 @@ def test_empty_input(spark):
     assert ordering.ranked(empty, [], ["t"], "rk", limit=0).count() == 0
     assert ordering.running_sum(empty, [], ["t"], {"s": F.col("v")}).count() == 0
     assert quantiles(empty, ["v"], [0.5]).count() == 0
+
+
+@pytest.mark.parametrize(("rows", "sent"), [(3, True), (2, False)])
+def test_only_small_tables_are_broadcast(spark, rows, sent):
+    small = ordering.sized(spark.createDataFrame([(1,), (2,), (None,)], "v int"), rows)
+    assert ("Hint" in small._jdf.queryExecution().logical().toString()) == sent
+    assert small.count() == 3
