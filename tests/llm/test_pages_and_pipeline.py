@@ -90,6 +90,46 @@ def test_repeats_across_pages_of_a_host_are_removed(spark, parts):
     assert found[92] == [legal, legal]
 
 
+def prose(rng, n: int) -> str:
+    """Words with ordinary phrases strewn in."""
+    phrases = ["at the end of the day", "one of the most", "on the other hand it is", "as a matter of fact"]
+    return " ".join(phrases[rng.integers(0, 4)] if rng.random() < 0.1 else f"w{rng.integers(0, 3000)}" for _ in range(n))
+
+
+def test_copies_keep_their_text_and_menus_go(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    menu, body = "Home News Sport Weather Contact us today", prose(rng, 120)
+    dated = body.replace(" ", " 2 May ", 1)
+    made = [(k, f"http://h.example/{k}", f"<div>{menu}</div><div>{prose(rng, 120)}</div>") for k in range(10)]
+    made += [(100 + k, f"http://h.example/c{k}", f"<div>{menu}</div><div>{b}</div>") for k, b in enumerate([body, body, dated])]
+    made += [(200 + k, f"http://two.example/{k}", f"<div>{body}</div>") for k in range(2)]
+    found = {r["page_id"]: r["text"] for r in rows(html_suffix.main_text(spark.createDataFrame(made, "page_id long, url string, html string")))}
+    assert [found[k] for k in (100, 101, 102, 200, 201)] == [body, body, dated, body, body]
+    assert not any("Sport" in t for t in found.values())
+
+
+def test_unique_runs_stay_and_long_repeats_go_inside_a_block(spark):
+    rng = np.random.Generator(np.random.PCG64(6))
+    legal, note = " ".join(f"legal{k}" for k in range(35)), "All rights reserved by the owners of this site"
+    before, after = ([f"{x}{k} {prose(rng, 40)} {x}{k}" for k in range(6)] for x in "ab")
+    made = [(k, "http://h.example/", f"<div>{before[k]} {legal} {after[k]}</div><div>{note} c{k} x{k} y</div>") for k in range(6)]
+    found = {r["page_id"]: r["text"] for r in rows(html_suffix.main_text(spark.createDataFrame(made, "page_id long, url string, html string")))}
+    for k in range(6):
+        assert found[k] == f"{before[k]} {after[k]} c{k} x{k} y"
+
+
+def test_prose_of_a_hot_host_stays_whole(spark):
+    rng = np.random.Generator(np.random.PCG64(7))
+    menu = "Home News Sport Weather Contact us today"
+    texts = [prose(rng, 60) for _ in range(3000)]
+    made = [(k, "http://hot.example/", f"<div>{menu}</div><p>{t}</p>") for k, t in enumerate(texts)]
+    small_one = spark.createDataFrame(made[:50], "page_id long, url string, html string")
+    large_one = spark.createDataFrame(made, "page_id long, url string, html string").repartition(6)
+    for df in (small_one, large_one):
+        wrong = [(texts[r["page_id"]], r["text"]) for r in rows(html_suffix.main_text(df)) if r["text"] != texts[r["page_id"]]]
+        assert not wrong
+
+
 def test_main_text_of_odd_pages(odd_pages):
     found = rows(html_suffix.main_text(odd_pages))
     assert Counter(r["text"] for r in found)["Hallo & Welt"] == 2

@@ -4,8 +4,9 @@ Pages are parsed into blocks of text: those of an article container, those with
 (menu, header, footer, sidebar, notice, advert, form, reader comments) and the rest. The tokens of
 all blocks outside an article are one stream per page; the streams of a host are concatenated and
 their suffixes sorted by prefix doubling. Neighbours in that order with a common prefix of enough
-tokens, from distinct pages, are repeated substrings. What they cover is boilerplate; of the blocks
-without a role only unique runs stay. An article's own text is kept even where pages share it.
+tokens, from distinct pages, are repeated substrings. Those on enough pages that differ otherwise
+are boilerplate; of the blocks without a role only the tokens they leave stay. Copies of a page count
+as one page. An article's own text is kept even where pages share it.
 
 A host may be any share of the pages, so its array is built in pieces, one per batch of pages. The
 heads of each piece's groups (a hash of the prefix, the smallest and largest page) are merged over
@@ -24,11 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import in_batches, stored
+from txnrisk.llm.common import in_batches, small, stored
 from txnrisk.llm.words import SPACED, Words, mix, pieces, run_hash
 
 #: Tokens that a repeated substring has at least.
-LENGTH = 5
+LENGTH = 7
+#: A repeat in the middle of a block is removed from so many covered tokens on.
+LONG = 30
+#: Unique tokens between removed ones stay from so many on.
+LEAST_RUN = 3
+#: Share of a host's distinct pages, and pages, that have a repeat which is boilerplate.
+SHARE, LEAST_PAGES = 0.05, 2
+#: A page with less than this share of tokens that no other page has is a copy of others.
+OWN = 0.1
 
 ARTICLE, PLAIN, ROLE = 1, 0, 2
 
@@ -164,11 +173,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts += [t for _, t in own]
                 sizes.append(len(own))
             kind = np.array(kinds, np.int8)
-            words = Words(pa.array([t if k != ARTICLE else "" for k, t in zip(kinds, texts, strict=True)], pa.string()), SPACED, lower=False)
+            words = Words(pa.array(texts, pa.string()), SPACED, lower=False)
             places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            tokens = pa.array(words.counts.astype(np.int32))
-            struct = pa.StructArray.from_arrays([pa.array(kind), pa.array(texts, pa.string()), tokens], ["kind", "text", "tokens"])
-            stream = pa.ListArray.from_arrays(pa.array(words.first[places].astype(np.int32)), pa.array(words.hash.view(np.int64)))
+            tokens = np.where(kind == ARTICLE, 0, words.counts)
+            struct = pa.StructArray.from_arrays([pa.array(kind), pa.array(texts, pa.string()), pa.array(tokens.astype(np.int32)), pa.array(words.counts.astype(np.int32))], ["kind", "text", "tokens", "size"])
+            first = np.concatenate([[0], np.cumsum(tokens)])[places]
+            stream = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words.hash[np.repeat(kind != ARTICLE, words.counts)].view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), part.column(4), pa.ListArray.from_arrays(pa.array(places), struct), stream], names=["page_id", "url", "key", "host", "blocks", "stream"])
 
 
@@ -218,23 +228,74 @@ def _repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _heads(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """host, head, key, place of the substrings that touch a block without a role."""
+    """host, head, key, page, place of a stream's substrings; ``plain`` if one touches a block without
+    a role, ``edge`` if it begins or ends with a block."""
     for batch in batches:
-        keys, hosts, lists, blocks_of = (batch.column(k) for k in range(4))
+        keys, pages, hosts, lists, blocks_of = (batch.column(k) for k in range(5))
         flat = lists.flatten().to_numpy().view(np.uint64)
         at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        row, head, place = [], [], []
+        row, head, place, touch, edge = [], [], [], [], []
         for i, own in enumerate(blocks_of.to_pylist()):
             plain = np.repeat([b["kind"] == PLAIN for b in own], [b["tokens"] for b in own])
-            n = len(plain)
-            if n < length:
+            n = len(plain) - length + 1
+            if n <= 0:
                 continue
-            touch = np.flatnonzero(np.convolve(plain, np.ones(length, int), "valid") > 0)
-            row.append(np.full(len(touch), i))
-            head.append(run_hash(flat, at[i] + touch, length))
-            place.append(touch)
-        row, head, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, head, place))
-        yield pa.RecordBatch.from_arrays([hosts.take(pa.array(row)), pa.array(head.view(np.int64)), keys.take(pa.array(row)), pa.array(place.astype(np.int32))], names=["host", "head", "key", "place"])
+            row.append(np.full(n, i))
+            head.append(run_hash(flat, at[i] + np.arange(n), length))
+            place.append(np.arange(n))
+            touch.append(np.convolve(plain, np.ones(length, int), "valid") > 0)
+            bounds = np.zeros(len(plain) + 1, bool)
+            bounds[np.cumsum([0, *(b["tokens"] for b in own)])] = True
+            edge.append(bounds[:n] | bounds[length:])
+        row, head, place, touch, edge = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, head, place, touch, edge))
+        row = pa.array(row)
+        columns = [hosts.take(row), pa.array(head.view(np.int64)), keys.take(row), pages.take(row), pa.array(place.astype(np.int32)), pa.array(touch.astype(bool)), pa.array(edge.astype(bool))]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "head", "key", "page", "place", "plain", "edge"])
+
+
+def left_over(own: list[tuple[int, str]], places: list[int], edged: set[int], length: int) -> str:
+    """The text of a page's (kind, text) without roles and without what the repeats at ``places`` of its stream cover.
+
+    Inside a block, covered tokens go if they are the whole block, or a run of at least LONG,
+    or if a repeat that also begins or ends blocks elsewhere (``edged``) does so here; of the rest of
+    such a block, runs of at least LEAST_RUN stay.
+    """
+    split = [[] if kind == ARTICLE else text.split(" ") for kind, text in own]
+    marks = np.zeros(sum(map(len, split)) + 1, np.int64)
+    np.add.at(marks, np.array(places, np.int64), 1)
+    np.add.at(marks, np.array(places, np.int64) + length, -1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(marks)[:-1] > 0, [0]])))
+    runs = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    out, at, k = [], 0, 0
+    for (kind, text), tokens in zip(own, split, strict=True):
+        start, stop = at, at + len(tokens)
+        at = stop
+        while k < len(runs) and runs[k][1] <= start:
+            k += 1
+        if kind == ARTICLE:
+            out.append(text)
+        if kind != PLAIN:
+            continue
+        free, gone = start, False
+        for a, b in runs[k:]:
+            if a >= stop:
+                break
+            low, high = max(a, start), min(b, stop)
+            at_edge = low == start and start in edged or high == stop and stop - length in edged
+            if (low, high) == (start, stop) or high - low >= (length if at_edge else LONG):
+                if low - free >= LEAST_RUN:
+                    out.append(" ".join(tokens[free - start : low - start]))
+                free, gone = high, True
+        if not gone or stop - free >= LEAST_RUN:
+            out.append(" ".join(tokens[free - start :]))
+    return " ".join(out)
+
+
+def _left(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blocks_of, places, edged = (batch.column(k).to_pylist() for k in (2, 3, 4))
+        texts = [left_over([(b["kind"], b["text"]) for b in own], p, set(e), length) for own, p, e in zip(blocks_of, places, edged, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def _host(url: Column) -> Column:
@@ -246,39 +307,49 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     A null, empty or text-free page gives an empty text. Pages without a url share one host; a
     page without an id is told from others by its url and content only. Repeated rows (equal ids)
-    are one page to the suffix array, so a page never makes its own text boilerplate. A page without
-    an article container keeps the blocks without a role that no repeat covers by half or more.
+    are one page to the suffix array, so a page never makes its own text boilerplate, and so are
+    copies: pages that have less than OWN of their text for themselves and share the rest. A page
+    without an article container keeps what repeats on enough pages of its host leave (``left_over``).
     Other columns are ignored.
     """
     url, source = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
     key = F.xxhash64(F.col(f"`{id_col}`"), url, source)
     rows = in_batches(pages).select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), source.alias("html"), key.alias("key"), _host(url).alias("host"))
-    kind = "page_id long, url string, key long, host string, blocks array<struct<kind: byte, text: string, tokens: int>>, stream array<long>"
-    parsed = stored(rows.mapInArrow(_parsed, kind), "blocks")
-    streams = parsed.select("host", F.coalesce("page_id", "key").alias("page"), "stream").where("size(stream) > 0")
-    groups = streams.mapInArrow(partial(_repeats, length=length), "host string, head long, low long, high long")
+    kind = "page_id long, url string, key long, host string, blocks array<struct<kind: byte, text: string, tokens: int, size: int>>, stream array<long>"
+    parsed = stored(rows.mapInArrow(_parsed, kind), "blocks").withColumn("page", F.coalesce("page_id", "key"))
+    # a host without a block that repeats could shorten needs no array
+    open_hosts = small(parsed.where(F.exists("blocks", lambda b: b["kind"] == PLAIN)).select("host").distinct())
+    opened = parsed.join(open_hosts, "host", "left_semi")
+    groups = opened.where("size(stream) > 0").select("host", "page", "stream").mapInArrow(partial(_repeats, length=length), "host string, head long, low long, high long")
     repeats = groups.groupBy("host", "head").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("host", "head")
-    open_pages = parsed.where(F.exists("blocks", lambda b: b["kind"] == PLAIN))
-    touched = open_pages.select("key", "host", "stream", F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["tokens"].alias("tokens"))).alias("blocks")).distinct()
-    heads = touched.mapInArrow(partial(_heads, length=length), "host string, head long, key long, place int")
-    covered = heads.join(repeats, ["host", "head"]).groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    covered = stored(covered, "covered").withColumnRenamed("key", "covered_key")
-    full = parsed.join(covered, F.col("key") == F.col("covered_key"), "left")
-
-    # tokens before each block, and how many of its tokens lie inside a repeated substring
-    def spans(state: Column, block: Column) -> Column:
-        return F.array_append(state, F.element_at(state, -1) + block["tokens"])
-
-    start = F.aggregate("blocks", F.array(F.lit(0)), spans)
-
-    def stays(block: Column, i: Column) -> Column:
-        first = F.get("starts", i)
-        hit = F.filter(F.sequence(first, first + F.greatest(block["tokens"], F.lit(1)) - 1), lambda t: F.exists("places", lambda p: (p <= t) & (t < p + length)))
-        unique = F.col("places").isNull() | (2 * F.size(hit) < block["tokens"])
-        has_article = F.exists("blocks", lambda b: b["kind"] == ARTICLE)
-        return (block["kind"] == ARTICLE) | ((block["kind"] == PLAIN) & ~has_article & unique)
-
-    kept = F.filter("blocks", stays)
-    text = F.concat_ws(" ", F.transform(kept, lambda b: b["text"]))
-    out = full.withColumn("starts", start).select("page_id", "url", text.alias("text"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    bare = F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["tokens"].alias("tokens")))
+    heads = opened.select("key", "page", "host", "stream", bare.alias("blocks")).mapInArrow(partial(_heads, length=length), "host string, head long, key long, page long, place int, plain boolean, edge boolean")
+    hits = stored(heads.join(repeats, ["host", "head"]), "hits")
+
+    # which pages differ otherwise: copies are named by a repeat on as many pages as the lower quarter of their repeats
+    times = hits.groupBy("host", "head").agg(F.count_distinct("page").alias("pages"))
+    own = hits.where("plain").join(times, ["host", "head"]).groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"), F.sort_array(F.collect_set(F.struct("pages", "head"))).alias("rated"))
+    nexts = F.slice("places", F.lit(2), F.size("places"))
+    covered = F.aggregate(F.zip_with("places", nexts, lambda a, b: F.least(F.lit(length), F.coalesce(b - a, F.lit(length)))), F.lit(0), lambda x, y: x + y)
+    level = F.element_at("rated", F.ceil(F.size("rated") / 4).cast("int"))["pages"]
+    own = own.withColumn("level", level).select("key", F.get(F.filter("rated", lambda r: r["pages"] == F.col("level")), F.lit(0))["head"].alias("shared"), covered.alias("covered"))
+    total = F.aggregate(F.filter("blocks", lambda b: b["kind"] != ROLE), F.lit(0), lambda n, b: n + b["size"])
+    sized = opened.select("key", "page", "host", total.alias("total")).distinct()
+    named = F.when(F.col("covered").isNull() | (F.col("total") - F.col("covered") >= OWN * F.col("total")), F.col("page")).otherwise(F.col("shared"))
+    names = stored(sized.join(own, "key", "left").select("key", "host", named.alias("name")), "names")
+    hosts = small(names.groupBy("host").agg(F.count_distinct("name").alias("of")))
+    times = [F.count_distinct("name").alias("times"), F.count_distinct(F.when(F.col("edge"), F.col("name"))).alias("edge_times")]
+    found = hits.select("host", "head", "key", "edge").distinct().join(names.select("key", "name"), "key").groupBy("host", "head").agg(*times)
+    least = F.greatest(F.lit(LEAST_PAGES), F.ceil(SHARE * F.col("of")))
+    enough = found.join(hosts, "host").where(F.col("times") >= least).select("host", "head", (F.col("edge_times") >= least).alias("edges"))
+    ends = F.collect_set(F.when(F.col("edge") & F.col("edges"), F.col("place")))
+    places = hits.where("plain").join(enough, ["host", "head"]).groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"), ends.alias("edged"))
+    places = stored(places, "covered").withColumnRenamed("key", "covered_key")
+    full = parsed.join(places, F.col("key") == F.col("covered_key"), "left")
+    kept = F.filter("blocks", lambda b: (b["kind"] == ARTICLE) | ((b["kind"] == PLAIN) & ~F.col("closed")))
+    closed = F.exists("blocks", lambda b: b["kind"] == ARTICLE)
+    whole = full.where("places IS NULL").withColumn("closed", closed).select("page_id", "url", F.concat_ws(" ", F.transform(kept, lambda b: b["text"])).alias("text"))
+    cut = full.where("places IS NOT NULL").withColumn("blocks", F.when(closed, F.filter("blocks", lambda b: b["kind"] == ARTICLE)).otherwise(F.col("blocks")))
+    cut = cut.withColumn("places", F.when(closed, F.array().cast("array<int>")).otherwise(F.col("places")))
+    cut = cut.select("page_id", "url", "blocks", "places", "edged").mapInArrow(partial(_left, length=length), "page_id long, url string, text string")
+    return whole.union(cut).withColumn("n_chars", F.char_length("text").cast("long"))
