@@ -130,6 +130,21 @@ def test_prose_of_a_hot_host_stays_whole(spark):
         assert not wrong
 
 
+def test_repeats_decide_on_pages_with_an_article(spark):
+    rng = np.random.Generator(np.random.PCG64(8))
+    menu, letter = "Home News Sport Weather Contact us today", "Get our best stories in your mail every week"
+    lead, tale, body = ([f"{x}{k} {prose(rng, 50)} {x}{k}" for k in range(12)] for x in "abc")
+    made = [(k, "http://h.example/", f"<div>{menu}</div><div>{lead[k]}</div><article><p>{tale[k]}</p><p>{letter}</p></article>") for k in range(12)]
+    made += [(50, "http://t.example/", f"<div>{body[0]}</div><article>Teaser</article>")]
+    # near copies: what most of them share is their text
+    made += [(100 + k, "http://n.example/", f"<article><p>{body[1]}</p><p>copy {k}</p></article>") for k in range(12)]
+    found = {r["page_id"]: r["text"] for r in rows(html_suffix.main_text(spark.createDataFrame(made, "page_id long, url string, html string")))}
+    for k in range(12):
+        assert found[k] == f"{lead[k]} {tale[k]}"
+        assert found[100 + k] == f"{body[1]} copy {k}"
+    assert found[50] == f"{body[0]} Teaser"
+
+
 def test_main_text_of_odd_pages(odd_pages):
     found = rows(html_suffix.main_text(odd_pages))
     assert Counter(r["text"] for r in found)["Hallo & Welt"] == 2

@@ -6,7 +6,7 @@ all blocks outside an article are one stream per page; the streams of a host are
 their suffixes sorted by prefix doubling. Neighbours in that order with a common prefix of enough
 tokens, from distinct pages, are repeated substrings. Those on enough pages that differ otherwise
 are boilerplate; of the blocks without a role only the tokens they leave stay. Copies of a page count
-as one page. An article's own text is kept even where pages share it.
+as one page. Of an article's own text, only whole blocks that most of a host's articles have go.
 
 A host may be any share of the pages, so its array is built in pieces, one per batch of pages. The
 heads of each piece's groups (a hash of the prefix, the smallest and largest page) are merged over
@@ -36,6 +36,8 @@ LONG = 30
 LEAST_RUN = 3
 #: Share of a host's distinct pages, and pages, that have a repeat which is boilerplate.
 SHARE, LEAST_PAGES = 0.05, 2
+#: Share of a host's distinct articles, and articles, that have a whole block which is boilerplate inside the container.
+INNER_SHARE, INNER_LEAST = 0.5, 10
 #: A page with less than this share of tokens that no other page has is a copy of others.
 OWN = 0.1
 
@@ -158,17 +160,12 @@ def blocks(source: str) -> list[tuple[int, str]]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of each page (text of neighbouring article blocks joined) and its stream's token hashes."""
+    """Blocks of each page and its stream's token hashes."""
     for batch in batches:
         for part, sources in pieces(batch, batch.column(2)):
             kinds, texts, sizes = [], [], []
             for source in sources.to_pylist():
-                own: list[tuple[int, str]] = []
-                for kind, text in blocks(source or ""):
-                    if own and kind == own[-1][0] == ARTICLE:
-                        own[-1] = (kind, f"{own[-1][1]} {text}")
-                    else:
-                        own.append((kind, text))
+                own = blocks(source or "")
                 kinds += [k for k, _ in own]
                 texts += [t for _, t in own]
                 sizes.append(len(own))
@@ -302,14 +299,33 @@ def _host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
 
 
+def _without_inner(parsed: DataFrame, length: int) -> DataFrame:
+    """``parsed`` without the article blocks that most of the host's distinct articles have."""
+    inside = F.filter("blocks", lambda b: b["kind"] == ARTICLE)
+    bodies = parsed.select("host", inside.alias("inside")).where("size(inside) > 0")
+    bodies = bodies.select("host", F.xxhash64(F.transform("inside", lambda b: b["text"])).alias("body"), "inside")
+    marks = F.transform(F.filter("inside", lambda b: b["size"] >= length), lambda b: F.xxhash64(b["text"]))
+    of = bodies.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of")).where(F.col("of") >= INNER_LEAST)
+    times = bodies.select("host", "body", F.explode(marks).alias("mark")).distinct().groupBy("host", "mark").agg(F.count("*").alias("times"))
+    common = times.where(F.col("times") >= INNER_LEAST).join(small(of), "host").where(F.col("times") >= INNER_SHARE * F.col("of"))
+    common = small(stored(common.groupBy("host").agg(F.collect_set("mark").alias("common")), "inner"))
+    size = partial(F.aggregate, initialValue=F.lit(0), merge=lambda n, b: n + b["size"])
+    gone = F.filter("blocks", lambda b: (b["kind"] == ARTICLE) & F.array_contains("common", F.xxhash64(b["text"])))
+    left = F.filter("blocks", lambda b: (b["kind"] != ARTICLE) | ~F.array_contains("common", F.xxhash64(b["text"])))
+    cut = F.col("common").isNotNull() & (2 * size(gone) <= size(inside))
+    return parsed.join(common, "host", "left").withColumn("blocks", F.when(cut, left).otherwise(F.col("blocks"))).drop("common")
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = LENGTH) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages``; n_chars counts code points.
 
     A null, empty or text-free page gives an empty text. Pages without a url share one host; a
     page without an id is told from others by its url and content only. Repeated rows (equal ids)
     are one page to the suffix array, so a page never makes its own text boilerplate, and so are
-    copies: pages that have less than OWN of their text for themselves and share the rest. A page
-    without an article container keeps what repeats on enough pages of its host leave (``left_over``).
+    copies: pages that have less than OWN of their text for themselves and share the rest. Text without
+    a role, beside an article container or without one, keeps what repeats on enough pages of its host
+    leave (``left_over``). A container loses the blocks of ``length`` tokens or more that most distinct
+    articles of the host have, unless these are more than half of its text.
     Other columns are ignored.
     """
     url, source = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
@@ -317,6 +333,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = in_batches(pages).select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), source.alias("html"), key.alias("key"), _host(url).alias("host"))
     kind = "page_id long, url string, key long, host string, blocks array<struct<kind: byte, text: string, tokens: int, size: int>>, stream array<long>"
     parsed = stored(rows.mapInArrow(_parsed, kind), "blocks").withColumn("page", F.coalesce("page_id", "key"))
+    parsed = _without_inner(parsed, length)
     # a host without a block that repeats could shorten needs no array
     open_hosts = small(parsed.where(F.exists("blocks", lambda b: b["kind"] == PLAIN)).select("host").distinct())
     opened = parsed.join(open_hosts, "host", "left_semi")
@@ -346,10 +363,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     places = hits.where("plain").join(enough, ["host", "head"]).groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"), ends.alias("edged"))
     places = stored(places, "covered").withColumnRenamed("key", "covered_key")
     full = parsed.join(places, F.col("key") == F.col("covered_key"), "left")
-    kept = F.filter("blocks", lambda b: (b["kind"] == ARTICLE) | ((b["kind"] == PLAIN) & ~F.col("closed")))
-    closed = F.exists("blocks", lambda b: b["kind"] == ARTICLE)
-    whole = full.where("places IS NULL").withColumn("closed", closed).select("page_id", "url", F.concat_ws(" ", F.transform(kept, lambda b: b["text"])).alias("text"))
-    cut = full.where("places IS NOT NULL").withColumn("blocks", F.when(closed, F.filter("blocks", lambda b: b["kind"] == ARTICLE)).otherwise(F.col("blocks")))
-    cut = cut.withColumn("places", F.when(closed, F.array().cast("array<int>")).otherwise(F.col("places")))
+    kept = F.transform(F.filter("blocks", lambda b: b["kind"] != ROLE), lambda b: b["text"])
+    whole = full.where("places IS NULL").select("page_id", "url", F.concat_ws(" ", kept).alias("text"))
+    cut = full.where("places IS NOT NULL")
     cut = cut.select("page_id", "url", "blocks", "places", "edged").mapInArrow(partial(_left, length=length), "page_id long, url string, text string")
     return whole.union(cut).withColumn("n_chars", F.char_length("text").cast("long"))
