@@ -215,6 +215,13 @@ def test_base_rules_equal_brute_force(spark, sf, documents, odd):
         assert tuple(r["n_words n_symbols n_dup_lines n_repeat_words".split()[0]] for _ in [0]) == (base_by_force(r["row"]["text"])[0],)
 
 
+def test_repeated_lines_beside_lines_without_words():
+    texts = ["A b\r\n\r\nA b\r\nC", "A b\n \nA b\nC", "x y\n\t \nz\nx y", "\n \nx y", " \t\nx y\nx y", "\r\nq\r\n\r\nq\r\n", "", " \n", "é\n\x0b\né"]
+    for own in (texts, texts[::-1], *([t, u] for t in texts for u in texts)):
+        found = fertility._repeated_lines(Words(pa.array(own), SPACED, lower=False))
+        assert found.tolist() == [base_by_force(t)[3] for t in own]
+
+
 def test_fertility_figures_equal_brute_force(spark, documents):
     import sentencepiece
 

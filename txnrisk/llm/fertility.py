@@ -129,8 +129,11 @@ def _repeated_lines(words: Words) -> np.ndarray:
     stop = stop - (data[stop - 1] == 10)
     has = np.searchsorted(words.start, stop) > np.searchsorted(words.start, begin)
     begin, stop, owner = begin[has], stop[has], owner[has]
-    # a line break hashes as nothing, so that it does not tell lines apart
-    hashes = spans_hash(data, begin, stop, data != 10)
+    # bytes outside the kept lines hash as nothing: breaks, lines without a word, the next text's first lines
+    marks = np.zeros(len(data) + 1, np.int8)
+    marks[begin] += 1
+    marks[stop] -= 1
+    hashes = spans_hash(data, begin, stop, np.cumsum(marks[:-1]) > 0)
     _, one = np.unique(hashes ^ mix(owner.astype(np.uint64)), return_index=True)
     return np.bincount(owner, minlength=n) - np.bincount(owner[one], minlength=n)
 
