@@ -53,6 +53,22 @@ def test_roles_raw_text_and_references():
     assert [t for k, t in kinds if k == html_suffix.PLAIN] == []
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "with-header", "no-ads", "nav-open", "page-header", "site-nav"])
+def test_an_article_in_a_layout_wrapper_stays(name):
+    kinds = html_suffix.blocks(f'<body><div class="{name}"><nav>n</nav><article>body<div class="share">s</div></article></div>')
+    assert kinds == [(html_suffix.ROLE, "n"), (html_suffix.ARTICLE, "body"), (html_suffix.ROLE, "s")]
+
+
+@pytest.mark.parametrize("name", ["comments", "sidebar", "related-posts sidebar-left", "cookie-notice"])
+def test_named_boilerplate_keeps_its_role(name):
+    assert html_suffix.blocks(f'<div class="{name}"><article>x</article></div><p>y') == [(html_suffix.ROLE, "x"), (html_suffix.PLAIN, "y")]
+
+
+@pytest.mark.parametrize("page", ["<head><title>t</title><meta x><p>a</p><p>b</p>", "<head><title>t</title><body><p>a</p>b", "<html><head><style>s</style>a<p>b</p>", "<head><noscript>n</noscript><script>s</script></head><p>a<p>b"])
+def test_a_head_ends_where_the_body_begins(page):
+    assert html_suffix.blocks(page) == [(html_suffix.PLAIN, "a"), (html_suffix.PLAIN, "b")]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "a<b>c", "</p></div>x", "<script>never ends", "<!-- never ends", "<p class='ad>x</p>", "<div hidden>x</div>y", "&#x110000; &bogus; &amp"])
 def test_broken_markup_does_not_stop(page):
     assert isinstance(html_suffix.blocks(page), list)

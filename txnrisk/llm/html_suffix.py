@@ -50,10 +50,13 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
 _NEVER = {"head", "noscript", "template", "object", "svg", "math", "canvas", "audio", "video", "select", "datalist", "button", "map"}
 _ROLES = {"nav", "menu", "footer", "aside", "form", "dialog"}
 _ARIA = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:s|tion|tions)?|banner|nav|navbar|navigation|menu|menus|breadcrumbs?|masthead|topbar|footer|sidebar|side|aside|widgets?"
-    r"|notices?|alert|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend(?:ed|ations?)|comments?|replies|reply|respond|disqus|login|search|pagination|pager|disclaimer|copyright|header)(?:$|[\s_-])"
-)
+_HARD = r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:s|tion|tions)?|breadcrumbs?|sidebar|side|aside|widgets?|notices?|cookies?|consent|gdpr|newsletter|subscribe|signup|related|recommend(?:ed|ations?)|comments?|replies|reply|respond|disqus|pagination|pager|disclaimer|copyright"
+_SOFT = r"banner|nav|navbar|navigation|menu|menus|masthead|topbar|footer|alert|popup|modal|overlay|share|sharing|social|login|search|header"
+#: Words beside a name in one class: where it is and what shape it has, not what it has or how it is.
+_BESIDE = r"site|page|global|main|primary|secondary|post|article|entry|user|top|bottom|left|right|upper|lower|inner|outer|bar|box|wrap|wrapper|container|area|section|block|list|item|items|links|link|buttons?|form|panel|slot|unit|text|body|icons|toolbar|posts?|articles?|stories|content|thread|count|title|feed|cards?|message|\d+"
+_NAMES = re.compile(rf"(?:(?:{_BESIDE})[_-]+)*(?:({_HARD})|{_SOFT})(?:[_-]+(?:({_HARD})|{_SOFT}|{_BESIDE}))*")
+#: Elements that a head may hold; any other one begins the body.
+_HEAD = {"meta", "link", "title", "base", "style", "script", "noscript", "template", "basefont", "bgsound", "noframes", "head"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _CLOSERS: dict[str, re.Pattern] = {}
@@ -66,7 +69,8 @@ def _closer(tag: str) -> re.Pattern:
 
 
 def _role(tag: str, attributes: str, inside: bool) -> str:
-    """'drop' for what is no text at all, 'role' for boilerplate, 'article' for a container, else ''."""
+    """'drop' for what is no text at all, 'role' for boilerplate, 'soft' for boilerplate by a name that an
+    article inside overrules, 'article' for a container, else ''."""
     if tag in _NEVER:
         return "drop"
     if tag in _ROLES or tag == "header" and not inside:
@@ -82,9 +86,14 @@ def _role(tag: str, attributes: str, inside: bool) -> str:
         if role in _ARIA:
             return "role"
         if tag not in ("html", "body", "article", "main"):
-            for m in _NAMES.finditer(f"{named.get('class', '')} {named.get('id', '')}"):
-                if not (inside and "header" in m[0]):
+            soft = False
+            for name in f"{named.get('class', '')} {named.get('id', '')}".split():
+                m = _NAMES.fullmatch(name)
+                if m and (m[1] or m[2]):
                     return "role"
+                soft |= m is not None and not (inside and "header" in name)
+            if soft:
+                return "soft"
         if role in ("main", "article"):
             return "article"
     return "article" if tag in ("article", "main") else ""
@@ -97,16 +106,30 @@ def blocks(source: str) -> list[tuple[int, str]]:
     """
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, str]] = []
-    state = {"drop": 0, "role": 0, "article": 0}
+    stack: list[tuple[str, str, int]] = []
+    state = {"drop": 0, "role": 0, "soft": 0, "article": 0}
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((ROLE if state["role"] else ARTICLE if state["article"] else PLAIN, text))
+            out.append((ROLE if state["role"] or state["soft"] else ARTICLE if state["article"] else PLAIN, text))
+
+    def pop() -> str:
+        name, role, soft = stack.pop()
+        if role:
+            state[role] -= 1
+        if role == "article":
+            state["soft"] = soft
+        return name
+
+    def leave_head() -> None:
+        if stack and stack[-1][0] == "head":
+            pop()
 
     def put(text: str) -> None:
+        if text and state["drop"] and not text.isspace():
+            leave_head()
         if text and not state["drop"]:
             held.append(text)
 
@@ -128,17 +151,15 @@ def blocks(source: str) -> list[tuple[int, str]]:
             else:
                 flush()
         if close:
-            if any(t == tag for t, _ in stack):
-                flush_after = any(r for _, r in stack[max(k for k, (t, _) in enumerate(stack) if t == tag) :])
+            if any(t == tag for t, *_ in stack):
+                flush_after = any(r for _, r, _ in stack[max(k for k, (t, *_) in enumerate(stack) if t == tag) :])
                 if flush_after:
                     flush()
-                while True:
-                    name, role = stack.pop()
-                    if role:
-                        state[role] -= 1
-                    if name == tag:
-                        break
+                while pop() != tag:
+                    pass
             continue
+        if tag not in _HEAD:
+            leave_head()
         if tag in _RAW:
             end = _closer(tag).search(source, at)
             if tag == "textarea" or tag == "title":
@@ -151,10 +172,13 @@ def blocks(source: str) -> list[tuple[int, str]]:
         if role:
             flush()
             state[role] += 1
+        soft = state["soft"]
+        if role == "article":
+            state["soft"] = 0
         # an open paragraph or list item ends where the next one begins
         if tag in ("p", "li") and stack and stack[-1][0] == tag and not stack[-1][1]:
             stack.pop()
-        stack.append((tag, role))
+        stack.append((tag, role, soft))
     flush()
     return out
 
