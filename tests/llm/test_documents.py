@@ -247,6 +247,19 @@ def test_bands_reject_gibberish_and_keep_prose(spark):
     assert not {r["row"]["doc_id"]: r["kept"] for r in rows(fertility.judged(mixed))}[2000]
 
 
+def test_small_groups_are_judged_and_copies_count_once(spark):
+    rng = np.random.Generator(np.random.PCG64(4))
+    vocabulary = "the of and to in that is was for on with as by from this are be at or it house water people little".split()
+    prose = [(k, " ".join(vocabulary[i] for i in rng.integers(0, len(vocabulary), 200)), "en") for k in range(300)]
+    noise = [" ".join("".join(map(chr, rng.integers(0x2600, 0x2700, 6))) for _ in range(200)) for _ in range(4)]
+    few = [(1000 + k, t, lang) for k, (t, lang) in enumerate(zip(noise, ["en", "en", "en", "xx"], strict=True))]
+    mixed = " ".join("zqxjkvb" + chr(0x1F600 + k % 60) * 3 for k in range(200))
+    copies = [(2000 + k, mixed, "en") for k in range(400)]
+    found = {r["row"]["doc_id"]: r["kept"] for r in rows(fertility.judged(spark.createDataFrame(prose + few + copies, "doc_id long, text string, lang string")))}
+    assert not any(found[i] for i, _, _ in few + copies)
+    assert sum(found[i] for i, _, _ in prose) >= 297
+
+
 def test_quality_of_nothing(odd):
     assert rows(fertility.judged(odd.limit(0))) == []
 

@@ -23,9 +23,9 @@ from txnrisk.llm.words import SPACED, Words, mix, pieces, spans_hash
 VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MIN_WORDS = 50
 #: A text is rejected only if a figure lies so many times the distance of the quartiles outside them.
-REACH = 5.0
-#: Bands of a language and script with fewer texts than this are not applied.
-LEAST_TEXTS = 100
+REACH = 3.0
+#: With fewer distinct texts than this a language and script has its language's band, and a language the band of all.
+LEAST_TEXTS, LEAST_LANG = 100, 20
 METRICS = ("chars_per_token", "byte_share", "entropy")
 #: Least distance of the quartiles that is reckoned with, by metric: figures that hardly vary get no zero-width band.
 LEAST_SPREAD = {"chars_per_token": 0.02, "byte_share": 0.01, "entropy": 0.05}
@@ -190,24 +190,32 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", voca
     words in repeated 3-word windows) and for rows with a figure outside its band. A null language
     is a group of its own; a null or empty text has no words and fails the base rules; repeated
     rows get equal verdicts; extra columns pass through inside ``row``. The bands come from all
-    rows that pass the base rules, so an empty table gives an empty result.
+    distinct texts that pass the base rules; a small group is judged by its language's band or the
+    band of all texts. An empty table gives an empty result.
     """
     seen = stored(measures(docs, text_col, vocabulary), "measured")
     lang = F.coalesce(F.col(f"row.`{lang_col}`").cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
     seen = seen.withColumns({"lang": lang, "base_failed": base_failed()})
     # exact quantiles of figures rounded to thousandths: the same bands in any partitioning, from a few thousand counts
-    figures = F.array(*(F.struct(F.lit(m).alias("metric"), F.round(m, 3).alias("value")) for m in METRICS))
-    rounded = seen.where("not base_failed").select("lang", "script", F.inline(figures))
-    counts = rounded.groupBy("lang", "script", "metric", "value").agg(F.count("*").alias("texts"))
-    points = [F.percentile(F.when(F.col("metric") == m, F.col("value")), [0.25, 0.75], F.col("texts")).alias(m) for m in METRICS]
-    own = F.sum(F.when(F.col("metric") == METRICS[0], F.col("texts"))).alias("texts")
-    bands = counts.groupBy("lang", "script").agg(own, *points)
-    edges = []
-    for m in METRICS:
-        low, high = (F.col(m)[k] for k in range(2))
-        spread = F.greatest(high - low, F.lit(LEAST_SPREAD[m]))
-        edges += [(low - reach * spread).alias(f"{m}_low"), (high + reach * spread).alias(f"{m}_high")]
-    bands = small(bands.where(F.col("texts") >= LEAST_TEXTS).select("lang", "script", *edges))
+    figures = [F.round(m, 3).alias(m) for m in METRICS]
+    # copies of a text count once
+    once = seen.where("not base_failed").select("lang", "script", F.xxhash64(F.col(f"row.`{text_col}`")).alias("text"), *figures).distinct()
+    long = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))
+    counts = stored(once.select("lang", "script", F.inline(long)).groupBy("lang", "script", "metric", "value").agg(F.count("*").alias("texts")), "figures")
+
+    def fences(keys: list[str], least: int) -> DataFrame:
+        points = [F.percentile(F.when(F.col("metric") == m, F.col("value")), [0.25, 0.75], F.col("texts")).alias(m) for m in METRICS]
+        own = F.sum(F.when(F.col("metric") == METRICS[0], F.col("texts"))).alias("texts")
+        edges = []
+        for m in METRICS:
+            low, high = (F.col(m)[k] for k in range(2))
+            spread = F.greatest(high - low, F.lit(LEAST_SPREAD[m]))
+            edges += [(low - reach * spread).alias(f"{m}_low"), (high + reach * spread).alias(f"{m}_high")]
+        return counts.groupBy(*keys).agg(own, *points).where(F.col("texts") >= least).select(*keys, F.struct(*edges).alias("_".join(["by", *keys])))
+
+    groups = counts.select("lang", "script").distinct().join(fences(["lang", "script"], LEAST_TEXTS), ["lang", "script"], "left")
+    groups = groups.join(fences(["lang"], LEAST_LANG), "lang", "left").join(F.broadcast(fences([], 1)), F.lit(True), "left")
+    bands = small(groups.select("lang", "script", F.coalesce("by_lang_script", "by_lang", "by").alias("band")).select("lang", "script", "band.*"))
     inside = F.lit(True)
     for m in METRICS:
         inside &= F.coalesce(F.col(m).between(F.col(f"{m}_low") - 1e-9, F.col(f"{m}_high") + 1e-9), F.lit(True))
