@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.llm import chosen_path, decontam, entropy_mix, fertility, html_suffix, longest_match, nbsvm, pii_chain, ring, warc
+from txnrisk.llm import (
+    chosen_path, decontam, entropy_mix, fertility, html_suffix, longest_match, nbsvm, pii_chain, ring, speculative_bpe, trie_pairs, warc, whitening,
+)
 from txnrisk.llm.common import table
 
 
@@ -55,11 +57,27 @@ def op10_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their near words; null texts, ids and empty tables as in ``spelling_variants``."""
+    return trie_pairs.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_cholesky_jacobi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on their first eight components; nulls, odd lengths and empty tables as in ``whitened``."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's token ids and decoded text; a null text has no tokens, as in ``encoded``."""
+    return speculative_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_host_suffix_array, op2_bounded_ring, op3_bayes_support_vectors, op4_chunked_records, op5_prefix_filter,
         op6_skip_chain, op7_chosen_path, op8_fertility, op9_longest_match, op10_entropy_balance,
+        op11_trie_pairs, op12_cholesky_jacobi, op13_speculative_bpe,
     )
 }
 
