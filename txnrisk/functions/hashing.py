@@ -24,3 +24,17 @@ def table_hash(df: DataFrame) -> DataFrame:
         F.bit_xor(h).alias("xor_hash"),
         F.sum(h.cast("decimal(20,0)")).cast("string").alias("sum_hash"),
     )
+
+
+def table_digest(df: DataFrame) -> DataFrame:
+    """As ``table_hash``, from the first 60 bits of each row's MD5, which other engines have too.
+
+    Values count as text after their length, nulls as ``-``, so no two rows share a text.
+    """
+    each = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in df.columns]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *each)), 1, 15), 16, 10).cast("long")
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bit_xor(h).alias("xor_hash"),
+        F.sum(h.cast("decimal(20,0)")).cast("string").alias("sum_hash"),
+    )

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.operators.joins import align_rows, thresholds_met
-from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, attach, ranked, running_sum
+from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, attach, running_sum
+from txnrisk.operators.selection import cut_ranks, leading_number
 from txnrisk.session import settle
 
 # Costs of a false and a missed alert, and the regulatory limits.
@@ -137,9 +138,20 @@ def best_f1_point(points: DataFrame, keys: Sequence[str] = (), guard: float = 1e
     return rows.groupBy(*keys).agg(F.min_by("precision", lead).alias("precision"), F.min_by("recall", lead).alias("recall"))
 
 
-def _score_ranks(df: DataFrame, score: str, label: str, order: Sequence, keys: Sequence[str], limit: int) -> DataFrame:
-    placed = ranked(df, keys, [F.col(score).desc(), *as_columns(order)], "_rank", limit)
-    return placed.select(*keys, "_rank", (F.col(label) == 1).cast("int").alias("_y"))
+def _hits(
+    df: DataFrame, score: str, label: str, order: Sequence, cuts: Sequence[Column], keys: Sequence[str], limit: int
+) -> DataFrame:
+    """keys..., _n, _pos, _hits: positives among the first rows by score, per ascending cut (of the size ``n``)."""
+    by_score = [F.col(score).desc(), *as_columns(order)]
+    lead = leading_number(df, score, descending=True)
+    if lead is None:
+        raise TypeError(f"{score} is not a number")
+    placed = cut_ranks(df, keys, by_score, lead, cuts, "_cut", limit)
+    y = (F.col(label) == 1).cast("int")
+    return placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_pos"),
+        F.array(*[F.sum(F.when(F.col("_cut") <= k, y).otherwise(0)) for k in range(len(cuts))]).alias("_hits"),
+    )
 
 
 def metrics_at_k(
@@ -147,12 +159,9 @@ def metrics_at_k(
 ) -> DataFrame:
     """keys..., k, hits, precision, recall; a k above the number of rows becomes that number."""
     keys = list(keys)
-    placed = _score_ranks(df, score, label, order, keys, limit)
-    sums = [F.sum(F.when(F.col("_rank") <= k, F.col("_y")).otherwise(0)).alias(f"_h{i}") for i, k in enumerate(ks)]
-    base = placed.groupBy(*keys).agg(F.sum("_y").alias("_pos"), F.count(F.lit(1)).alias("_n"), *sums)
-    rows = [
-        F.struct(F.least(F.lit(int(k)).cast("long"), F.col("_n")).alias("k"), F.col(f"_h{i}").alias("hits")) for i, k in enumerate(ks)
-    ]
+    ks = sorted({int(k) for k in ks})
+    base = _hits(df, score, label, order, [F.lit(k).cast("long") for k in ks], keys, limit)
+    rows = [F.struct(F.least(F.lit(k).cast("long"), F.col("_n")).alias("k"), F.col("_hits")[i].alias("hits")) for i, k in enumerate(ks)]
     flat = base.select(*keys, "_pos", F.inline(F.array_distinct(F.array(*rows))))
     return flat.select(*keys, "k", "hits", ratio(F.col("hits"), F.col("k")).alias("precision"), ratio(F.col("hits"), F.col("_pos")).alias("recall"))
 
@@ -163,16 +172,11 @@ def metrics_at_share(
 ) -> DataFrame:
     """keys..., share, k, hits, precision, recall at the top share of rows, at least one row."""
     keys = list(keys)
-    placed = settle(_score_ranks(df, score, label, order, keys, limit))
-    totals = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
-    rows = attach(placed, totals, keys)
-    cuts = [F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(s)))) for s in shares]
-    sums = [F.sum(F.when(F.col("_rank") <= c, F.col("_y")).otherwise(0)).alias(f"_h{i}") for i, c in enumerate(cuts)]
-    base = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_pos").alias("_pos"), *sums)
-    flat = base.select(
-        *keys, "_pos",
-        F.inline(F.array(*[F.struct(F.lit(float(s)).alias("share"), c.cast("long").alias("k"), F.col(f"_h{i}").alias("hits")) for i, (s, c) in enumerate(zip(shares, cuts))])),
-    )
+    shares = sorted({float(s) for s in shares})
+    cut = lambda n, s: F.greatest(F.lit(1), F.floor(F.col(n) * F.lit(s))).cast("long")
+    base = _hits(df, score, label, order, [cut("n", s) for s in shares], keys, limit)
+    rows = [F.struct(F.lit(s).alias("share"), cut("_n", s).alias("k"), F.col("_hits")[i].alias("hits")) for i, s in enumerate(shares)]
+    flat = base.select(*keys, "_pos", F.inline(F.array(*rows)))
     return flat.select(*keys, "share", "k", "hits", ratio(F.col("hits"), F.col("k")).alias("precision"), ratio(F.col("hits"), F.col("_pos")).alias("recall"))
 
 

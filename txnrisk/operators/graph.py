@@ -11,11 +11,15 @@ from txnrisk.functions.dates import seconds
 from txnrisk.functions.labels import same_value
 from txnrisk.functions.numeric import gaussian_similarity, guarded_ratio, row_max, row_mean
 from txnrisk.operators.aggregates import value_shares
-from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, ranked, sized
-from txnrisk.operators.windows import group_size, short_run_features
+from txnrisk.operators.ordering import BROADCAST_ROWS, WINDOW_ROWS, as_columns, global_rank, ranked, sized
+from txnrisk.operators.windows import group_sizes, short_run_features
 from txnrisk.session import settle
 
 
+# Most values of a dictionary that become literals.
+LITERAL_CODES = 200
+
+
 def dictionary(df: DataFrame, column: str, order: Sequence, limit: int = WINDOW_ROWS) -> DataFrame:
     """(value, code): dense codes from 0 in the order in which values are first seen.
 
@@ -59,44 +63,58 @@ def edge_table(
     """
     sent = sent_currency if sent_currency is not None else F.lit("Euro")
     received = received_currency if received_currency is not None else F.lit("Euro")
-    numbered = ranked(df, [], order, "_rank", limit).select(
-        (F.col("_rank") - 1).alias("edge_id"),
-        account_key(F.col("from_bank"), F.col("source")).alias("_from"),
-        account_key(F.col("to_bank"), F.col("target")).alias("_to"),
-        F.col("timestamp"),
-        F.col(amount_sent).alias("amount_sent"),
-        sent.alias("_sent"),
-        F.col(amount_received).alias("amount_received"),
-        received.alias("_received"),
-        F.col("payment_format").alias("_format"),
-        F.col("is_fraud"),
-    )
-    # the numbered rows feed three dictionaries and the joins with them
-    rows = settle(numbered)
-    accounts = sized(first_seen_codes(rows, F.col("_from"), F.col("_to"), ["edge_id"], limit))
-    currencies = sized(first_seen_codes(rows, F.col("_received"), F.col("_sent"), ["edge_id"], limit))
-    formats = sized(dictionary(rows, "_format", ["edge_id"], limit))
-    start = rows.agg(F.min_by(seconds(F.date_trunc("day", F.col("timestamp").cast("timestamp"))), "edge_id")).scalar()
-
-    def code(codes: DataFrame, column: str, out: str) -> None:
-        nonlocal rows
-        c = codes.select(F.col("value").alias("_v"), F.col("code").alias(out))
-        # an unknown bank, account, currency or format has a code too
-        rows = rows.join(c, F.col(column).eqNullSafe(F.col("_v"))).drop("_v", column)
-
-    code(accounts, "_from", "from_id")
-    code(accounts, "_to", "to_id")
-    code(currencies, "_sent", "sent_currency")
-    code(currencies, "_received", "received_currency")
-    code(formats, "_format", "payment_format")
-    return rows.withColumn("seconds", seconds(F.col("timestamp")) - start + 10).drop("timestamp")
+    keep = {
+        "_from": account_key(F.col("from_bank"), F.col("source")), "_to": account_key(F.col("to_bank"), F.col("target")),
+        "_at": F.col("timestamp"), "amount_sent": F.col(amount_sent), "_sent": sent.cast("string"), "amount_received": F.col(amount_received),
+        "_received": received.cast("string"), "_format": F.col("payment_format").cast("string"), "is_fraud": F.col("is_fraud"),
+    }
+    by = [f"_o{i}" for i in range(len(order))]
+    narrow = df.select(*[F.col(c).alias(o) for c, o in zip(order, by, strict=True)], *[c.alias(n) for n, c in keep.items()])
+    # numbered by sorted partitions, which are stored once; everything else reads them
+    rows = global_rank(narrow, by, "edge_id", df.count()).drop(*by)
+    firsts = settle(_first_places(rows))
+    start = rows.agg(F.min_by(seconds(F.date_trunc("day", F.col("_at").cast("timestamp"))), "edge_id")).scalar()
+    # an unknown bank, account, currency or format has a code too
+    accounts = ranked(firsts.where("kind = 'account'").select("value", "place"), [], ["place"], "_rank", limit)
+    accounts = accounts.select(F.col("value").alias("_v"), (F.col("_rank") - 1).alias("_code"))
+    few = firsts.where("kind = 'account'").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    codes = F.broadcast(accounts) if few else settle(accounts)
+    for column, out in (("_from", "from_id"), ("_to", "to_id")):
+        rows = rows.join(codes, F.col(column).eqNullSafe(F.col("_v"))).drop("_v", column).withColumnRenamed("_code", out)
+    for kind, columns in (("currency", {"_sent": "sent_currency", "_received": "received_currency"}), ("format", {"_format": "payment_format"})):
+        rows = _coded(rows, firsts.where(F.col("kind") == kind).select("value", "place"), columns, limit)
+    return rows.withColumn("seconds", seconds(F.col("_at")) - start + 10).drop("_at")
+
+
+def _first_places(rows: DataFrame) -> DataFrame:
+    """(kind, value, place): the first place of each account, currency and format, in one aggregation.
+
+    Within a row the sender comes before the receiver, but the received currency before the sent one.
+    """
+    spots = [("account", "_from", 0), ("account", "_to", 1), ("currency", "_received", 0), ("currency", "_sent", 1), ("format", "_format", 0)]
+    each = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("value"), (F.col("edge_id") * 2 + i).alias("place")) for k, c, i in spots]
+    return rows.select(F.inline(F.array(*each))).groupBy("kind", "value").agg(F.min("place").alias("place"))
+
+
+def _coded(rows: DataFrame, firsts: DataFrame, columns: dict[str, str], limit: int) -> DataFrame:
+    """Replace columns by their codes in the order of first places: literals if there are few values, else a join."""
+    found = firsts.orderBy("place").limit(LITERAL_CODES + 1).collect()
+    if len(found) <= LITERAL_CODES:
+        known = [F.lit(x) for i, r in enumerate(found) if r["value"] is not None for x in (r["value"], i)]
+        missing = next((i for i, r in enumerate(found) if r["value"] is None), None)
+        for column, out in columns.items():
+            code = F.try_element_at(F.create_map(*known), F.col(column)) if known else F.lit(None)
+            rows = rows.withColumn(out, F.coalesce(code, F.lit(missing)).cast("long")).drop(column)
+        return rows
+    codes = sized(ranked(firsts, [], ["place"], "_rank", limit).select(F.col("value").alias("_v"), (F.col("_rank") - 1).alias("_code")))
+    for column, out in columns.items():
+        rows = rows.join(codes, F.col(column).eqNullSafe(F.col("_v"))).drop("_v", column).withColumnRenamed("_code", out)
+    return rows
 
 
 def network_counts(df: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
     """Transactions of the row's sender, of its receiver, and of the pair."""
-    df = group_size(df, [src], "source_degree")
-    df = group_size(df, [dst], "target_degree")
-    return group_size(df, [src, dst], "pair_frequency")
+    return group_sizes(df, {"source_degree": ([src], None), "target_degree": ([dst], None), "pair_frequency": ([src, dst], None)})
 
 
 def _degrees(edges: DataFrame, src: str, dst: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -152,8 +170,7 @@ def fan_degrees(df: DataFrame, src: str = "source", dst: str = "target") -> Data
 
 def degree_ratio(df: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
     """Transfers of the sender over transfers to the receiver plus one."""
-    df = group_size(df, [src], "account_out_degree", counted=dst)
-    df = group_size(df, [dst], "account_in_degree", counted=src)
+    df = group_sizes(df, {"account_out_degree": ([src], dst), "account_in_degree": ([dst], src)})
     return df.withColumns(
         {
             "account_degree_centrality": F.col("account_out_degree"),
@@ -165,11 +182,12 @@ def degree_ratio(df: DataFrame, src: str = "source", dst: str = "target") -> Dat
 def bank_concentration(df: DataFrame, from_bank: str = "from_bank", to_bank: str = "to_bank", rare: float = 0.01) -> DataFrame:
     """Share of all rows per bank, rare-bank flags and the same-bank flag."""
     total = df.agg(F.count(F.lit(1))).scalar()
+    banks = {f"_n_{bank}": ([bank], bank) for bank in dict.fromkeys((from_bank, to_bank))}
+    df = group_sizes(df, banks)
     for bank in (from_bank, to_bank):
-        df = group_size(df, [bank], "_n", counted=bank)
-        df = df.withColumn(f"{bank}_frequency", F.col("_n") / total).drop("_n")
+        df = df.withColumn(f"{bank}_frequency", F.col(f"_n_{bank}") / total)
         df = df.withColumn(f"{bank}_is_rare", (F.col(f"{bank}_frequency") < rare).cast("int"))
-    return df.withColumn("same_bank_transfer", same_value(F.col(from_bank), F.col(to_bank)))
+    return df.withColumn("same_bank_transfer", same_value(F.col(from_bank), F.col(to_bank))).drop(*banks)
 
 
 def amount_similarity(df: DataFrame, patterns: DataFrame, amount: str = "amount") -> DataFrame:

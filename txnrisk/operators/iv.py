@@ -1,8 +1,8 @@
 """Weight of evidence and information value.
 
-Everything starts from one aggregation: per column and distinct value, how many rows and
-how many events. Quantile edges, bins and contingency tables all come from that table,
-so the transactions are read once for all features.
+A sketch tells which numeric columns surely have many values. Those get exact quantile edges, which are
+literals of one scan that counts a few bins per task. All other columns are counted per distinct value,
+and their edges, bins and contingency tables come from that small table.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.sql import types as T
 
 from txnrisk.functions.numeric import log_odds
 from txnrisk.operators.ordering import WINDOW_ROWS
-from txnrisk.operators.quantiles import long_form, quantiles_of_counts
+from txnrisk.operators.quantiles import long_form, quantile_row, quantiles_of_counts
 from txnrisk.session import settle
 
 MISSING = "**MISSING**"
+# Most distinct values that a sketch is asked to tell apart.
+TOLD_APART = 1000
 
 
 def _numeric(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -75,13 +77,80 @@ def _bin_of(value: Column, edges: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.filter(edges, lambda e: e < value)))
 
 
-def binned(profile: DataFrame, bins: int = 10, limit: int = WINDOW_ROWS) -> DataFrame:
+def _many_valued(known: DataFrame, numeric: Sequence[str], most: int) -> list[str]:
+    """Numeric columns proven to have more than ``most`` distinct values: a sketch's quantiles are values
+    of the column, so they are never more than its distinct values."""
+    if not numeric:
+        return []
+    steps = 2 * most + 2
+    grid = [i / steps for i in range(steps + 1)]
+    value = {c: F.col(c).cast("double") for c in numeric}
+    found = known.agg(
+        *[F.size(F.array_distinct(F.percentile_approx(F.when(~F.isnan(v), v), grid, 2 * steps))).alias(c) for c, v in value.items()]
+    ).first()
+    return [c for c in numeric if (found[c] or 0) > most]
+
+
+def binned(
+    df: DataFrame, target: str, cols: Sequence[str], bins: int = 10, limit: int = WINDOW_ROWS, max_unique: int | None = None, exact_unique: bool = False
+) -> DataFrame:
     """(column, bin, label, events, others, and the column's totals) per bin.
 
     Numbers with more than ``bins`` distinct values get quantile bins with repeated
     edges dropped (equal widths if fewer than two edges are left) and lose missing
-    values; everything else is a category per value, missing included.
+    values; everything else is a category per value, missing included. Columns proven to have more
+    than ``max_unique`` values are left out if that is given. ``unique_values`` is null for
+    other columns proven to have many, unless ``exact_unique`` asks for the count.
     """
+    known = df.filter(F.col(target).isin(0, 1))
+    most = max(bins, min(TOLD_APART, TOLD_APART if max_unique is None else max_unique))
+    many = _many_valued(known, _numeric(df, cols), most)
+    others = [c for c in cols if c not in many]
+    if max_unique is not None and max_unique <= most:
+        many = []
+    parts = [_binned_profile(value_profile(df, target, others), bins, limit)] if others else []
+    if many:
+        parts.append(_binned_scan(known, target, many, bins, limit, exact_unique))
+    if not parts:
+        # no column is left: the right columns, no rows
+        return _binned_profile(value_profile(df.limit(0), target, cols), bins, limit)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _binned_scan(known: DataFrame, target: str, cols: Sequence[str], bins: int, limit: int, exact_unique: bool) -> DataFrame:
+    """The bins of columns with many values, counted in one scan against literal edges."""
+    edges = {c: sorted(set(q)) for c, q in quantile_row(known, cols, [i / bins for i in range(bins + 1)], limit).items()}
+    event = (F.col(target) == 1).cast("long")
+    cells = []
+    for c in cols:
+        value = F.col(c).cast("double")
+        value = F.when(~F.isnan(value), value)
+        # right-closed intervals; the first also holds the minimum
+        place = sum(((value > e).cast("int") for e in edges[c][1:-1]), F.lit(1))
+        cells.append(F.struct(F.lit(c).alias("column"), F.when(value.isNotNull(), place).alias("bin"), value.alias("value")))
+    rows = known.select(event.alias("_e"), F.inline(F.array(*cells)))
+    uniques = {}
+    if exact_unique:
+        uniques = {r["column"]: r["u"] for r in rows.groupBy("column").agg(F.count_distinct("value").alias("u")).collect()}
+    table = settle(
+        rows.groupBy("column", "bin").agg(
+            F.min("value").alias("low"), F.max("value").alias("high"), F.sum("_e").alias("events"), F.sum(1 - F.col("_e")).alias("others")
+        )
+    )  # a few rows per column
+    totals = table.groupBy("column").agg(F.sum("events").alias("all_events"), F.sum("others").alias("all_others"))
+    listed = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(uniques.get(c)).cast("long"))])
+    return (
+        table.join(F.broadcast(totals), "column")
+        .where("bin is not null")
+        .select(
+            "column", F.col("bin").cast("string").alias("label"), "bin", "low", "high", "events", "others", F.lit(True).alias("is_binned"),
+            F.try_element_at(listed, F.col("column")).alias("unique_values"), "all_events", "all_others",
+        )
+    )
+
+
+def _binned_profile(profile: DataFrame, bins: int, limit: int) -> DataFrame:
+    """The bins of columns that are counted per value."""
     counts = profile.filter(F.col("value").isNotNull()).select(
         "column", "value", (F.col("events") + F.col("others")).alias("n")
     )
@@ -134,7 +203,7 @@ def skipped_columns(
 ) -> DataFrame:
     """(variable, reason, unique_values) of the columns that ``information_value`` leaves out:
     high_cardinality, constant, single_class or few_samples (no bin has enough rows)."""
-    rows = binned(value_profile(df, target, cols), bins, limit)
+    rows = binned(df, target, cols, bins, limit, exact_unique=True)
     found = rows.groupBy(F.col("column").alias("variable")).agg(
         F.first("unique_values").alias("unique_values"), F.first("all_events").alias("_e"), F.first("all_others").alias("_o"),
         F.max(F.col("events") + F.col("others")).alias("_most"),
@@ -165,7 +234,7 @@ def information_value(
     class; ``skipped_columns`` names them. ``smoothed=False``
     uses plain shares with zero shares set to 0.0001 and no clipping.
     """
-    rows = binned(value_profile(df, target, cols), bins, limit)
+    rows = binned(df, target, cols, bins, limit, max_unique, exact_unique=True)
     rows = rows.filter((F.col("unique_values") <= max_unique) & (F.col("unique_values") > 1))
     rows = rows.filter((F.col("all_events") > 0) & (F.col("all_others") > 0) & (F.col("events") + F.col("others") >= min_samples))
     if smoothed:
@@ -186,7 +255,7 @@ def information_value(
 
 def weight_of_evidence(df: DataFrame, target: str, feature: str, bins: int = 10, limit: int = WINDOW_ROWS) -> DataFrame:
     """(label, bin, events, others, woe) of one feature."""
-    rows = binned(value_profile(df, target, [feature]), bins, limit)
+    rows = binned(df, target, [feature], bins, limit)
     return rows.select("label", "bin", "events", "others", _woe().alias("woe"))
 
 
@@ -200,7 +269,7 @@ def is_monotonic(df: DataFrame, target: str, features: Sequence[str], bins: int
 
     The window runs over a column's bins, at most ``bins`` rows when it is binned.
     """
-    rows = binned(value_profile(df, target, _numeric(df, features)), bins, limit).withColumn("woe", _woe())
+    rows = binned(df, target, _numeric(df, features), bins, limit).withColumn("woe", _woe())
     step = F.col("woe") - F.lag("woe").over(Window.partitionBy("column").orderBy("low"))
     return (
         rows.withColumn("_step", step)
@@ -215,7 +284,7 @@ def value_by_bins(
     df: DataFrame, target: str, feature: str, bins: int = 10, min_rows: int = 5, limit: int = WINDOW_ROWS
 ) -> DataFrame:
     """(bin, low, high, count, fraud_rate, woe, iv) of one numeric feature."""
-    rows = binned(value_profile(df, target, [feature]), bins, limit)
+    rows = binned(df, target, [feature], bins, limit)
     n = F.col("events") + F.col("others")
     a, b = _shares()
     return rows.filter(n >= min_rows).select(

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,10 @@ from txnrisk.operators.splits import fold_role, stable_hash
 from txnrisk.session import settle
 
 SEED = 42
+# Fits that run at the same time; their jobs share the cluster.
+PARALLEL = 4
+# Sorted score ranges whose pooled blocks one task merges in a round.
+FAN_IN = 16
 THRESHOLD_METRICS = ["recall", "precision", "f1", "accuracy"]
 RANK_METRICS = ["average_precision", "pr_auc", "roc_auc"]
 # Models by name with their default settings.
@@ -124,21 +131,44 @@ def fold_metrics(scored: DataFrame, score_col: str, label: str, threshold: float
     return rates.join(areas, ["fold", "role"], "left")
 
 
+def at_once(spark: SparkSession, jobs: Sequence[Callable[[], object]], parallel: int = PARALLEL) -> list:
+    """Results of driver functions that start Spark jobs, ``parallel`` of them at a time, in their order.
+
+    Each has a scheduler pool of its own: under the FAIR scheduler a short fit does not wait for a long one.
+    The first failure is raised once those already running have ended.
+    """
+
+    def run(number: int, job: Callable[[], object]) -> object:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % max(1, parallel)}")
+        return job()
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(partial(run, i, job))) for i, job in enumerate(jobs)]
+        try:
+            return [f.result() for f in started]
+        except BaseException:
+            for f in started:
+                f.cancel()
+            raise
+
+
 def fit_folds(
     df: DataFrame, cols: Sequence[str], label: str, kind: str, bounds: Sequence[tuple[int, int, int, int]], order: Sequence,
-    threshold: float = 0.5, limit: int = WINDOW_ROWS, **settings,
+    threshold: float = 0.5, limit: int = WINDOW_ROWS, parallel: int = PARALLEL, **settings,
 ) -> DataFrame:
     """``fold_metrics`` of the train and test rows of each time fold.
 
-    The loop is over folds; every fit and all scoring is distributed, and one
-    evaluation covers all folds and roles.
+    Folds are fitted at the same time over one stored table; every fit and all scoring is
+    distributed, and one evaluation covers all folds and roles.
     """
     rows = ranked_rows(df.select(*dict.fromkeys([*cols, label, *order])), order, limit)
-    scored = []
-    for bound in bounds:
+
+    def fitted(bound: tuple[int, int, int, int]) -> DataFrame:
         part = fold_rows(rows, bound)
         model = train(part.filter(F.col("role") == "train"), cols, label, kind, **settings)
-        scored.append(score(model, part).select("fold", "role", "probability", label))
+        return score(model, part).select("fold", "role", "probability", label)
+
+    scored = at_once(df.sparkSession, [partial(fitted, b) for b in bounds], parallel)
     return fold_metrics(settle(reduce(DataFrame.unionByName, scored)), "probability", label, threshold, limit)
 
 
@@ -166,18 +196,22 @@ def candidates(kind: str, n: int, seed: int = SEED) -> list[dict]:
 
 def search(
     df: DataFrame, cols: Sequence[str], label: str, kind: str, bounds: Sequence[tuple[int, int, int, int]], order: Sequence,
-    n: int = 3, seed: int = SEED, limit: int = WINDOW_ROWS,
+    n: int = 3, seed: int = SEED, limit: int = WINDOW_ROWS, parallel: int = PARALLEL,
 ) -> DataFrame:
-    """(trial, settings, mean_pr_auc, rank) of random settings under time folds."""
+    """(trial, settings, mean_pr_auc, rank) of random settings under time folds.
+
+    All trials and folds are fitted over one stored table, ``parallel`` at a time.
+    """
     rows = ranked_rows(df.select(*dict.fromkeys([*cols, label, *order])), order, limit)
     tried = candidates(kind, n, seed)
-    scored = []
-    for trial, settings in enumerate(tried):
-        for bound in bounds:
-            part = fold_rows(rows, bound)
-            model = train(part.filter(F.col("role") == "train"), cols, label, kind, **settings)
-            test = score(model, part.filter(F.col("role") == "test"))
-            scored.append(test.select(F.lit(trial).alias("trial"), F.lit(str(settings)).alias("settings"), "fold", "probability", label))
+
+    def fitted(trial: int, settings: dict, bound: tuple[int, int, int, int]) -> DataFrame:
+        part = fold_rows(rows, bound)
+        model = train(part.filter(F.col("role") == "train"), cols, label, kind, **settings)
+        test = score(model, part.filter(F.col("role") == "test"))
+        return test.select(F.lit(trial).alias("trial"), F.lit(str(settings)).alias("settings"), "fold", "probability", label)
+
+    scored = at_once(df.sparkSession, [partial(fitted, t, s, b) for t, s in enumerate(tried) for b in bounds], parallel)
     everything = reduce(DataFrame.unionByName, scored)
     keys = ["trial", "settings", "fold"]
     areas = ranking_metrics(everything, "probability", label, keys, limit)
@@ -211,19 +245,93 @@ def permutation_importance(
     return areas.filter(F.col("variable") != "").select("variable", (whole - F.col("average_precision")).alias("drop"))
 
 
-def fit_calibration(df: DataFrame, score_col: str, label: str) -> IsotonicRegressionModel:
-    """Isotonic map from score to probability, fitted on one weighted point per distinct score."""
-    points = df.groupBy(F.col(score_col).cast("double").alias("score")).agg(
-        F.avg(label).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
+_BLOCKS = "first double, last double, total double, weight double"
+
+
+def pool_blocks(blocks: np.ndarray) -> np.ndarray:
+    """Adjacent violators pooled: rows (first, last, total, weight) by score, means rising afterwards.
+
+    Neighbours of equal mean are one block as well.
+    """
+    out: list[list[float]] = []
+    for row in blocks.tolist():
+        out.append(row)
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            _, last, total, weight = out.pop()
+            out[-1][1] = last
+            out[-1][2] += total
+            out[-1][3] += weight
+    return np.array(out, np.float64).reshape(-1, 4)
+
+
+def _pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of one task's sorted rows; what is pooled is kept, what was read is not."""
+    kept = np.zeros((0, 4))
+    part = None
+    for batch in batches:
+        if len(batch):
+            part = int(batch["part"].iloc[0])
+            kept = pool_blocks(np.concatenate([kept, batch[["first", "last", "total", "weight"]].to_numpy(np.float64)]))
+    if part is not None:
+        yield pd.DataFrame(kept, columns=["first", "last", "total", "weight"]).assign(part=part)
+
+
+def _merged(group: pd.DataFrame) -> pd.DataFrame:
+    ordered = group.sort_values("first")
+    return pd.DataFrame(pool_blocks(ordered[["first", "last", "total", "weight"]].to_numpy(np.float64)), columns=["first", "last", "total", "weight"]).assign(
+        part=int(ordered["part"].iloc[0]) // FAN_IN
     )
-    return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(points)
 
 
-def apply_calibration(model: IsotonicRegressionModel, df: DataFrame, score_col: str, out: str = "calibrated") -> DataFrame:
-    """Interpolated between fitted points and constant outside them."""
-    renamed = df.withColumn("score", F.col(score_col).cast("double")) if score_col != "score" else df
-    scored = model.transform(renamed).withColumnRenamed("calibrated", out)
-    return scored if score_col == "score" else scored.drop("score")
+@dataclass
+class Calibration:
+    """A rising step function of blocks; scores between two blocks are interpolated."""
+
+    scores: list[float]
+    values: list[float]
+
+
+def isotonic_blocks(points: DataFrame) -> DataFrame:
+    """(first, last, total, weight): blocks of the isotonic fit to points (score, total, weight), by score.
+
+    Score ranges are pooled in parallel; then the blocks of neighbouring ranges are merged as a tree, a
+    few ranges per task. No task and not the driver sees points, but the blocks left of them.
+    """
+    spark = points.sparkSession
+    ranges = points.repartitionByRange("score").sortWithinPartitions("score").withColumn("part", F.spark_partition_id())
+    rows = ranges.select("part", F.col("score").alias("first"), F.col("score").alias("last"), "total", "weight")
+    blocks = settle(rows.mapInPandas(_pooled, f"{_BLOCKS}, part long"))
+    top = blocks.agg(F.max("part")).first()[0] or 0
+    while top > 0:
+        blocks = settle(blocks.groupBy(F.floor(F.col("part") / FAN_IN).alias("group")).applyInPandas(_merged, f"{_BLOCKS}, part long"))
+        top //= FAN_IN
+    return blocks.drop("part") if blocks.columns else spark.createDataFrame([], _BLOCKS)
+
+
+def fit_calibration(df: DataFrame, score_col: str, label: str) -> Calibration:
+    """Isotonic map from score to probability, fitted on one weighted point per distinct score.
+
+    Rows without a score or a label are left out; without any row there is nothing to fit.
+    """
+    score_of, y = F.col(score_col).cast("double"), F.col(label).cast("double")
+    known = df.select((score_of + F.lit(0.0)).alias("score"), y.alias("y")).where("score is not null and not isnan(score) and y is not null")
+    points = known.groupBy("score").agg(F.sum("y").alias("total"), F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = isotonic_blocks(points).orderBy("first").collect()
+    if not rows:
+        raise ValueError("no row has a score and a label")
+    ends = [(e, r["total"] / r["weight"]) for r in rows for e in dict.fromkeys((r["first"], r["last"]))]
+    return Calibration([e for e, _ in ends], [v for _, v in ends])
+
+
+def apply_calibration(model: Calibration, df: DataFrame, score_col: str, out: str = "calibrated") -> DataFrame:
+    """Interpolated between fitted points and constant outside them; without a score there is no value."""
+    scores, values = np.array(model.scores), np.array(model.values)
+
+    @F.pandas_udf("double")
+    def calibrated(score: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(score, scores, values), index=score.index).where(score.notna())
+
+    return df.withColumn(out, calibrated(F.col(score_col).cast("double")))
 
 
 @dataclass

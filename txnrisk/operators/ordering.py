@@ -146,38 +146,60 @@ def ranked(df: DataFrame, keys: Names, order: Order, out: str = "rank", limit: i
     return done if cold is None else plain(cold).unionByName(done)
 
 
-def framed(
+def largest_groups(df: DataFrame, key_sets: Sequence[Names]) -> list[int]:
+    """Rows of the largest group by each of the key sets, in one pass; keys that share a hash count together."""
+    each = [F.struct(F.lit(i).alias("__set"), (F.xxhash64(*keys) if keys else F.lit(0).cast("long")).alias("__key")) for i, keys in enumerate(key_sets)]
+    sizes = df.select(F.inline(F.array(*each))).groupBy("__set", "__key").agg(F.count(F.lit(1)).alias("__rows"))
+    found = {r[0]: r[1] for r in sizes.groupBy("__set").agg(F.max("__rows")).collect()}
+    return [found.get(i, 0) for i in range(len(key_sets))]
+
+
+def framed_by(
     df: DataFrame,
     keys: Names,
     order: Order,
-    columns: Callable[[Window], dict[str, Column]],
+    add: Callable[[DataFrame, Names, Order], DataFrame],
     lookback: int,
     limit: int = WINDOW_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Add window columns that look at most ``lookback`` rows back.
+    """Add columns that look at most ``lookback`` rows back: ``add(frame, keys, order)`` may gather a key.
 
-    Hot keys are cut into chunks of the global order; each chunk also receives the
-    last ``lookback`` rows of the chunk before it, which are dropped afterwards.
+    Hot keys are cut into chunks of the global order; each chunk also receives the last
+    ``lookback`` rows of the chunk before it, which are dropped afterwards. ``largest``, if known,
+    is a bound of a key's rows that spares counting.
     """
     keys = list(keys)
-    cols = as_columns(order)
-    hot = hot_keys(df, keys, limit)
+    hot = hot_keys(df, keys, limit) if largest is None or largest > limit else None
     if hot is None:
-        return df.withColumns(columns(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*cols)))
+        return add(df, keys, order)
     cold, warm = split_hot(df, keys, hot)
     span = max(limit, lookback, 1)
     chunk = F.floor(F.col("__pos") / span).cast("long")
     own = F.struct(chunk.alias("__chunk"), F.lit(True).alias("__own"))
     halo = F.struct((chunk + 1).alias("__chunk"), F.lit(False).alias("__own"))
     near_end = F.col("__pos") % span >= span - lookback
-    placed = global_rank(warm, [*keys, *cols], "__pos", hot.rows).select(
+    placed = global_rank(warm, [*keys, *as_columns(order)], "__pos", hot.rows).select(
         "*", F.inline(F.when(near_end, F.array(own, halo)).otherwise(F.array(own)))
     )
-    spec = Window.partitionBy(*keys, "__chunk").orderBy("__pos")
-    done = placed.withColumns(columns(spec)).filter("__own").drop("__own", "__chunk", "__pos")
-    if cold is None:
-        return done
-    return cold.withColumns(columns(Window.partitionBy(*keys).orderBy(*cols))).unionByName(done)
+    done = add(placed, [*keys, "__chunk"], ["__pos"]).filter("__own").drop("__own", "__chunk", "__pos")
+    return done if cold is None else add(cold, keys, order).unionByName(done)
+
+
+def framed(
+    df: DataFrame,
+    keys: Names,
+    order: Order,
+    columns: Callable[[Window], dict[str, Column]],
+    lookback: int,
+    limit: int = WINDOW_ROWS,
+) -> DataFrame:
+    """``framed_by`` for window columns of one window."""
+
+    def add(frame: DataFrame, by: Names, sort: Order) -> DataFrame:
+        return frame.withColumns(columns(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*as_columns(sort))))
+
+    return framed_by(df, keys, order, add, lookback, limit)
 
 
 def running_sum(
@@ -211,7 +233,7 @@ def running_sum(
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, *[F.sum(f"__t_{n}").over(before).alias(f"__o_{n}") for n in sums])
     done = attach(inside(placed, by, ["__pos"]), offsets, by).withColumns(
-        {n: F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)) for n in sums}
+        {n: F.coalesce(F.col(n) + F.col(f"__o_{n}"), F.col(n), F.col(f"__o_{n}")) for n in sums}
     )
     done = done.drop("__pos", "__chunk", *[f"__o_{n}" for n in sums])
     return done if cold is None else inside(cold, keys, cols).unionByName(done)

@@ -1,4 +1,10 @@
-"""Exact quantiles that never hold a group's values in one task."""
+"""Exact quantiles that never hold a group's values in one task.
+
+Large groups are bracketed first: a sketch of bounded size, combined map-side, gives for each wanted
+position two values that enclose it. One more aggregation counts exactly what lies below each bracket
+and keeps the few values inside, which alone are ordered. The counts prove that the bracket holds the
+position; a bracket that does not is opened to the whole group.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.operators.ordering import WINDOW_ROWS, attach, largest_group, running_sum
+from txnrisk.operators.ordering import WINDOW_ROWS, attach, largest_group, running_sum, same_keys, sized
 from txnrisk.session import settle
 
 # Most distinct values per group for which the built-in percentile is used.
 MAP_VALUES = 100_000
+# The sketch's ranks are off by at most this share of a group.
+RANK_ERROR = 1e-4
+# Rows of a group that are all taken as inside its brackets.
+ALL_INSIDE = 20_000
 
 
 def long_form(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -52,16 +62,68 @@ def quantiles_of_counts(
         place = F.lit(float(p)) * (F.col("_total") - 1)
         found += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}")]
     out = rows.groupBy(*keys).agg(F.first("_total").alias("n"), *found)
-    values = []
-    for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("n") - 1)
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        # the built-in's two products: infinite values stay infinite and are not subtracted
-        between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
-        values.append(F.when((low == high) | (place == F.floor(place)), low).otherwise(between))
+    values = [between(F.lit(float(p)) * (F.col("n") - 1), F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i, p in enumerate(probs)]
     return out.select(*keys, "n", F.array(*values).alias("q"))
 
 
+def between(place: Column, low: Column, high: Column) -> Column:
+    """The value at a fractional position, from the values at the positions around it."""
+    # the built-in's two products: infinite values stay infinite and are not subtracted
+    mixed = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+    return F.when((low == high) | (place == F.floor(place)), low).otherwise(mixed)
+
+
+def sketched(rows: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """groups..., n, _grid: a lower and an upper bound of each quantile's values, in turn."""
+    grid = [b for p in probs for b in (max(0.0, p - 2 * RANK_ERROR), min(1.0, p + 2 * RANK_ERROR))]
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", grid, round(1 / RANK_ERROR)).alias("_grid"))
+
+
+def selected(rows: DataFrame, groups: Sequence[str], brackets: DataFrame, places: Sequence[Column], limit: int) -> DataFrame:
+    """groups..., n, _at: per place (from 0) its value and how many values are smaller.
+
+    ``rows`` are (groups..., value) without nulls and NaN, ``brackets`` (groups..., n, _grid) with two
+    bounds per place, one row per group, a stored table that is marked for broadcast if its size allows;
+    ``places`` are expressions of ``n``.
+    """
+    groups = list(groups)
+    # small groups, and places at the ends of a group, are open on that side
+    grid = F.transform("_grid", lambda g, i: F.when(F.col("n") > ALL_INSIDE, g).when(i % 2 == 0, float("-inf")).otherwise(float("inf")))
+    brackets = brackets.select(*groups, "n", grid.alias("_grid"), F.array(*[p.cast("long") for p in places]).alias("_places"))
+    out = _inside(rows, groups, brackets, len(places), limit)
+    if out.where(F.exists("_at", lambda a: a.isNull())).limit(1).count():
+        wide = F.transform("_grid", lambda g, i: F.when(i % 2 == 0, float("-inf")).otherwise(float("inf")))
+        out = _inside(rows, groups, brackets.withColumn("_grid", wide), len(places), limit)
+    return out
+
+
+def _inside(rows: DataFrame, groups: Sequence[str], brackets: DataFrame, count: int, limit: int) -> DataFrame:
+    table, condition = same_keys(rows, brackets, groups)
+    joined = rows.join(table, condition).select(*groups, "value", "_grid")
+    low = [F.col("_grid")[2 * k] for k in range(count)]
+    hits = [F.when((F.col("value") >= low[k]) & (F.col("value") <= F.col("_grid")[2 * k + 1]), F.lit(k)) for k in range(count)]
+    cells = F.filter(F.array(*hits), lambda k: k.isNotNull())
+    marked = joined.withColumn("_cells", F.when(F.size(cells) > 0, cells).otherwise(F.array(F.lit(-1))))
+    below = [(F.col("value") < low[k]).cast("long").alias(f"_b{k}") for k in range(count)]
+    # a row in several brackets counts once as below the others
+    flat = marked.select(*groups, "value", *below, F.posexplode("_cells").alias("_first", "_probe"))
+    counted = flat.groupBy(*groups, "_probe", F.when(F.col("_probe") >= 0, F.col("value")).alias("value")).agg(
+        F.count(F.lit(1)).alias("_c"), *[F.sum(F.when(F.col("_first") == 0, F.col(f"_b{k}")).otherwise(0)).alias(f"_b{k}") for k in range(count)]
+    )
+    counted = settle(counted)
+    totals = counted.groupBy(*groups).agg(F.array(*[F.sum(f"_b{k}") for k in range(count)]).alias("_below"))
+    totals = attach(brackets, totals, groups, "left")
+    inner = running_sum(counted.where("_probe >= 0").select(*groups, "_probe", "value", "_c"), [*groups, "_probe"], ["value"], {"_seen": F.col("_c")}, limit)
+    inner = attach(inner, totals.select(*groups, "_below", "_places"), groups)
+    before = F.col("_below")[F.col("_probe")]
+    place = F.col("_places")[F.col("_probe")]
+    holds = (before <= place) & (before + F.col("_seen") > place)
+    # the smallest value whose running count passes the place
+    found = inner.where(holds).groupBy(*groups, "_probe").agg(F.min(F.struct("value", (before + F.col("_seen") - F.col("_c")).alias("before"))).alias("_v"))
+    listed = found.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_probe", "_v"))).alias("_m"))
+    return attach(totals, listed, groups, "left").select(*groups, "n", F.array(*[F.try_element_at("_m", F.lit(k)) for k in range(count)]).alias("_at"))
+
+
 def quantiles(
     df: DataFrame,
     cols: Sequence[str],
@@ -70,17 +132,33 @@ def quantiles(
     approx: bool = False,
     limit: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """keys..., column, n, q for all columns and probabilities in one pass over ``df``.
+    """keys..., column, n, q for all columns and probabilities together; groups without values are left out.
 
-    ``approx=True`` trades exactness for a bounded sketch per group.
+    Groups counted to be small take the built-in percentile, others are bracketed. ``approx=True``
+    trades exactness for a bounded sketch per group.
     """
     if approx:
         rows = long_form(df, cols, keys).filter(F.col("value").isNotNull() & ~F.isnan("value"))
         return rows.groupBy(*keys, "column").agg(
             F.count(F.lit(1)).alias("n"), F.percentile_approx("value", list(map(float, probs)), 10_000).alias("q")
         )
-    # value counts are read by several steps: settle them once
-    return quantiles_of_counts(settle(value_counts(df, cols, keys)), probs, [*keys, "column"], limit)
+    rows = long_form(df, cols, keys).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    # -0.0 and 0.0 are one value
+    rows = rows.withColumn("value", F.col("value") + F.lit(0.0))
+    groups = [*keys, "column"]
+    # without keys the sketch has one row per column, and its counts come for free
+    sketch = None if keys else settle(sketched(rows, groups, probs))
+    largest = largest_group(rows, groups) if sketch is None else sketch.agg(F.max("n")).first()[0] or 0
+    if largest <= min(limit, MAP_VALUES):
+        return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.percentile("value", [float(p) for p in probs]).alias("q"))
+    places = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ends = [end for p in places for end in (F.floor(p), F.ceil(p))]
+    sketch = sized(sketched(rows, groups, probs)) if sketch is None else F.broadcast(sketch)
+    # both ends of a place share its bracket
+    twice = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2 * len(probs) - 1)), lambda i: F.slice("_grid", i - i % 2 + 1, 2)))
+    found = selected(rows, groups, sketch.withColumn("_grid", twice), ends, limit)
+    values = [between(p, F.col("_at")[2 * i]["value"], F.col("_at")[2 * i + 1]["value"]) for i, p in enumerate(places)]
+    return found.select(*groups, "n", F.array(*values).alias("q"))
 
 
 def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = WINDOW_ROWS) -> dict[str, list[float]]:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions.dates import micros
-from txnrisk.operators.ordering import WINDOW_ROWS, ranked, sized
+from txnrisk.operators.ordering import WINDOW_ROWS, ranked
+from txnrisk.operators.selection import cut_ranks, hash_number, leading_number
 from txnrisk.session import settle
 
 DAY_SECONDS = 86_400
@@ -20,10 +21,14 @@ def ratio_split(
     df: DataFrame, order: Sequence, test_size: float = 0.2, out: str = "split", limit: int = WINDOW_ROWS
 ) -> DataFrame:
     """The first floor(n * (1 - test_size)) rows of the order train, the rest test."""
+    cut = F.floor(F.col("n") * F.lit(1 - test_size))
+    lead = leading_number(df, order[0]) if isinstance(order[0], str) else None
+    if lead is not None:
+        placed = cut_ranks(df, [], order, lead, [cut], "_cut", limit)
+        return placed.withColumn(out, F.when(F.col("_cut") == 0, "train").otherwise("test")).drop("_cut")
     n = df.count()
-    cut = int(n * (1 - test_size))
     placed = ranked(df, [], order, "_rank", limit)
-    return placed.withColumn(out, F.when(F.col("_rank") <= cut, "train").otherwise("test")).drop("_rank")
+    return placed.withColumn(out, F.when(F.col("_rank") <= int(n * (1 - test_size)), "train").otherwise("test")).drop("_rank")
 
 
 def _moment(us: int) -> Column:
@@ -138,13 +143,19 @@ def assign_folds(
     df: DataFrame, order: Sequence, bounds: Sequence[tuple[int, int, int, int]], limit: int = WINDOW_ROWS
 ) -> DataFrame:
     """Long form: each row once per fold it takes part in, with ``fold`` and ``role``."""
-    placed = ranked(df, [], order, "_rank", limit)
-    at = F.col("_rank") - 1
+    lead = leading_number(df, order[0]) if isinstance(order[0], str) else None
+    if lead is None:
+        placed = ranked(df, [], order, "_rank", limit).withColumn("_at", F.col("_rank") - 1).drop("_rank")
+    else:
+        # the row's place is known up to the bounds around it: the bound before it stands for it
+        ends = sorted({end for _, *rest in bounds for end in rest})
+        starts = F.array(*[F.lit(x).cast("long") for x in (-1, *ends)])
+        placed = cut_ranks(df, [], order, lead, [F.lit(e) for e in ends], "_cut", limit).withColumn("_at", starts[F.col("_cut")]).drop("_cut")
     parts = []
     for fold, train_end, start, end in bounds:
-        role = fold_role(at, train_end, start, end)
+        role = fold_role(F.col("_at"), train_end, start, end)
         parts.append(F.when(role.isNotNull(), F.struct(F.lit(fold).alias("fold"), role.alias("role"))))
-    return placed.select("*", F.inline(F.filter(F.array(*parts), lambda p: p.isNotNull()))).drop("_rank")
+    return placed.select("*", F.inline(F.filter(F.array(*parts), lambda p: p.isNotNull()))).drop("_at")
 
 
 def day_index(df: DataFrame, ts: str) -> Column:
@@ -255,21 +266,18 @@ def stratified_split(
 ) -> DataFrame:
     """Shuffle each class and cut it by shares; the last name takes the remainder.
 
-    A class usually holds most rows, so ranks come from ``ranked``, not a window.
+    A class usually holds most rows: its cuts are found by counting, and no row is ranked.
     """
     shares = shares or {"train": 0.6, "val": 0.2, "test": 0.2}
-    placed = _class_ranks(df, label, hash_cols, order, seed, limit)
-    sizes = sized(df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_size")))
-    rows = placed.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
     names = list(shares)
-    role: Column | None = None
-    reached = 0.0
+    reached, cuts = 0.0, []
     for name in names[:-1]:
         reached += shares[name]
-        inside = F.col("_rank") <= F.floor(F.col("_size") * F.lit(reached))
-        role = F.when(inside, name) if role is None else role.when(inside, name)
-    role = F.lit(names[-1]) if role is None else role.otherwise(names[-1])
-    return rows.withColumn(out, role).drop("_rank", "_size")
+        cuts.append(F.floor(F.col("n") * F.lit(reached)))
+    shuffled = df.withColumn("_hash", stable_hash(hash_cols, seed))
+    placed = cut_ranks(shuffled, [label], ["_hash", *order], hash_number(F.col("_hash")), cuts, "_cut", limit) if cuts else shuffled.withColumn("_cut", F.lit(0))
+    role = F.array(*[F.lit(name) for name in names])[F.col("_cut")]
+    return placed.withColumn(out, role).drop("_hash", "_cut")
 
 
 def stratified_folds(

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, ranked, sized
+from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, ranked
+from txnrisk.operators.selection import cut_ranks, hash_number
 from txnrisk.operators.splits import stable_hash
 
 # Up to this k Spark cuts each task's rows to k before the shuffle of a ranked window.
@@ -68,10 +69,9 @@ def stratified_sample(
 ) -> DataFrame:
     """floor(fraction * size) rows of every class, so the class ratio stays."""
     shuffled = df.withColumn("_hash", stable_hash(key, seed))
-    placed = ranked(shuffled, [label], ["_hash", *order], "_rank", limit)
-    sizes = sized(df.groupBy(F.col(label).alias("_label")).agg(F.floor(F.count(F.lit(1)) * F.lit(fraction)).alias("_take")))
-    rows = placed.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
-    return rows.filter(F.col("_rank") <= F.col("_take")).drop("_rank", "_take", "_label", "_hash")
+    cut = F.floor(F.col("n") * F.lit(fraction))
+    placed = cut_ranks(shuffled, [label], ["_hash", *order], hash_number(F.col("_hash")), [cut], "_cut", limit)
+    return placed.filter("_cut = 0").drop("_cut", "_hash")
 
 
 def sampling_report(before: DataFrame, after: DataFrame, label: str, amount: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,10 +11,16 @@ from pyspark.sql import functions as F
 from txnrisk.functions.dates import micros
 from txnrisk.functions.numeric import guarded_ratio
 from txnrisk.operators.ordering import (
+    BROADCAST_ROWS,
     WINDOW_ROWS,
+    Names,
+    Order,
+    as_columns,
     attach,
     framed,
+    framed_by,
     largest_group,
+    largest_groups,
     running_sum,
 )
 from txnrisk.session import settle
@@ -21,8 +28,88 @@ from txnrisk.session import settle
 DAY_MICROS = 86_400_000_000
 # Most rows of one key for which a moving time range is read directly.
 RANGE_ROWS = 20_000
-# Exact sums used where amounts, scaled to at most 2, are added and later taken away again.
-EXACT = "decimal(38,26)"
+# Longest frame of rows that is read again for every row; longer ones are joined from blocks.
+READ_AGAIN = 8
+
+
+def _moments(values: Names, over: Window, tag: str) -> dict[str, Column]:
+    """Count, sum and squared deviations of each column over a window."""
+    out: dict[str, Column] = {}
+    for v in values:
+        n = F.count(v).over(over)
+        out |= {f"{tag}_n_{v}": n, f"{tag}_s_{v}": F.sum(v).over(over), f"{tag}_d_{v}": F.var_pop(v).over(over) * n}
+    return out
+
+
+def moving_moments(frame: DataFrame, by: Names, order: Order, values: Names, windows: Sequence[int]) -> DataFrame:
+    """Add ``_n``, ``_s`` and ``_d`` (count, sum, squared deviations) of the last ``w`` rows as ``_n_{value}_{w}``.
+
+    Short frames are read directly. For a longer one the rows are cut into blocks of ``w``: the last
+    ``w`` rows are the beginning of the row's own block and the end of the block before, so two running
+    aggregates, one forwards and one backwards, serve every row at a constant cost. They are merged, never
+    taken apart: no sum loses digits to amounts outside its rows. Lengths that divide each other share
+    their sorts. Sum and deviations are null without a value, as in Spark.
+    """
+    order = as_columns(order)
+    windows = sorted(set(windows))
+    spec = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+    short = {}
+    for w in (w for w in windows if w <= READ_AGAIN):
+        short |= {f"{k}_{w}": c for k, c in _moments(values, spec.rowsBetween(-(w - 1), 0), "").items()}
+    chains: list[list[int]] = []
+    for w in (w for w in windows if w > READ_AGAIN):
+        chain = next((c for c in chains if w % c[-1] == 0), None)
+        if chain is None:
+            chains.append([w])
+        else:
+            chain.append(w)
+    frame = frame.withColumns(short)
+    if not chains:
+        return frame
+    frame = frame.withColumn("_i", F.row_number().over(spec).cast("long") - 1)
+    for chain in chains:
+        frame = _block_moments(frame, list(by) or [F.lit(0)], values, chain[::-1])
+    return frame.drop("_i")
+
+
+def _block_moments(frame: DataFrame, by: list, values: Names, sizes: Sequence[int]) -> DataFrame:
+    """The moments of frames of ``sizes`` rows; each size is a multiple of the next."""
+    frame = frame.withColumns({f"_up{w}": F.floor(F.col("_i") / w) for w in sizes} | {f"_down{w}": -F.floor(F.col("_i") / w) for w in sizes})
+    running = (Window.unboundedPreceding, 0)
+    for tag, last in (("up", F.col("_i").asc()), ("down", F.col("_i").desc())):
+        blocks = [f"_{tag}{w}" for w in sizes]
+        made: dict[str, Column] = {}
+        for k, w in enumerate(sizes):
+            # all these windows ask for the same sort: keys, blocks from the largest on, rows
+            spec = Window.partitionBy(*by, *blocks[: k + 1]).orderBy(*blocks[k + 1 :], last).rowsBetween(*running)
+            made |= _moments(values, spec, f"_{tag}{w}")
+        frame = frame.withColumns(made)
+    downs = Window.partitionBy(*by).orderBy(*[f"_down{w}" for w in sizes], F.col("_i").desc())
+    before = {f"_before{w}_{m}_{v}": F.lead(f"_down{w}_{m}_{v}", w - 1).over(downs) for w in sizes for m in "nsd" for v in values}
+    frame = frame.withColumns(before)
+    out: dict[str, Column] = {}
+    for w in sizes:
+        across = (F.col("_i") >= w) & (F.col("_i") % w != w - 1)
+        for v in values:
+            n1, s1, d1 = (F.col(f"_up{w}_{m}_{v}") for m in "nsd")
+            n0, s0, d0 = (F.when(across, F.col(f"_before{w}_{m}_{v}")) for m in "nsd")
+            both = (n0 > 0) & (n1 > 0)
+            gap = s1 / F.nullif(n1, F.lit(0)) - s0 / F.nullif(n0, F.lit(0))
+            out[f"_n_{v}_{w}"] = n1 + F.coalesce(n0, F.lit(0))
+            out[f"_s_{v}_{w}"] = F.when(both, s0 + s1).otherwise(F.coalesce(s1, s0))
+            out[f"_d_{v}_{w}"] = F.when(both, d0 + d1 + gap * gap * (n0 * n1 / F.nullif(n0 + n1, F.lit(0)))).otherwise(F.coalesce(d1, d0))
+    spare = [c for c in frame.columns if c.startswith(("_up", "_down", "_before"))]
+    return frame.withColumns(out).drop(*spare)
+
+
+def _mean(v: str, w: int) -> Column:
+    return F.col(f"_s_{v}_{w}") / F.nullif(F.col(f"_n_{v}_{w}"), F.lit(0))
+
+
+def _deviation(v: str, w: int) -> Column:
+    """Sample deviation; null below two values."""
+    n = F.col(f"_n_{v}_{w}")
+    return F.when(n > 1, F.sqrt(F.col(f"_d_{v}_{w}") / F.nullif(n - 1, F.lit(0))))
 
 
 def rolling_rows(
@@ -38,23 +125,22 @@ def rolling_rows(
     ``w`` counts rows, not days, although the column names end in ``d``. Base value
     columns only: generated columns never feed another window. One sort per key.
     """
-    for key in keys:
+    sizes = largest_groups(df, [[k] for k in keys])
+    for key, largest in zip(keys, sizes, strict=True):
 
-        def columns(spec: Window, key: str = key) -> dict[str, Column]:
+        def add(frame: DataFrame, by: Names, sort: Order, key: str = key) -> DataFrame:
             out: dict[str, Column] = {}
             for w in windows:
-                frame = spec.rowsBetween(-(w - 1), 0)
                 for v in value_cols:
                     name = f"{key}_{v}"
-                    total, n = F.sum(v).over(frame), F.count(v).over(frame)
-                    out[f"{name}_sum_{w}d"] = F.coalesce(total, F.lit(0.0))
-                    # from the sum and count that the frame has anyway: each frame is read again for every row
-                    out[f"{name}_mean_{w}d"] = F.coalesce(total / F.nullif(n, F.lit(0)), F.lit(0.0))
-                    out[f"{name}_count_{w}d"] = n
-                    out[f"{name}_std_{w}d"] = F.coalesce(F.stddev_samp(v).over(frame), F.lit(0.0))
-            return out
-
-        df = framed(df, [key], order, columns, lookback=max(windows) - 1, limit=limit)
+                    out[f"{name}_sum_{w}d"] = F.coalesce(f"_s_{v}_{w}", F.lit(0.0))
+                    out[f"{name}_mean_{w}d"] = F.coalesce(_mean(v, w), F.lit(0.0))
+                    out[f"{name}_count_{w}d"] = F.col(f"_n_{v}_{w}")
+                    out[f"{name}_std_{w}d"] = F.coalesce(_deviation(v, w), F.lit(0.0))
+            made = moving_moments(frame, by, sort, value_cols, windows).withColumns(out)
+            return made.drop(*[f"_{m}_{v}_{w}" for m in "nsd" for v in value_cols for w in windows])
+
+        df = framed_by(df, [key], order, add, lookback=max(windows) - 1, limit=limit, largest=largest)
     return df
 
 
@@ -73,10 +159,14 @@ def rolling_days(
     """Sum, mean and count over the time range (t - days, t] of each key.
 
     ``tie_mode='peers'``: rows with equal timestamps see each other. ``'rows'``: a row
-    sees only the equal-time rows before it by ``tiebreak``. Spark re-reads a moving
-    range for every row, so as soon as one key has more than ``limit`` rows (and always
-    in ``rows`` mode) the sums are swept instead: their cost per row does not depend on
-    how many rows fall into the range.
+    sees only the equal-time rows before it by ``tiebreak``. Rows without a time see each
+    other, or those before them.
+
+    Spark re-reads a moving range for every row, so as soon as one key has more than ``limit``
+    rows (and always in ``rows`` mode) the range is joined from two blocks of ``days``: the
+    beginning of the row's own block and the end of the one before. Each is a running sum, so the
+    cost per row does not depend on the rows in the range, and nothing is ever subtracted: only
+    amounts of the range enter its sum. Beyond ``chunk_rows`` rows a key is spread over tasks.
     """
     if tie_mode not in ("peers", "rows"):
         raise ValueError("tie_mode is 'peers' or 'rows'")
@@ -103,97 +193,58 @@ def rolling_days(
         return frame.withColumns(out)
 
     df = df.withColumn("_t", micros(F.col(ts)))
-    if tie_mode == "rows":
-        return finish(_swept_rows(df, key, value, days, tiebreak, chunk_rows))
-    if largest_group(df, [key]) <= limit:
+    largest = largest_group(df, [key])
+    if tie_mode == "peers" and largest <= limit:
         return finish(plain(df))
-    return finish(_swept_times(df, key, value, days, chunk_rows))
+    order = ["_t", *tiebreak] if tie_mode == "rows" else ["_t"]
+    names_in = df.columns
+    rows = df.select(
+        key, "_t", F.col(value).cast("double").alias("_v"), F.col(value).isNotNull().cast("long").alias("_n"),
+        *(tiebreak if tie_mode == "rows" else []), F.struct(*names_in).alias("_row"),
+    )
+    sums = [f"_{s}_{d}" for d in days for s in ("sum", "cnt")]
+    if largest <= chunk_rows:
+        # all blocks of a key stay where one shuffle puts them
+        found = _joined_blocks(rows.repartition(key), key, days, order, partial(_running, rows=tie_mode == "rows"))
+        return finish(found.select("_row.*", *sums))
+    running = partial(running_sum, limit=chunk_rows)
+    if tie_mode == "rows":
+        return finish(_joined_blocks(settle(rows), key, days, order, running).select("_row.*", *sums))
+    per_time = settle(rows.groupBy(key, "_t").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n")))
+    return finish(attach(df, _joined_blocks(per_time, key, days, order, running).select(key, "_t", *sums), [key, "_t"]))
 
 
-def _swept_times(df: DataFrame, key: str, value: str, days: Sequence[int], limit: int) -> DataFrame:
-    """Range sums by adding each amount at its time and taking it away ``d`` days later.
-
-    Rows are first reduced to one per (key, time); the running total of additions minus
-    removals is the range sum. Rows without a time are each other's peers, as in a window.
-    """
-    scaled = _scaled(df, key, value)
-    parts = _parts(value)
-    per_time = scaled.groupBy(key, "_power", "_t").agg(*[F.sum(c).alias(f"_{p}") for p, c in parts.items()])
-    moves = [F.struct(F.col("_t"), F.lit(0).alias("_d"), F.lit(1).alias("_sign"))]
-    moves += [F.struct((F.col("_t") + d * DAY_MICROS).alias("_t"), F.lit(d).alias("_d"), F.lit(-1).alias("_sign")) for d in days]
-    timed = F.filter(F.array(*moves), lambda m: m["_t"].isNotNull() | (m["_d"] == 0))
-    events = per_time.select(key, "_power", *[f"_{p}" for p in parts], F.inline(timed))
-    sums: dict[str, Column] = {}
-    grouped = []
-    for d in days:
-        applies = F.when(F.col("_d").isin(0, d), F.col("_sign")).otherwise(0)
-        for p in parts:
-            grouped.append(F.sum(applies * F.col(f"_{p}")).alias(f"_d{p}_{d}"))
-            sums[f"_{p}_{d}"] = F.col(f"_d{p}_{d}")
-    steps = events.groupBy(key, "_power", "_t").agg(*grouped).withColumn("_untimed", F.col("_t").isNull())
-    level = running_sum(steps, [key, "_untimed"], ["_t"], sums, limit)
-    return attach(df, _rebuilt(level, days).select(key, "_t", *[f"_{s}_{d}" for d in days for s in ("sum", "cnt")]), [key, "_t"])
+def _running(frame: DataFrame, by: Names, order: Order, sums: dict[str, Column], rows: bool) -> DataFrame:
+    spec = Window.partitionBy(*by).orderBy(*order)
+    spec = spec.rowsBetween(Window.unboundedPreceding, 0) if rows else spec.rangeBetween(Window.unboundedPreceding, 0)
+    return frame.withColumns({name: F.sum(c).over(spec) for name, c in sums.items()})
 
 
-def _scaled(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Add ``_power``: the power of two of the key's largest finite amount.
+def _joined_blocks(rows: DataFrame, key: str, days: Sequence[int], order: Order, running: Callable[..., DataFrame]) -> DataFrame:
+    """Add ``_sum_d`` and ``_cnt_d`` of ``_v`` and ``_n`` over (t - d, t].
 
-    Divided by it, the amounts of a key fit the exact sums, whatever their unit.
+    With time cut into blocks of ``d`` days, t - d lies in the block before t's. What that block has
+    after t - d is the running sum, backwards from its end, that a mark at t - d meets.
     """
-    size = F.abs(F.col(value).cast("double"))
-    known = F.when(~F.isnan(size) & (size < float("inf")) & (size > 0), size)
-    top = df.groupBy(key).agg(F.coalesce(F.floor(F.log2(F.max(known))), F.lit(0)).cast("double").alias("_power"))
-    return attach(df, top, [key])
-
-
-def _parts(value: str) -> dict[str, Column]:
-    """What can be added and taken away exactly: the scaled finite amount, and counts of the rest."""
-    v = F.col(value).cast("double")
-    finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
-    # two steps of scaling keep both factors inside the doubles
-    half = F.floor(F.col("_power") / 2)
-    small = v / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), F.col("_power") - half)
-    return {
-        "fin": F.when(finite, small).otherwise(0.0).cast(EXACT),
-        "cnt": F.col(value).isNotNull().cast("long"),
-        "nan": F.coalesce(F.isnan(v), F.lit(False)).cast("long"),
-        "pos": F.coalesce(v == float("inf"), F.lit(False)).cast("long"),
-        "neg": F.coalesce(v == float("-inf"), F.lit(False)).cast("long"),
-    }
-
-
-def _rebuilt(level: DataFrame, days: Sequence[int]) -> DataFrame:
-    """The double sums that the parts stand for."""
-    out: dict[str, Column] = {}
-    half = F.floor(F.col("_power") / 2)
-    for d in days:
-        nan, pos, neg = (F.col(f"_{p}_{d}") for p in ("nan", "pos", "neg"))
-        finite = F.col(f"_fin_{d}").cast("double") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), F.col("_power") - half)
-        infinite = F.when((nan > 0) | ((pos > 0) & (neg > 0)), float("nan")).when(pos > 0, float("inf")).when(neg > 0, float("-inf"))
-        out[f"_sum_{d}"] = F.coalesce(infinite, finite)
-    return level.withColumns(out)
-
-
-def _swept_rows(
-    df: DataFrame, key: str, value: str, days: Sequence[int], tiebreak: Sequence[str], limit: int
-) -> DataFrame:
-    """The same sweep row by row, so that equal times are ordered by ``tiebreak``."""
-    rows = _scaled(df, key, value).withColumns({"_at": F.col("_t"), "_d": F.lit(0), "_untimed": F.col("_t").isNull()})
-    leaves = [rows]
+    carried = list(rows.columns)
     for d in days:
-        leaves.append(rows.filter("_t IS NOT NULL").withColumn("_at", F.col("_t") + d * DAY_MICROS).withColumn("_d", F.lit(d)))
-    events = leaves[0]
-    for more in leaves[1:]:
-        events = events.unionByName(more)
-    sums: dict[str, Column] = {}
-    parts = _parts(value)
-    for d in days:
-        sign = F.when(F.col("_d") == 0, 1).when(F.col("_d") == d, -1).otherwise(0)
-        sums |= {f"_{p}_{d}": sign * c for p, c in parts.items()}
-    order = ["_at", F.col("_d").desc(), *tiebreak]
-    swept = running_sum(events, [key, "_untimed"], order, sums, limit).filter(F.col("_d") == 0)
-    spare = [f"_{p}_{d}" for p in parts if p != "cnt" for d in days]
-    return _rebuilt(swept, days).drop("_at", "_d", "_untimed", "_power", *spare)
+        span = d * DAY_MICROS
+        rows = rows.withColumn("_block", F.col("_t") - F.pmod("_t", F.lit(span)))
+        rows = running(rows, [key, "_block"], order, {"_own": F.coalesce("_v", F.lit(0.0)), "_own_n": F.col("_n")})
+        moves = F.array(
+            F.struct(F.col("_block").alias("_in"), F.col("_t").alias("_at"), F.lit(False).alias("_mark")),
+            F.struct((F.col("_block") - span).alias("_in"), (F.col("_t") - span).alias("_at"), F.lit(True).alias("_mark")),
+        )
+        others = [c for c in carried if c not in (key, "_v", "_n")] + ["_own", "_own_n"]
+        events = rows.select(key, "_v", "_n", *others, F.inline(moves))
+        # rows that only give their amount need no other column
+        events = events.withColumns({c: F.when(F.col("_mark"), F.col(c)) for c in others})
+        given = {"_end": F.when(F.col("_mark") | F.col("_v").isNull(), 0.0).otherwise(F.col("_v")), "_end_n": F.when(F.col("_mark"), 0).otherwise(F.col("_n"))}
+        # backwards in time, marks first: amounts at t - d itself are out of the range
+        swept = running(events, [key, "_in"], [F.col("_at").desc(), F.col("_mark").desc()], given).filter("_mark")
+        rows = swept.select(*carried, (F.col("_own") + F.col("_end")).alias(f"_sum_{d}"), (F.col("_own_n") + F.col("_end_n")).cast("long").alias(f"_cnt_{d}"))
+        carried += [f"_sum_{d}", f"_cnt_{d}"]
+    return rows
 
 
 def short_run_features(
@@ -240,15 +291,14 @@ def rolling_target(
 ) -> DataFrame:
     """Rolling mean and deviation of a column over rows; deviation is null for one row."""
 
-    def columns(spec: Window) -> dict[str, Column]:
+    def add(frame: DataFrame, by: Names, sort: Order) -> DataFrame:
         out: dict[str, Column] = {}
         for w in windows:
-            frame = spec.rowsBetween(-(w - 1), 0)
-            out[f"{value}_rolling_mean_{w}"] = F.avg(value).over(frame)
-            out[f"{value}_rolling_std_{w}"] = F.stddev_samp(value).over(frame)
-        return out
+            out[f"{value}_rolling_mean_{w}"] = _mean(value, w)
+            out[f"{value}_rolling_std_{w}"] = _deviation(value, w)
+        return moving_moments(frame, by, sort, [value], windows).withColumns(out).drop(*[f"_{m}_{value}_{w}" for m in "nsd" for w in windows])
 
-    return framed(df, keys, order, columns, lookback=max(windows) - 1, limit=limit)
+    return framed_by(df, keys, order, add, lookback=max(windows) - 1, limit=limit)
 
 
 def is_time_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, limit: int = WINDOW_ROWS) -> DataFrame:
@@ -296,6 +346,25 @@ def group_size(df: DataFrame, keys: Sequence[str], out: str, counted: str | None
     return attach(df, sizes, keys, "left")
 
 
+def group_sizes(df: DataFrame, sizes: dict[str, tuple[Names, str | None]]) -> DataFrame:
+    """``group_size`` for several key sets, as {out: (keys, counted)}, with one aggregation for all of them.
+
+    Every row gives one (key set, key) per output, which are combined map-side and stored; a key set's
+    table is broadcast if it has few keys.
+    """
+    spots = []
+    for i, (keys, counted) in enumerate(sizes.values()):
+        one = F.lit(1) if counted is None else F.col(counted).isNotNull().cast("int")
+        spots.append(F.struct(F.lit(i).alias("_set"), F.array(*[F.col(k).cast("string") for k in keys]).alias("_key"), one.alias("_one")))
+    counts = settle(df.select(F.inline(F.array(*spots))).groupBy("_set", "_key").agg(F.sum("_one").alias("_size")))
+    found = {r["_set"]: r["count"] for r in counts.groupBy("_set").count().collect()}
+    for i, (out, (keys, _)) in enumerate(sizes.items()):
+        table = counts.where(F.col("_set") == i).select("_key", F.col("_size").alias(out))
+        table = F.broadcast(table) if found.get(i, 0) <= BROADCAST_ROWS else table
+        df = df.join(table, F.array(*[F.col(k).cast("string") for k in keys]).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return df
+
+
 def first_drop(df: DataFrame, keys: Sequence[str], order: str, value: str, share: float = 0.95) -> DataFrame:
     """Ratio of each period's value to the first period's, and the first period below ``share``.
 

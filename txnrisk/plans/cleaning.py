@@ -116,14 +116,12 @@ def b8(spark, sf_dir):
 
 @register(
     "b9_impute_median",
-    f"""WITH {DIRTY_SQL}, f AS (SELECT * FROM dirty WHERE amount IS NULL OR NOT isinf(amount))
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, timestamp,
- {sq('coalesce(amount, (SELECT quantile_cont(amount, 0.5) FROM f))')} AS amount,
- {sq('coalesce(quantity, (SELECT quantile_cont(quantity, 0.5) FROM f))')} AS quantity FROM f""",
+    f"""WITH {DIRTY_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, timestamp,
+ {sq('coalesce(amount, (SELECT quantile_cont(amount, 0.5) FROM dirty))')} AS amount,
+ {sq('coalesce(quantity, (SELECT quantile_cont(quantity, 0.5) FROM dirty))')} AS quantity FROM dirty""",
 )
 def b9(spark, sf_dir):
-    rows = dirty(spark, sf_dir).filter(F.col("amount").isNull() | (F.abs("amount") != float("inf")))
-    out = clean.impute_median(rows, ["amount", "quantity"])
+    out = clean.impute_median(dirty(spark, sf_dir), ["amount", "quantity"])
     return out.withColumns({"amount": q("amount"), "quantity": q("quantity")})
 
 

@@ -136,6 +136,19 @@ def h12_table(spark, sf_dir):
     return hashing.table_hash(table(spark, sf_dir, "lineitem"))
 
 
+_DIGEST = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@register(
+    "h12_table_digest",
+    "SELECT count(*) AS rows, bit_xor(h) AS xor_hash, CAST(sum(h::HUGEINT) AS VARCHAR) AS sum_hash FROM (SELECT ('0x' || substr(md5("
+    + " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in _DIGEST)
+    + "), 1, 15))::BIGINT AS h FROM orders)",
+)
+def h12_digest(spark, sf_dir):
+    return hashing.table_digest(table(spark, sf_dir, "orders").select(*_DIGEST))
+
+
 @register(
     "h13_iv_strength",
     "SELECT o_orderkey, CASE WHEN v < 0.02 THEN 'Not predictive' WHEN v < 0.1 THEN 'Weak' WHEN v < 0.3 THEN 'Medium' WHEN v < 0.5 THEN 'Strong' ELSE 'Very strong' END AS strength FROM (SELECT o_orderkey, (o_orderkey % 700) / 1000.0::DOUBLE AS v FROM orders)",

@@ -108,19 +108,19 @@ def k7(spark, sf_dir):
     return rows.groupBy("view").agg(F.count(F.lit(1)).alias("edges"), q(F.avg("label"), 8).alias("rate"))
 
 
-_RANKS = f"s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {HASH_SQL}, timestamp, amount) AS r, count(*) OVER (PARTITION BY label) AS n FROM scores)"
+RANKS = f"s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {HASH_SQL}, timestamp, amount) AS r, count(*) OVER (PARTITION BY label) AS n FROM scores)"
 
 
 @register(
     "k8_stratified_split",
-    with_scores(f"SELECT {KEY}, CASE WHEN r <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN r <= floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM s", _RANKS),
+    with_scores(f"SELECT {KEY}, CASE WHEN r <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN r <= floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM s", RANKS),
 )
 def k8(spark, sf_dir):
     out = splits.stratified_split(line_scores(spark, sf_dir), "label", IDS, ["timestamp", "amount"], limit=10_000)
     return out.select(*ROW_KEY, "split")
 
 
-@register("k9_stratified_folds", with_scores(f"SELECT {KEY}, CAST((r - 1) % 5 AS INT) AS fold FROM s", _RANKS))
+@register("k9_stratified_folds", with_scores(f"SELECT {KEY}, CAST((r - 1) % 5 AS INT) AS fold FROM s", RANKS))
 def k9(spark, sf_dir):
     return splits.stratified_folds(line_scores(spark, sf_dir), "label", IDS, 5, ["timestamp", "amount"]).select(*ROW_KEY, "fold")
 

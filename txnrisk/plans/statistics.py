@@ -8,7 +8,7 @@ from txnrisk.operators import iv, models, stats
 from txnrisk.operators.aggregates import outcome
 from txnrisk.operators.graph import degree_ratio, fan_degrees
 from txnrisk.plans.aggregates import rounded
-from txnrisk.plans.registry import register, sq, with_scores, with_transfers
+from txnrisk.plans.registry import q, register, sq, with_scores, with_transfers
 from txnrisk.sources.canonical import line_scores, transfers
 
 IV_COLS = ["amount", "from_bank", "to_bank", "payment_format", "l_quantity", "l_tax", "gappy"]
@@ -256,6 +256,27 @@ def i15(spark, sf_dir):
     return stats.principal_components(transfers(spark, sf_dir), ["amount", "from_bank", "to_bank", "l_quantity", "l_discount", "l_tax"], "is_fraud")
 
 
+def _side(y):
+    return f"abs(avg(a + sign(r) * b) FILTER (is_fraud = {y}) / sqrt(2)) AS f{y}, abs(avg(a - sign(r) * b) FILTER (is_fraud = {y}) / sqrt(2)) AS s{y}"
+
+
+@register(
+    "i15_two_components",
+    with_transfers(
+        f"""SELECT component, {sq('explained', 8)} AS explained, {sq('cumulative', 8)} AS cumulative, {sq('m1', 6)} AS class1_mean, {sq('m0', 6)} AS class0_mean FROM (
+SELECT 1 AS component, (1 + abs(r)) / 2 AS explained, (1 + abs(r)) / 2 AS cumulative, f1 AS m1, f0 AS m0 FROM w UNION ALL SELECT 2, (1 - abs(r)) / 2, 1, s1, s0 FROM w)""",
+        f"""z AS (SELECT is_fraud, (amount - avg(amount) OVER ()) / stddev_pop(amount) OVER () AS a, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS b,
+ corr(amount, l_quantity) OVER () AS r FROM transfers),
+w AS (SELECT any_value(r) AS r, {_side(1)}, {_side(0)} FROM (SELECT *, r FROM z))""",
+    ),
+)
+def i15_two(spark, sf_dir):
+    """Two standardised columns: the components are their sum and difference, whatever the data; signs are free."""
+    out = stats.principal_components(transfers(spark, sf_dir), ["amount", "l_quantity"], "is_fraud")
+    means = {c: q(F.abs(c), 6) for c in ("class1_mean", "class0_mean")}
+    return out.withColumns({"explained": q("explained", 8), "cumulative": q("cumulative", 8), **means})
+
+
 def _diff_sql(c, a, b):
     m = lambda o: f"avg({c}) FILTER (outcome = '{o}')"
     s = lambda o: f"stddev_samp({c}) FILTER (outcome = '{o}')"
@@ -287,6 +308,20 @@ def i17(spark, sf_dir):
     return models.forest_selection(rows, cols, "is_fraud", top_n=4)
 
 
+@register(
+    "i17_informative_column",
+    with_transfers(
+        """SELECT variable, CASE WHEN u > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance, CAST(row_number() OVER (ORDER BY u > 1 DESC, variable) AS INT) AS rank FROM (
+SELECT 'code' AS variable, count(DISTINCT payment_format) AS u FROM transfers UNION ALL SELECT 'steady', count(DISTINCT 1) FROM transfers UNION ALL SELECT 'still', count(DISTINCT 2) FROM transfers)"""
+    ),
+)
+def i17_informative(spark, sf_dir):
+    """Of one column that varies and two that don't, the first has all the importance."""
+    rows = transfers(spark, sf_dir).select("is_fraud", F.substring("payment_format", 1, 1).cast("int").alias("code"), F.lit(1).alias("steady"), F.lit(2).alias("still"))
+    out = models.forest_selection(rows, ["still", "steady", "code"], "is_fraud", top_n=3, numTrees=3, maxDepth=4)
+    return out.withColumn("importance", q("importance", 8))
+
+
 @register(
     "i18_leakage_screen",
     with_scores(

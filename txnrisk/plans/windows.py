@@ -215,8 +215,8 @@ def e9(spark, sf_dir):
     with_transfers(f"SELECT {KEY}, count(target) OVER (PARTITION BY source) AS n_source, count(source) OVER (PARTITION BY target) AS n_target FROM transfers"),
 )
 def e10(spark, sf_dir):
-    rows = win.group_size(transfers(spark, sf_dir), ["source"], "n_source", "target")
-    return win.group_size(rows, ["target"], "n_target", "source").select(*ROW_KEY, "n_source", "n_target")
+    rows = win.group_sizes(transfers(spark, sf_dir), {"n_source": (["source"], "target"), "n_target": (["target"], "source")})
+    return rows.select(*ROW_KEY, "n_source", "n_target")
 
 
 _SCORE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "timestamp", "amount"]
