@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -265,3 +266,49 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert "pipeline" in names
+
+
+def records_of(path: str) -> list[tuple[dict[str, str], bytes]]:
+    """Records of all files of an archive by the format alone: version line, headers, block of the stated length."""
+    out = []
+    for name in sorted(os.listdir(path.removeprefix("file:"))):
+        if not name.startswith("part-"):
+            continue
+        with open(f"{path.removeprefix('file:')}/{name}", "rb") as file:
+            data = file.read()
+        at = 0
+        while at < len(data):
+            head, end = data[at : data.index(b"\r\n\r\n", at)].decode().split("\r\n"), data.index(b"\r\n\r\n", at) + 4
+            assert head[0] == "WARC/1.1"
+            headers = dict(line.split(": ", 1) for line in head[1:])
+            stop = end + int(headers["Content-Length"])
+            assert data[stop : stop + 4] == b"\r\n\r\n"
+            out.append((headers, data[end:stop]))
+            at = stop + 4
+    return out
+
+
+def test_any_reader_can_follow_the_references(spark):
+    long = "<p>" + "wort " * 50_000
+    pages = [(1, "u1", "a"), (2, "u2", "a"), (3, "u3", long), (4, "u4", long), (4, "u4b", long), (5, None, None), (6, "u6", ""), (None, "n", "a"), (7, "u7", "only")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    written = []
+    for parts in (1, 3):
+        path = scratch_path(spark, "warc-follow")
+        warc.write_archive(df.repartition(parts), path)
+        written.append(records_of(path))
+    assert sorted(map(str, written[0])) == sorted(map(str, written[1])), "reruns write the same records"
+    responses = [h["WARC-Record-ID"] for h, _ in written[0] if h["WARC-Type"] == "response"]
+    segments = {}
+    for headers, block in written[0]:
+        if headers["WARC-Type"] != "revisit":
+            segments[headers.get("WARC-Segment-Origin-ID", headers["WARC-Record-ID"]), int(headers.get("WARC-Segment-Number", 1))] = block
+    revisits = [h for h, _ in written[0] if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 4 and len(responses) == 5
+    for h in revisits:
+        assert h["WARC-Refers-To"] in responses
+        held = b"".join(block for (name, _), block in sorted(segments.items()) if name == h["WARC-Refers-To"])
+        assert "sha1:" + warc.base32(hashlib.sha1(held).digest()) == h["WARC-Payload-Digest"]
+    found = sorted((tuple(r) for r in rows(warc.read_archive(spark, path))), key=repr)
+    assert [r[0] for r in found if r[3] == "response"].count(4) == 2 and len(found) == len(pages)
+    assert all(r[4] is not None for r in found if r[3] == "revisit")

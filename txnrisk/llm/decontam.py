@@ -15,6 +15,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,19 +130,17 @@ def _searched(batches: Iterator[pa.RecordBatch], index, first: bool) -> Iterator
             )
 
 
-def _blocks(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, window: int, block: int) -> list:
-    """Broadcast indexes over all distinct windows, at most ``block`` windows each."""
+def _blocks(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, window: int, block: int) -> Iterator[tuple[bool, Broadcast]]:
+    """Broadcast indexes over all distinct windows, about ``block`` windows each, made one after the other:
+    (whether it is the last, index)."""
     spark = bench.sparkSession
     texts = bench.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
     windows = texts.mapInArrow(partial(_item_windows, window=window), "item string, words array<long>")
     windows = windows.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
     windows = stored(windows.withColumn("block", F.xxhash64("words")), "windows")
     count = max(1, -(-windows.count() // block))
-    out = []
     for b in range(count):
         rows = windows.where(F.pmod(F.col("block"), F.lit(count)) == b).select("words", "items").toArrow()
-        if not rows.num_rows:
-            continue
         lists = [np.array(w, np.int64).view(np.uint64) for w in rows.column(0).to_pylist()]
         parts = [run_hash(w, np.arange(max(1, len(w) - SHINGLE + 1)), min(len(w), SHINGLE)) for w in lists]
         wanted: dict[int, set] = {}
@@ -149,12 +148,12 @@ def _blocks(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, windo
             wanted.setdefault(min(len(w), SHINGLE), set()).update(p.view(np.int64).tolist())
         sent = spark.sparkContext.broadcast({w: sorted(h) for w, h in wanted.items()})
         counted = docs.select("text").mapInArrow(partial(_counted, wanted=sent), "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen")).toArrow()
+        sent.unpersist()
         seen = dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True))
         # the rarest shingle of each window; ties go to the first
         best = [min(range(len(p)), key=lambda k, p=p: (seen.get(int(p[k : k + 1].view(np.int64)[0]), 0), k)) for p in parts]
         hashes = np.array([p[k] for p, k in zip(parts, best, strict=True)], np.uint64)
-        out.append(spark.sparkContext.broadcast((Index(lists, hashes, np.array(best, np.int64)), rows.column(1).to_pylist())))
-    return out
+        yield b == count - 1, spark.sparkContext.broadcast((Index(lists, hashes, np.array(best, np.int64)), rows.column(1).to_pylist()))
 
 
 def contamination(
@@ -166,16 +165,19 @@ def contamination(
     items of fewer words are one window. contaminated: n_hit > 0 and share * n_hit >= n_words. A
     null or empty text has no words and is clean; items without words, text or id have no windows;
     equal items and repeated rows count each; an empty benchmark hits nothing. Words are compared
-    by 64-bit hashes. The windows are sent to the executors in blocks of at most ``block`` distinct
-    ones, each searched over all rows in the same scan.
+    by 64-bit hashes. The windows are sent to the executors in blocks of about ``block`` distinct
+    ones. Only one block is on the driver and the executors at a time: what earlier ones have found
+    is written with the rows before the next is made.
     """
     own = in_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"), F.col(f"`{text_col}`").alias("text"))
-    indexes = _blocks(own, bench, item_col, item_text_col, window, block)
     kind = own.schema["all"].dataType.simpleString()
     kind = f"row struct<all:{kind},text:string>, n_words bigint, places array<int>, items array<string>"
     rows = own.select(F.struct("all", "text").alias("row"))
-    for k, index in enumerate(indexes or [None]):
+    for k, (last, index) in enumerate(_blocks(own, bench, item_col, item_text_col, window, block)):
         rows = rows.mapInArrow(partial(_searched, index=index, first=k == 0), kind)
+        if not last:
+            rows = in_batches(stored(rows, "searched"))
+            index.destroy()
     hit, n = F.size("places").cast("long"), F.col("n_words")
     return rows.select(
         F.col("row.all").alias("row"),

@@ -38,7 +38,8 @@ BELIEF = 0.5
 # The patterns of the contract.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match can only begin where a run of digits does: the rest of a run that has none has none either
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -74,7 +75,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the patterns' matches that pass their checks, in the order of kinds."""
     out = [(0, a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        # without its zeros in front a part has few digits, however long it is
+        if all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in m[0].split(".")):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -99,7 +101,7 @@ def _core(token: str, start: int) -> tuple[int, int]:
 
 
 def _shape(token: str) -> int:
-    runs = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 20)}", re.sub(r"[^\W\d_]+", "a", token[:64]))
+    runs = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 20)}", re.sub(r"[^\W\d_]+", "a", token))
     return int.from_bytes(hashlib.blake2b(runs.encode(), digest_size=4).digest(), "big") % SHAPES
 
 

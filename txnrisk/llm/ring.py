@@ -1,14 +1,16 @@
 """Shards by a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has equal slots. Keys fall into slots by hash, and the virtual nodes of each shard own the
-slots up to them. A key goes clockwise to the first virtual node whose shard still has room. Keys
-of a slot are alike to the ring, so only the number of keys per slot decides who takes how many;
-these counts are the only thing that the driver sees. Ranks inside a slot then name the keys.
+Each virtual node has a place among 64-bit hashes and owns the arc up to it. A key goes clockwise to the
+first virtual node whose shard still has room. The driver sees counts only: the keys per cell, a cell
+being the part of an arc in one of equal ranges of hashes. Cells keep the ranking of keys inside them
+small; how many there are changes no key's shard, as cells are gone through in the order of hashes.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,28 +18,24 @@ from pyspark.sql.window import Window
 
 SLOTS = 4096
 VNODES = 64
-#: Keys per slot that are aimed at; a larger table has more slots.
+#: Keys per range of hashes that are aimed at; a larger table has more ranges.
 PER_SLOT = 100_000
 #: Repeats of one row that are written by one step of an explode.
 CHUNK = 10_000
 
 
-def vnodes(shards: int, slots: int, per_shard: int = VNODES) -> list[tuple[int, int]]:
-    """(slot, shard) of all virtual nodes, clockwise. They depend on the shard's number alone."""
-    nodes = []
-    for shard in range(shards):
-        for v in range(per_shard):
-            place = int.from_bytes(hashlib.sha256(f"{shard}/{v}".encode()).digest()[:8], "big")
-            nodes.append((place * slots >> 64, place, shard))
-    return [(slot, shard) for slot, _, shard in sorted(nodes)]
+def vnodes(shards: int, per_shard: int = VNODES) -> list[tuple[int, int]]:
+    """(place, shard) of all virtual nodes, clockwise. A node depends on its shard's number alone."""
+    return sorted((int.from_bytes(hashlib.sha256(f"{shard}/{v}".encode()).digest()[:8], "big"), shard) for shard in range(shards) for v in range(per_shard))
 
 
-def place(counts: dict[int, int], capacity: list[int], slots: int, per_shard: int = VNODES) -> list[tuple[int, int, int, int, int]]:
-    """(slot, from rank, to rank, shard, first slot of the shard) for all keys, slot by slot.
+def place(counts: Iterable[tuple[int, int, int]], capacity: list[int], per_shard: int = VNODES) -> list[tuple[int, int, int, int, int, int]]:
+    """(range, arc, from rank, to rank, shard, first slot of the shard) for all keys, cell by cell.
 
+    ``counts`` are (range, arc, keys); arc ``a`` belongs to node ``a``, the one after the last to the first.
     Keys that overflow a full shard continue clockwise. capacity must hold all keys.
     """
-    ring = vnodes(len(capacity), slots, per_shard)
+    ring = vnodes(len(capacity), per_shard)
     room, used = list(capacity), [0] * len(capacity)
     # the next virtual node with room, by halving paths over full ones
     ahead = list(range(len(ring)))
@@ -54,17 +52,14 @@ def place(counts: dict[int, int], capacity: list[int], slots: int, per_shard: in
             ahead[p] = i
         return i
 
-    out, first = [], 0
-    for slot in range(slots):
-        while first < len(ring) and ring[first][0] < slot:
-            first += 1
-        done, left = 0, counts.get(slot, 0)
-        at = first
+    out = []
+    for cell, arc, left in sorted(counts):
+        done, at = 0, arc
         while left:
             at = free(at)
             shard = ring[at][1]
             take = min(left, room[shard])
-            out.append((slot, done, done + take, shard, used[shard]))
+            out.append((cell, arc, done, done + take, shard, used[shard]))
             room[shard] -= take
             used[shard] += take
             done, left = done + take, left - take
@@ -76,12 +71,25 @@ def even(rows: int, shards: int) -> list[int]:
     return [rows // shards + (i < rows % shards) for i in range(shards)]
 
 
-def _slot(slots: int) -> Column:
-    return F.shiftrightunsigned("ring_hash", 64 - (slots - 1).bit_length()).cast("int")
+def _range(ranges: int) -> Column:
+    return F.shiftrightunsigned("ring_hash", 64 - (ranges - 1).bit_length()).cast("int")
 
 
-def _per_slot(rows: DataFrame, slots: int) -> dict[int, int]:
-    return {r[0]: r[1] for r in rows.groupBy(_slot(slots)).count().collect()}
+def _with_arcs(rows: DataFrame, shards: int, per_shard: int) -> DataFrame:
+    """Adds ring_arc: how many nodes stand before the row's hash, all 64 bits compared."""
+    places = [p for p, _ in vnodes(shards, per_shard)]
+    edges = [bisect.bisect_left(places, k << 52) for k in range(SLOTS + 1)]
+    # unsigned places as signed numbers of the same order
+    table = [(k, edges[k], [p - (1 << 63) for p in places[edges[k] : edges[k + 1]]]) for k in range(SLOTS)]
+    near = rows.sparkSession.createDataFrame(table, "ring_near int, ring_before int, ring_inside array<long>")
+    turned = F.col("ring_hash").bitwiseXOR(F.lit(-(1 << 63)))
+    joined = rows.join(F.broadcast(near), F.shiftrightunsigned("ring_hash", 52).cast("int") == F.col("ring_near"))
+    arc = F.col("ring_before") + F.size(F.filter("ring_inside", lambda p: p < turned))
+    return joined.withColumn("ring_arc", arc).drop("ring_near", "ring_before", "ring_inside")
+
+
+def _per_cell(rows: DataFrame, ranges: int) -> list[tuple[int, int, int]]:
+    return [tuple(r) for r in rows.groupBy(_range(ranges), "ring_arc").count().collect()]
 
 
 def ring_shards(df: DataFrame, key: list[Column], shards: int = 16, slack: float = 0.0, per_shard: int = VNODES) -> DataFrame:
@@ -96,28 +104,28 @@ def ring_shards(df: DataFrame, key: list[Column], shards: int = 16, slack: float
     spark = df.sparkSession
     df = df.drop("shard", "slot")
     names = df.columns
-    rows = df.withColumn("ring_hash", F.xxhash64(*key))
-    slots = SLOTS
-    counts = _per_slot(rows, slots)
-    total = sum(counts.values())
-    while total / slots > PER_SLOT:
-        slots *= 2
-    if slots > SLOTS:
-        counts = _per_slot(rows, slots)
-    rows = rows.withColumn("ring_slot", _slot(slots))
+    rows = _with_arcs(df.withColumn("ring_hash", F.xxhash64(*key)), shards, per_shard)
+    ranges = SLOTS
+    counts = _per_cell(rows, ranges)
+    total = sum(n for _, _, n in counts)
+    while total / ranges > PER_SLOT:
+        ranges *= 2
+    if ranges > SLOTS:
+        counts = _per_cell(rows, ranges)
+    rows = rows.withColumn("ring_range", _range(ranges))
     capacity = even(total, shards) if not slack else [int(total / shards * (1 + slack)) + 1] * shards
-    runs = place(counts, capacity, slots, per_shard)
-    plan = spark.createDataFrame(runs, "ring_slot int, run_from long, run_to long, shard int, run_first long")
+    runs = place(counts, capacity, per_shard)
+    plan = spark.createDataFrame(runs, "ring_range int, ring_arc int, run_from long, run_to long, shard int, run_first long")
     same = rows.groupBy(*rows.columns).agg(F.count("*").alias("ring_times"))
-    order = Window.partitionBy("ring_slot").orderBy("ring_hash", *(F.col(f"`{n}`") for n in names))
+    order = Window.partitionBy("ring_range", "ring_arc").orderBy("ring_hash", *(F.col(f"`{n}`") for n in names))
     same = same.withColumn("ring_rank", F.sum("ring_times").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("ring_times"))
     many = same.withColumn("ring_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("ring_times") / CHUNK) - 1)))
     within = F.least(F.lit(CHUNK) - 1, F.col("ring_times") - F.col("ring_part") * CHUNK - 1)
     each = many.withColumn("ring_one", F.explode(F.sequence(F.lit(0), within.cast("int"))))
     rank = F.col("ring_rank") + F.col("ring_part") * CHUNK + F.col("ring_one")
     each = each.withColumn("ring_rank", rank)
-    # at most one run per slot and shard change: a few thousand rows, as there are slots
-    joined = each.join(F.broadcast(plan), "ring_slot").where("ring_rank >= run_from and ring_rank < run_to")
+    # at most one run per cell and shard change: a few thousand rows, as there are cells
+    joined = each.join(F.broadcast(plan), ["ring_range", "ring_arc"]).where("ring_rank >= run_from and ring_rank < run_to")
     return joined.select(*(F.col(f"`{n}`") for n in names), "shard", (F.col("run_first") + F.col("ring_rank") - F.col("run_from")).alias("slot"))
 
 

@@ -4,6 +4,9 @@ A payload longer than a chunk becomes a response record and continuation records
 segments), one row each: record identifier, segment number, and the SHA-1 of the payload so far.
 Spark's text source writes and reads them, with its commits and on any file system it knows. The
 separator of records never occurs inside a block, because payloads are cut there too.
+
+A record is named by its page and payload digest, so reruns write the same names and a revisit names
+the response that holds its payload, for any reader of the format.
 """
 
 from __future__ import annotations
@@ -54,6 +57,11 @@ def cuts(payload: memoryview, chunk: int) -> Iterator[tuple[int, int]]:
         at = stop
 
 
+def record_name(page: int | None, digest: str) -> str:
+    """Rows with equal page and payload share it: their records are equal too."""
+    return f"urn:x-page:{'' if page is None else page}:{digest}"
+
+
 def _record(headers: list[tuple[str, object]], block: bytes) -> str:
     lines = [f"{k}: {v}" for k, v in headers if v is not None] + [f"Content-Length: {len(block)}"]
     return VERSION + END.join(lines) + END + END + block.decode() + END
@@ -61,21 +69,22 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> str:
 
 def _written(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages, urls, keys, answers = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+        pages, urls, answers = (batch.column(k).to_pylist() for k in (0, 1, 3))
         data, at = raw(batch.column(2))
         held, rows = 0, []
-        for i, (page, url, key, answer) in enumerate(zip(pages, urls, keys, answers, strict=True)):
+        for i, (page, url, answer) in enumerate(zip(pages, urls, answers, strict=True)):
             payload = memoryview(data[at[i] : at[i + 1]])
             revisit = answer is not None and answer != page
-            name = f"<urn:x-record:{key}>"
+            whole = base32(hashlib.sha1(payload).digest())
+            name = f"<{record_name(page, whole)}>"
             common = [("WARC-Date", DATE), ("WARC-Target-URI", None if url is None else urllib.parse.quote(url, safe=_PLAIN).replace("WARC/", "WARC%2F"))]
             own = [(PAGE, page), (LENGTH, len(payload)), ("Content-Type", "text/html")]
             parts = [(0, 0)] if revisit else list(cuts(payload, chunk)) or [(0, 0)]
             if revisit or len(parts) == 1:
-                digest = f"sha1:{base32(hashlib.sha1(payload).digest())}"
-                kind = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", name), *common]
-                refers = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:x-page:{answer}>")] if revisit else []
-                rows.append(_record([*kind, *refers, (DIGEST, digest), *own], b"" if revisit else bytes(payload)))
+                own_name = f"<{record_name(page, whole)}:revisit>" if revisit else name
+                kind = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", own_name), *common]
+                refers = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{record_name(answer, whole)}>")] if revisit else []
+                rows.append(_record([*kind, *refers, (DIGEST, f"sha1:{whole}"), *own], b"" if revisit else bytes(payload)))
                 held += len(rows[-1])
             else:
                 running = hashlib.sha1()
@@ -83,7 +92,7 @@ def _written(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Recor
                     running.update(payload[a:b])
                     block = bytes(payload[a:b])
                     last = k == len(parts) - 1
-                    kind = [("WARC-Type", "continuation" if k else "response"), ("WARC-Record-ID", f"<urn:x-record:{key}:{k + 1}>" if k else name), *common]
+                    kind = [("WARC-Type", "continuation" if k else "response"), ("WARC-Record-ID", f"<{record_name(page, whole)}:{k + 1}>" if k else name), *common]
                     place = [(NUMBER, k + 1), (ORIGIN, name), (TOTAL, len(payload) if last else None), ("WARC-Block-Digest", f"sha1:{base32(hashlib.sha1(block).digest())}")]
                     so_far = (DIGEST if last else RUNNING, f"sha1:{base32(running.digest())}")
                     rows.append(_record([*kind, *place, so_far, *own], block))
@@ -111,7 +120,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     same = rows.groupBy("digest").agg(F.max("page_id").alias("answer"), F.count("*").alias("times")).where("times > 1").select("digest", "answer")
     same = stored(same, "payloads").withColumnRenamed("digest", "same_digest")
     rows = rows.join(same, F.col("digest") == F.col("same_digest"), "left")
-    rows = rows.select("page_id", "url", "html", F.monotonically_increasing_id().alias("key"), "answer")
+    rows = rows.select("page_id", "url", "html", "answer")
     rows.mapInArrow(partial(_written, chunk=chunk), "value string").write.option("lineSep", END).text(path)
 
 
@@ -144,7 +153,7 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if headers["WARC-Type"] == "response" and base32(hashlib.sha1(block).digest()) != digest:
                 raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
             refers = headers.get("WARC-Refers-To")
-            out.append((_number(headers.get(PAGE)), int(headers[LENGTH]), digest, headers["WARC-Type"], None if refers is None else int(refers.rpartition(":")[2][:-1])))
+            out.append((_number(headers.get(PAGE)), int(headers[LENGTH]), digest, headers["WARC-Type"], None if refers is None else int(refers.split(":")[2])))
         yield _batch(out)
 
 
@@ -181,22 +190,43 @@ def chunk_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of sorted chunk rows: a running SHA-1 and a byte count are all that is held."""
-    record, running, size, number = None, None, 0, 0
+    """Records of sorted chunk rows: a running SHA-1 and a byte count are all that is held.
+
+    Equal records share a name, so each of their chunks comes as often as there are records.
+    """
+    record, running, size, number, times, first = None, None, 0, 0, 0, 0
+    ended: tuple | None = None
+
+    def done() -> list[tuple]:
+        """The records whose last chunk has been read."""
+        if record is None:
+            return []
+        if ended is None or times != first:
+            raise ValueError(f"{record} ends early or lacks a chunk")
+        return [ended] * times
+
     for batch in batches:
         out = []
         for row in batch.to_pylist():
             if row["record"] != record:
-                record, running, size, number = row["record"], hashlib.sha1(), 0, 0
+                out += done()
+                record, running, size, number, times, first, ended = row["record"], hashlib.sha1(), 0, 0, 0, 0, None
+            if row["chunk_no"] == number and row["so_far"] == base32(running.digest()):
+                times += 1
+                continue
+            if number and times != (first := first or times):
+                raise ValueError(f"a chunk {number} of {record} is missing")
             running.update(row["chunk"])
-            size, number = size + len(row["chunk"]), number + 1
+            size, number, times = size + len(row["chunk"]), number + 1, 1
             if row["chunk_no"] != number or row["so_far"] != base32(running.digest()):
                 raise ValueError(f"chunk {row['chunk_no']} of {record} is missing or wrong")
             if row["total"] is not None:
                 if size != row["total"]:
                     raise ValueError(f"{record} has {size} of {row['total']} bytes")
-                out.append((row["page_id"], size, base32(running.digest()), "response", None))
+                first = first or times
+                ended = (row["page_id"], size, base32(running.digest()), "response", None)
         yield _batch(out)
+    yield _batch(done())
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
