@@ -25,15 +25,16 @@ def scored(spark):
     return spark.createDataFrame(rows, "id int, k string, s double, t timestamp_ntz, y int").repartition(5)
 
 
-@pytest.mark.parametrize("inside", [0, 20_000])
+@pytest.mark.parametrize(("inside", "cells", "limit"), [(0, 20_000, 20), (20_000, 0, 100), (0, 0, 1_000_000)])
 @pytest.mark.parametrize("keys", [[], ["k"]])
 @pytest.mark.parametrize("descending", [False, True])
-def test_cuts_agree_with_ranks(scored, keys, descending, inside, monkeypatch):
+def test_cuts_agree_with_ranks(scored, keys, descending, inside, cells, limit, monkeypatch):
     monkeypatch.setattr(quantiles, "ALL_INSIDE", inside)
+    monkeypatch.setattr(quantiles, "DRIVER_CELLS", cells)
     order = [F.col("s").desc() if descending else F.col("s").asc(), "id"]
     cuts = [F.lit(0), F.lit(1), F.floor(F.col("n") * 0.3), F.floor(F.col("n") * 0.31), F.col("n") - 1, F.col("n"), F.col("n") + 5]
     lead = selection.leading_number(scored, "s", descending)
-    got = {r["id"]: r["cut"] for r in selection.cut_ranks(scored, keys, order, lead, cuts).collect()}
+    got = {r["id"]: r["cut"] for r in selection.cut_ranks(scored, keys, order, lead, cuts, limit=limit).collect()}
     spec = Window.partitionBy(*(keys or [F.lit(0)]))
     passed = [(F.row_number().over(spec.orderBy(*order)) > c).cast("int") for c in cuts]
     ranks = scored.withColumn("n", F.count(F.lit(1)).over(spec)).withColumn("want", sum(passed, F.lit(0)))
@@ -54,22 +55,24 @@ def test_cuts_of_times_texts_and_empty_tables(spark, scored):
     assert splits.ratio_split(empty, ["t"]).count() == 0
 
 
-def test_selection_sorts_no_whole_table(spark, scored):
-    out = splits.ratio_split(scored, ["t", "id"])
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "RepartitionByExpression" not in plan.replace("RepartitionByExpression [", "", 0) or "range" not in plan.lower()
+def test_selection_sorts_no_whole_table(scored, monkeypatch):
+    ranked = []
+    monkeypatch.setattr(selection, "ranked", lambda df, *more, to=ordering.ranked: ranked.append(df.count()) or to(df, *more))
+    out = splits.ratio_split(scored, ["s", "id"], 0.75, limit=50)
     sizes = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
-    assert sizes == {"train": 960, "test": 240}
+    # only the rows whose score is the cut's are ranked
+    at_cut = sorted((r["s"] if r["s"] is not None else float("-inf") for r in scored.collect()), key=lambda v: (v != v, v))[299]
+    assert sizes == {"train": 300, "test": 900} and ranked == [scored.where(F.col("s") == at_cut).count()]
 
 
 def test_stratified_pieces_have_the_shares(scored):
-    out = splits.stratified_split(scored, "k", ["id"], ["id"])
+    out = splits.stratified_split(scored, "k", ["id"], ["id"], limit=100)
     sizes = {(r["k"], r["split"]): r["count"] for r in out.groupBy("k", "split").count().collect()}
     totals = {r["k"]: r["count"] for r in scored.groupBy("k").count().collect()}
     for k, n in totals.items():
         assert sizes[k, "train"] == math.floor(n * 0.6)
         assert sizes[k, "train"] + sizes[k, "val"] == math.floor(n * (0.6 + 0.2))
-    sample = {r["k"]: r["count"] for r in topk.stratified_sample(scored, "k", 0.1, ["id"]).groupBy("k").count().collect()}
+    sample = {r["k"]: r["count"] for r in topk.stratified_sample(scored, "k", 0.1, ["id"], limit=100).groupBy("k").count().collect()}
     assert sample == {k: math.floor(n * 0.1) for k, n in totals.items() if math.floor(n * 0.1)}
 
 
@@ -79,8 +82,10 @@ def interpolated(values, p):
     return low if low == high or at == math.floor(at) else (math.ceil(at) - at) * low + (at - math.floor(at)) * high
 
 
+@pytest.mark.parametrize("cells", [20_000, 0])
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_bracketed_quantiles_of_large_groups(spark, keys, monkeypatch):
+def test_bracketed_quantiles_of_large_groups(spark, keys, cells, monkeypatch):
+    monkeypatch.setattr(quantiles, "DRIVER_CELLS", cells)
     monkeypatch.setattr(quantiles, "MAP_VALUES", 10)
     monkeypatch.setattr(quantiles, "ALL_INSIDE", 100)
     monkeypatch.setattr(quantiles, "RANK_ERROR", 1e-2)

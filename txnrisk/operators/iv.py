@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from txnrisk.functions.numeric import log_odds
 from txnrisk.operators.ordering import WINDOW_ROWS
-from txnrisk.operators.quantiles import long_form, quantile_row, quantiles_of_counts
+from txnrisk.operators.quantiles import long_form, many_quantiles, quantile_row, quantiles_of_counts
 from txnrisk.session import settle
 
 MISSING = "**MISSING**"
@@ -84,11 +84,9 @@ def _many_valued(known: DataFrame, numeric: Sequence[str], most: int) -> list[st
         return []
     steps = 2 * most + 2
     grid = [i / steps for i in range(steps + 1)]
-    value = {c: F.col(c).cast("double") for c in numeric}
-    found = known.agg(
-        *[F.size(F.array_distinct(F.percentile_approx(F.when(~F.isnan(v), v), grid, 2 * steps))).alias(c) for c, v in value.items()]
-    ).first()
-    return [c for c in numeric if (found[c] or 0) > most]
+    values = known.select(*[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"v{i}") for i, c in enumerate(numeric)])
+    found = values.agg(*[F.size(F.array_distinct(many_quantiles(f"v{i}", grid, 2 * steps))) for i in range(len(numeric))]).first()
+    return [c for c, distinct in zip(numeric, found, strict=True) if (distinct or 0) > most]
 
 
 def binned(
@@ -102,6 +100,8 @@ def binned(
     than ``max_unique`` values are left out if that is given. ``unique_values`` is null for
     other columns proven to have many, unless ``exact_unique`` asks for the count.
     """
+    # several passes read these columns, whatever it takes to make them
+    df = settle(df.select(*dict.fromkeys([target, *cols])))
     known = df.filter(F.col(target).isin(0, 1))
     most = max(bins, min(TOLD_APART, TOLD_APART if max_unique is None else max_unique))
     many = _many_valued(known, _numeric(df, cols), most)

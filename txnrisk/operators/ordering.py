@@ -122,8 +122,8 @@ def global_rank(df: DataFrame, order: Order, out: str = "rank", rows: int = 0) -
     )
 
 
-def ranked(df: DataFrame, keys: Names, order: Order, out: str = "rank", limit: int = WINDOW_ROWS) -> DataFrame:
-    """1-based row number within ``keys``."""
+def ranked(df: DataFrame, keys: Names, order: Order, out: str = "rank", limit: int = WINDOW_ROWS, largest: int | None = None) -> DataFrame:
+    """1-based row number within ``keys``. ``largest``, if known, is a bound of a key's rows that spares counting."""
     keys = list(keys)
     cols = as_columns(order)
 
@@ -131,7 +131,7 @@ def ranked(df: DataFrame, keys: Names, order: Order, out: str = "rank", limit: i
         spec = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*cols)
         return frame.withColumn(out, F.row_number().over(spec).cast("long"))
 
-    hot = hot_keys(df, keys, limit)
+    hot = hot_keys(df, keys, limit) if largest is None or largest > limit else None
     if hot is None:
         return plain(df)
     cold, warm = split_hot(df, keys, hot)

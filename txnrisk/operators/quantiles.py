@@ -9,8 +9,9 @@ position; a bracket that does not is opened to the whole group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from txnrisk.operators.ordering import WINDOW_ROWS, attach, largest_group, running_sum, same_keys, sized
@@ -20,6 +21,8 @@ from txnrisk.session import settle
 MAP_VALUES = 100_000
 # The sketch's ranks are off by at most this share of a group.
 RANK_ERROR = 1e-4
+# Largest table of values inside brackets that is finished on the driver.
+DRIVER_CELLS = 20_000
 # Rows of a group that are all taken as inside its brackets.
 ALL_INSIDE = 20_000
 
@@ -73,14 +76,20 @@ def between(place: Column, low: Column, high: Column) -> Column:
     return F.when((low == high) | (place == F.floor(place)), low).otherwise(mixed)
 
 
+def many_quantiles(column: str, probs: Sequence[float], accuracy: int | None = None) -> Column:
+    """A sketch's values at many probabilities, as text: a column object for each would take longer than the job."""
+    listed = ", ".join(f"{float(p)!r}D" for p in probs)
+    return F.expr(f"percentile_approx({column}, array({listed}), {accuracy or round(1 / RANK_ERROR)})")
+
+
 def sketched(rows: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """groups..., n, _grid: a lower and an upper bound of each quantile's values, in turn."""
     grid = [b for p in probs for b in (max(0.0, p - 2 * RANK_ERROR), min(1.0, p + 2 * RANK_ERROR))]
-    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", grid, round(1 / RANK_ERROR)).alias("_grid"))
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), many_quantiles("value", grid).alias("_grid"))
 
 
 def selected(rows: DataFrame, groups: Sequence[str], brackets: DataFrame, places: Sequence[Column], limit: int) -> DataFrame:
-    """groups..., n, _at: per place (from 0) its value and how many values are smaller.
+    """groups..., n, _at: per place (from 0) its value, how many values are smaller and how many equal.
 
     ``rows`` are (groups..., value) without nulls and NaN, ``brackets`` (groups..., n, _grid) with two
     bounds per place, one row per group, a stored table that is marked for broadcast if its size allows;
@@ -98,30 +107,66 @@ def selected(rows: DataFrame, groups: Sequence[str], brackets: DataFrame, places
 
 
 def _inside(rows: DataFrame, groups: Sequence[str], brackets: DataFrame, count: int, limit: int) -> DataFrame:
-    table, condition = same_keys(rows, brackets, groups)
-    joined = rows.join(table, condition).select(*groups, "value", "_grid")
-    low = [F.col("_grid")[2 * k] for k in range(count)]
-    hits = [F.when((F.col("value") >= low[k]) & (F.col("value") <= F.col("_grid")[2 * k + 1]), F.lit(k)) for k in range(count)]
-    cells = F.filter(F.array(*hits), lambda k: k.isNotNull())
-    marked = joined.withColumn("_cells", F.when(F.size(cells) > 0, cells).otherwise(F.array(F.lit(-1))))
-    below = [(F.col("value") < low[k]).cast("long").alias(f"_b{k}") for k in range(count)]
-    # a row in several brackets counts once as below the others
-    flat = marked.select(*groups, "value", *below, F.posexplode("_cells").alias("_first", "_probe"))
-    counted = flat.groupBy(*groups, "_probe", F.when(F.col("_probe") >= 0, F.col("value")).alias("value")).agg(
-        F.count(F.lit(1)).alias("_c"), *[F.sum(F.when(F.col("_first") == 0, F.col(f"_b{k}")).otherwise(0)).alias(f"_b{k}") for k in range(count)]
-    )
-    counted = settle(counted)
+    bounds = {f"_{end}{k}": F.col("_grid")[2 * k + i] for k in range(count) for i, end in enumerate(("lo", "hi"))}
+    table, condition = same_keys(rows, brackets.select(*groups, *[c.alias(n) for n, c in bounds.items()]), groups)
+    joined = rows.join(table, condition)
+    value = F.col("value")
+    inside = [(value >= F.col(f"_lo{k}")) & (value <= F.col(f"_hi{k}")) for k in range(count)]
+    # one row per value in any bracket, one for all other values; both know how many lie below each bracket
+    cell = F.when(reduce(lambda a, b: a | b, inside), value)
+    below = [F.sum((value < F.col(f"_lo{k}")).cast("long")).alias(f"_b{k}") for k in range(count)]
+    counted = settle(joined.groupBy(*groups, cell.alias("value")).agg(F.count(F.lit(1)).alias("_c"), *below))
+    few = counted.limit(DRIVER_CELLS + 1).collect()
+    if len(few) <= DRIVER_CELLS:
+        return _finished(few, groups, brackets, count)
     totals = counted.groupBy(*groups).agg(F.array(*[F.sum(f"_b{k}") for k in range(count)]).alias("_below"))
     totals = attach(brackets, totals, groups, "left")
-    inner = running_sum(counted.where("_probe >= 0").select(*groups, "_probe", "value", "_c"), [*groups, "_probe"], ["value"], {"_seen": F.col("_c")}, limit)
-    inner = attach(inner, totals.select(*groups, "_below", "_places"), groups)
-    before = F.col("_below")[F.col("_probe")]
-    place = F.col("_places")[F.col("_probe")]
-    holds = (before <= place) & (before + F.col("_seen") > place)
+    held = attach(counted.where("value is not null").select(*groups, "value", "_c"), totals.select(*groups, "_grid", "_below", "_places"), groups)
+    probe = [F.struct(F.lit(k).alias("_probe"), F.col("_below")[k].alias("_before"), F.col("_places")[k].alias("_place")) for k in range(count)]
+    hits = [F.when((value >= F.col("_grid")[2 * k]) & (value <= F.col("_grid")[2 * k + 1]), probe[k]) for k in range(count)]
+    held = held.select(*groups, "value", "_c", F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+    held = running_sum(held, [*groups, "_probe"], ["value"], {"_seen": F.col("_c")}, limit)
     # the smallest value whose running count passes the place
-    found = inner.where(holds).groupBy(*groups, "_probe").agg(F.min(F.struct("value", (before + F.col("_seen") - F.col("_c")).alias("before"))).alias("_v"))
-    listed = found.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_probe", "_v"))).alias("_m"))
-    return attach(totals, listed, groups, "left").select(*groups, "n", F.array(*[F.try_element_at("_m", F.lit(k)) for k in range(count)]).alias("_at"))
+    passes = (F.col("_before") <= F.col("_place")) & (F.col("_before") + F.col("_seen") > F.col("_place"))
+    at = F.struct("value", (F.col("_before") + F.col("_seen") - F.col("_c")).alias("before"), F.col("_c").alias("times"))
+    found = held.where(passes).groupBy(*groups).agg(*[F.min(F.when(F.col("_probe") == k, at)).alias(f"_v{k}") for k in range(count)])
+    out = attach(totals.select(*groups, "n"), found, groups, "left")
+    # one row per group, read by the check and by what follows
+    return settle(out.select(*groups, "n", F.array(*[F.col(f"_v{k}") for k in range(count)]).alias("_at")))
+
+
+def _finished(cells: Sequence[Row], groups: Sequence[str], brackets: DataFrame, count: int) -> DataFrame:
+    """``selected`` from counted cells, of which there are few, and so are groups."""
+    held: dict[tuple, list[Row]] = {}
+    below: dict[tuple, list[int]] = {}
+    for r in cells:
+        key = tuple(r[g] for g in groups)
+        below[key] = [b + r[f"_b{k}"] for k, b in enumerate(below.get(key, [0] * count))]
+        if r["value"] is not None:
+            held.setdefault(key, []).append(r)
+    out = []
+    for b in brackets.collect():
+        key = tuple(b[g] for g in groups)
+        values = sorted(held.get(key, []), key=lambda r: r["value"])
+        found: list[tuple | None] = []
+        for k in range(count):
+            seen = before = below.get(key, [0] * count)[k]
+            at = None
+            for r in values if before <= b["_places"][k] else ():
+                if b["_grid"][2 * k] <= r["value"] <= b["_grid"][2 * k + 1]:
+                    seen += r["_c"]
+                    if seen > b["_places"][k]:
+                        at = (r["value"], seen - r["_c"], r["_c"])
+                        break
+            found.append(at)
+        out.append((*key, b["n"], found))
+    kinds = ", ".join(f"`{g}` {brackets.schema[g].dataType.simpleString()}" for g in groups)
+    return brackets.sparkSession.createDataFrame(out, f"{kinds}, n long, _at array<struct<value:double,before:long,times:long>>")
+
+
+def handed(df: DataFrame) -> DataFrame:
+    """A table that has few rows by construction, made once and kept on the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def quantiles(
@@ -147,7 +192,7 @@ def quantiles(
     rows = rows.withColumn("value", F.col("value") + F.lit(0.0))
     groups = [*keys, "column"]
     # without keys the sketch has one row per column, and its counts come for free
-    sketch = None if keys else settle(sketched(rows, groups, probs))
+    sketch = None if keys else handed(sketched(rows, groups, probs))
     largest = largest_group(rows, groups) if sketch is None else sketch.agg(F.max("n")).first()[0] or 0
     if largest <= min(limit, MAP_VALUES):
         return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.percentile("value", [float(p) for p in probs]).alias("q"))

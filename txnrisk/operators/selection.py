@@ -10,17 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.functions.dates import micros
-from txnrisk.operators.ordering import WINDOW_ROWS, Names, Order, ranked, same_keys, sized
-from txnrisk.operators.quantiles import RANK_ERROR, selected
-from txnrisk.session import settle
+from txnrisk.operators.ordering import WINDOW_ROWS, Names, Order, largest_group, ranked, same_keys, sized
+from txnrisk.operators.quantiles import RANK_ERROR, handed, many_quantiles, selected
 
 # Evenly spaced quantiles that the sketch gives: a bracket is about this share of a group.
-STEPS = 2000
+STEPS = 500
 
 
 def leading_number(df: DataFrame, column: str, descending: bool = False) -> Column | None:
@@ -49,7 +48,7 @@ def hash_number(hashed: Column) -> Column:
 def _brackets(narrow: DataFrame, groups: Names, cuts: Sequence[Column]) -> DataFrame:
     """groups..., n, _grid: two bounds per cut."""
     sketch = narrow.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [i / STEPS for i in range(STEPS + 1)], round(1 / RANK_ERROR)).alias("_q")
+        F.count(F.lit(1)).alias("n"), many_quantiles("value", [i / STEPS for i in range(STEPS + 1)]).alias("_q")
     )
     ends = []
     for cut in cuts:
@@ -77,13 +76,20 @@ def cut_ranks(
     A cut ``c`` lies before a row if the row's 1-based rank within ``keys`` by ``order`` is more than
     ``c``. ``cuts`` are expressions of the group's size ``n``; ``lead`` is a double that never falls
     along ``order`` and is not null. ``order`` should be total; otherwise tied rows fall as they come.
+    If no group has more than ``limit`` rows, one window ranks each in a task; the cuts are the same.
     """
     keys = list(keys)
+    largest = largest_group(df, keys)
+    if largest <= limit:
+        whole = Window.partitionBy(*keys) if keys else None
+        sized_rows = df.withColumn("n", F.count(F.lit(1)).over(whole) if keys else F.lit(largest))
+        placed = ranked(sized_rows, keys, order, "_place", limit, largest)
+        return placed.withColumn(out, sum(((F.col("_place") > c).cast("int") for c in cuts), F.lit(0))).drop("_place", "n")
     groups = [*keys, "_all"]
     rows = df.withColumns({"_all": F.lit(0), "_lead": lead + F.lit(0.0)})
     narrow = rows.select(*groups, F.col("_lead").alias("value"))
     brackets = _brackets(narrow, groups, cuts)
-    brackets = sized(brackets) if keys else F.broadcast(settle(brackets))
+    brackets = sized(brackets) if keys else F.broadcast(handed(brackets))
     places = [F.least(F.greatest(c - 1, F.lit(0)), F.col("n") - 1) for c in cuts]
     found = selected(narrow, groups, brackets, places, limit)
     cut = lambda k, c: F.struct(
@@ -115,6 +121,8 @@ def cut_ranks(
 
     spare = ["_all", "_lead", "_cuts"]
     clear = placed.where(~tied).withColumn(out, side([F.lit(0)] * len(each))).drop(*spare)
-    close = ranked(placed.where(tied), [*keys, "_lead"], order, "_place", limit)
+    # how many rows share a cut's number is known
+    largest = found.agg(F.max(F.array_max(F.transform("_at", lambda a: a["times"])))).first()[0] or 0
+    close = ranked(placed.where(tied), [*keys, "_lead"], order, "_place", limit, largest)
     close = close.withColumn(out, side([(F.col("_place") > c["left"]).cast("int") for c in each])).drop(*spare, "_place")
     return clear.unionByName(close)

@@ -41,7 +41,7 @@ def _moments(values: Names, over: Window, tag: str) -> dict[str, Column]:
     return out
 
 
-def moving_moments(frame: DataFrame, by: Names, order: Order, values: Names, windows: Sequence[int]) -> DataFrame:
+def moving_moments(frame: DataFrame, by: Names, order: Order, values: Names, windows: Sequence[int], spare: Names = ()) -> DataFrame:
     """Add ``_n``, ``_s`` and ``_d`` (count, sum, squared deviations) of the last ``w`` rows as ``_n_{value}_{w}``.
 
     Short frames are read directly. For a longer one the rows are cut into blocks of ``w``: the last
@@ -66,7 +66,7 @@ def moving_moments(frame: DataFrame, by: Names, order: Order, values: Names, win
     frame = frame.withColumns(short)
     if not chains:
         return frame
-    frame = frame.withColumn("_i", F.row_number().over(spec).cast("long") - 1)
+    frame = frame.withColumn("_i", F.row_number().over(spec).cast("long") - 1).drop(*spare)
     for chain in chains:
         frame = _block_moments(frame, list(by) or [F.lit(0)], values, chain[::-1])
     return frame.drop("_i")
@@ -125,23 +125,29 @@ def rolling_rows(
     ``w`` counts rows, not days, although the column names end in ``d``. Base value
     columns only: generated columns never feed another window. One sort per key.
     """
-    sizes = largest_groups(df, [[k] for k in keys])
+    # whole rows are stored once and joined by number; the windows move keys, order and values only
+    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    sizes = largest_groups(rows, [[k] for k in keys])
+    out = rows
     for key, largest in zip(keys, sizes, strict=True):
 
         def add(frame: DataFrame, by: Names, sort: Order, key: str = key) -> DataFrame:
-            out: dict[str, Column] = {}
+            made: dict[str, Column] = {}
             for w in windows:
                 for v in value_cols:
                     name = f"{key}_{v}"
-                    out[f"{name}_sum_{w}d"] = F.coalesce(f"_s_{v}_{w}", F.lit(0.0))
-                    out[f"{name}_mean_{w}d"] = F.coalesce(_mean(v, w), F.lit(0.0))
-                    out[f"{name}_count_{w}d"] = F.col(f"_n_{v}_{w}")
-                    out[f"{name}_std_{w}d"] = F.coalesce(_deviation(v, w), F.lit(0.0))
-            made = moving_moments(frame, by, sort, value_cols, windows).withColumns(out)
-            return made.drop(*[f"_{m}_{v}_{w}" for m in "nsd" for v in value_cols for w in windows])
-
-        df = framed_by(df, [key], order, add, lookback=max(windows) - 1, limit=limit, largest=largest)
-    return df
+                    made[f"{name}_sum_{w}d"] = F.coalesce(f"_s_{v}_{w}", F.lit(0.0))
+                    made[f"{name}_mean_{w}d"] = F.coalesce(_mean(v, w), F.lit(0.0))
+                    made[f"{name}_count_{w}d"] = F.col(f"_n_{v}_{w}")
+                    made[f"{name}_std_{w}d"] = F.coalesce(_deviation(v, w), F.lit(0.0))
+            kept = [c for c in ("__own", "__chunk", "__pos") if c in frame.columns]
+            spare = [c for c in order if c != key and c not in value_cols]
+            found = moving_moments(frame, by, sort, value_cols, windows, spare)
+            return found.select("_row", *kept, *[c.alias(n) for n, c in made.items()])
+
+        narrow = rows.select("_row", *dict.fromkeys([key, *order, *value_cols]))
+        out = out.join(framed_by(narrow, [key], order, add, lookback=max(windows) - 1, limit=limit, largest=largest), "_row")
+    return out.drop("_row")
 
 
 def rolling_days(
