@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import components, in_batches, small, stored, stored_in_batches
+from txnrisk.llm.common import components, compact, in_batches, small, stored, stored_in_batches
 from txnrisk.llm.words import Words, mix, pieces, run_hash
 
 TREES = 10
@@ -30,6 +30,8 @@ LEAF = 16
 PIVOTS = 2
 #: Sets that are compared with as many others in one step, where a large node needs it.
 BLOCK = 128
+#: Blocks of a large group that one task compares with a block of left-over members.
+BLOCKS_PER_TASK = 16
 #: A link is a candidate if the agreement of the two sketches is at most this much below the threshold.
 SLACK = 0.25
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -54,27 +56,37 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def _prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes and two fingerprints of the sets; equal sets have equal ones."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    prints = np.zeros((2, len(sets)), np.uint64)
+    if len(full):
+        every = np.concatenate([sets[i] for i in full])
+        begin = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        prints[0, full] = np.add.reduceat(mix(every), begin)
+        prints[1, full] = np.add.reduceat(mix(every ^ _SECOND), begin)
+    return sizes, prints[0].view(np.int64), prints[1].view(np.int64)
+
+
 def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in pieces(batch, batch.column(1)):
             sets = list(shingle_sets(texts, width))
-            sizes = np.array([len(s) for s in sets], np.int64)
+            sizes, fp1, fp2 = _prints(sets)
             full = np.flatnonzero(sizes)
             sketch = np.zeros((len(sets), len(_FACTORS)), np.int32)
-            prints = np.zeros((2, len(sets)), np.uint64)
             if len(full):
                 every = np.concatenate([sets[i] for i in full])
                 begin = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                 for k, factor in enumerate(_FACTORS):
                     turned = ((every * factor) >> np.uint64(32)).astype(np.uint32)
                     sketch[full, k] = np.minimum.reduceat(turned, begin).view(np.int32)
-                prints[0, full] = np.add.reduceat(mix(every), begin)
-                prints[1, full] = np.add.reduceat(mix(every ^ _SECOND), begin)
             flat = pa.array(sketch.ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * len(_FACTORS)), flat)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists],
-                names=["id", "n", "fp1", "fp2", "sketch"],
+                [part.column(0), pa.array(sizes), pa.array(fp1), pa.array(fp2), lists],
+                names=["doc", "n", "fp1", "fp2", "sketch"],
             )
 
 
@@ -84,7 +96,10 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             sets = list(shingle_sets(texts, width))
             places = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(places), pa.array(flat))], names=["id", "tokens"])
+            sizes, fp1, fp2 = _prints(sets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sizes), pa.array(fp1), pa.array(fp2), pa.ListArray.from_arrays(pa.array(places), pa.array(flat))], names=["n", "fp1", "fp2", "tokens"]
+            )
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -149,7 +164,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", shared.alias("i"), (F.size("left") + F.size("right") - shared).alias("u")).where(f"100 * i >= {percent} * u").select("a", "b")
 
 
-def _nodes(reps: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
+def _nodes(reps: DataFrame, trees: int, sets: int) -> tuple[DataFrame, DataFrame]:
     """(leaf members, members of nodes still large on the last level): node, id and size of node."""
     keys = []
     for t in range(trees):
@@ -157,7 +172,7 @@ def _nodes(reps: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
         for level in range(1, LEVELS):
             path.append(F.xxhash64(path[-1], F.col("sketch")[t * LEVELS + level]))
         keys.append(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(path))))
-    rows = stored(reps.select("id", F.explode(F.array(*keys)).alias("k")).select("id", "k.*"), "paths")
+    rows = stored(reps.select("id", F.explode(F.array(*keys)).alias("k")).select("id", "k.*"), "paths", rows=trees * sets)
     leaves = []
     for level in range(LEVELS):
         key = f"k{level}"
@@ -166,7 +181,7 @@ def _nodes(reps: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
         leaves.append(rows.where(f"members <= {LEAF}").select(F.col(key).alias("node"), "id", "members"))
         rows = rows.where(f"members > {LEAF}")
         if level < LEVELS - 1:
-            rows = stored(rows.drop("members"), "paths")
+            rows = stored(rows.drop("members"), "paths", rows=trees * sets)
     out = leaves[0]
     for more in leaves[1:]:
         out = out.union(more)
@@ -178,50 +193,61 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked if 100 * shared >= percent * union of their distinct ``width``-word
     shingles; component_id is the smallest id reachable over links. Rows without words (null or
-    empty text too) are linked with nothing. Rows with a null id take part; a component that has
-    only null ids has a null component_id. Repeated rows are links like other equal texts, and
-    rows that repeat the component's id with an equal text are all kept. Other columns are ignored.
+    empty text too) are linked with nothing. Rows with a null id take part, and so does each text
+    of an id that has several; a component that has only null ids has a null component_id. Repeated
+    rows are links like other equal texts, and rows that repeat the component's id are all kept.
+    Other columns are ignored; an empty table gives an empty one.
 
     A link is missed only if the sketches (40 minwise tokens) differ by far more than the sets do,
     or if no tree keeps the two together: at the threshold below 1 in 1,000 where nodes get small
     early, and about 0.5 % for a pair that stays in large nodes to the last level.
     """
-    source = in_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = stored(source.mapInArrow(partial(_describe, width=width), "id long, n long, fp1 long, fp2 long, sketch array<int>"), "sets")
-    reps = stored(
-        seen.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")),
-        "representatives",
-    )
-    known = reps.where("id is not null").select("id", "n", "sketch")
-    leaves, heavy = _nodes(known, trees)
-    heavy = stored(heavy.join(known, "id").select("node", "id", "members", "n", "sketch"), "large")
+    source = in_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    seen = stored(source.mapInArrow(partial(_describe, width=width), "doc long, n long, fp1 long, fp2 long, sketch array<int>"), "sets")
+    total = seen.count()
+    # a distinct set is a node; its number only has to be its own
+    reps = seen.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"))
+    reps = stored(compact(reps, total).withColumn("id", F.monotonically_increasing_id()), "representatives")
+    known = reps.select("id", "n", "sketch")
+    nodes = known.count()
+    leaves, heavy = _nodes(known, trees, nodes)
+    heavy = stored(heavy.join(known, "id").select("node", "id", "members", "n", "sketch"), "large", rows=trees * nodes)
     blocks = heavy.select(F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("members") / LEAF))).alias("node"), "id", "n", "sketch")
     one = F.struct("id", "n", "sketch").alias("one")
     leaf_rows = leaves.select("node", "id").join(known, "id").select("node", "id", "n", "sketch")
     links = _grouped(leaf_rows.union(blocks), one, percent)
     pivots = heavy.groupBy("node").agg(F.array(*(F.min_by(F.struct("id", "n", "sketch"), F.xxhash64("id", "node", F.lit(p))) for p in range(PIVOTS))).alias("others"))
     links = links.union(heavy.join(pivots, "node").select("id", "n", "sketch", "others").mapInArrow(partial(_against, percent=percent), _LINKS))
-    links = stored(links.groupBy("a", "b").agg(F.max("tree").alias("tree")), "links")
-    wanted = small(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = source.where("id is not null").join(wanted, "id", "left_semi").mapInArrow(partial(_sets, width=width), "id long, tokens array<long>")
-    # an id may carry several texts; the links are between representatives
-    sets = stored(sets.groupBy("id").agg(F.min("tokens").alias("tokens")), "tokens") if _repeats(source) else stored(sets, "tokens")
-    edges = stored(_confirmed(links.where("tree"), sets, percent), "edges")
-    parts = stored(components(edges), "parts")
+    links = stored(links.groupBy("a", "b").agg(F.max("tree").alias("tree")), "links", rows=trees * nodes)
+    sets = stored(_tokens(source, reps, links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width), "tokens")
+    edges = stored(_confirmed(links.where("tree"), sets, percent), "edges", rows=nodes)
+    parts = stored(components(edges), "parts", rows=nodes)
     more = _across(links.where("not tree"), parts)
-    edges = stored(edges.union(_confirmed(more, sets, percent)), "edges")
-    parts = stored(components(edges), "parts")
-    groups = _groups(heavy, parts)
+    edges = stored(edges.union(_confirmed(more, sets, percent)), "edges", rows=nodes)
+    parts = stored(components(edges), "parts", rows=nodes)
+    groups = _groups(heavy, parts, nodes)
     if groups.where("left_over").limit(1).count():
-        ids = small(groups.select("id"))
-        own = source.where("id is not null").join(ids, "id", "left_semi").mapInArrow(partial(_sets, width=width), "id long, tokens array<long>")
-        own = stored(own.groupBy("id").agg(F.min("tokens").alias("tokens")).join(groups, "id"), "group-tokens")
-        edges = stored(edges.union(_late_links(own, percent)), "edges")
-        parts = stored(components(edges), "parts")
-    named = reps.join(parts.withColumnRenamed("node", "id"), "id", "left").select("fp1", "fp2", "n", F.coalesce("component", "id").alias("component_id"))
-    found = seen.select("id", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
-    whole = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), F.col("id").eqNullSafe(whole).alias("kept"))
+        own = stored(_tokens(source, reps, groups.select("id"), width).join(groups, "id"), "group-tokens")
+        edges = stored(edges.union(_late_links(own, percent)), "edges", rows=nodes)
+        parts = stored(components(edges), "parts", rows=nodes)
+    # the smallest document of a component stands for it
+    named = reps.select("fp1", "fp2", "n", "doc", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    least = named.groupBy("part").agg(F.min("doc").alias("component_id"))
+    named = named.join(least, "part").select("fp1", "fp2", "n", "component_id")
+    found = seen.select("doc", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
+    whole = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
+    return found.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), F.col("doc").eqNullSafe(whole).alias("kept"))
+
+
+def _tokens(source: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, tokens) of the wanted representatives, from the texts of the documents that stand for them."""
+    asked = reps.select("id", "doc", "fp1", "fp2", "n").join(small(wanted), "id", "left_semi")
+    docs = small(asked.select(F.col("doc").alias("wanted")).distinct())
+    texts = source.join(docs, F.col("doc").eqNullSafe(F.col("wanted")), "left_semi")
+    found = texts.mapInArrow(partial(_sets, width=width), "n long, fp1 long, fp2 long, tokens array<long>")
+    named = found.join(asked.select("id", "fp1", "fp2", "n"), ["fp1", "fp2", "n"]).select("id", "tokens")
+    # rows without an id, and equal rows, give a set more than once
+    return named.groupBy("id").agg(F.first("tokens").alias("tokens")) if _repeats(source) else named
 
 
 def _grouped(rows: DataFrame, one, percent: int) -> DataFrame:
@@ -238,21 +264,21 @@ def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.where("a_part != b_part").select("a", "b")
 
 
-def _groups(heavy: DataFrame, parts: DataFrame) -> DataFrame:
+def _groups(heavy: DataFrame, parts: DataFrame, nodes: int) -> DataFrame:
     """(id, group, component, left_over, members, rest) of the members of large nodes.
 
     Large nodes that share members are one group, so that no two members are compared twice;
     left_over are those outside the group's largest component; members and rest count both.
     """
     least = heavy.groupBy("node").agg(F.min("id").alias("least"))
-    ties = stored(heavy.select("node", "id").join(least, "node").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "ties")
+    ties = stored(heavy.select("node", "id").join(least, "node").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), "ties", rows=nodes)
     joined = components(ties).select(F.col("node").alias("id"), F.col("component").alias("group"))
     named = ties.select(F.col("a").alias("id")).distinct().join(joined, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    named = stored(named.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    named = stored(named.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "members", rows=nodes)
     sizes = named.groupBy("group", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("group").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("members")).where("most < members")
     left_over = (F.col("component") != F.col("main")).alias("left_over")
-    return stored(named.join(main, "group").select("id", "group", "component", left_over, "members", (F.col("members") - F.col("most")).alias("rest")), "groups")
+    return stored(named.join(main, "group").select("id", "group", "component", left_over, "members", (F.col("members") - F.col("most")).alias("rest")), "groups", rows=nodes)
 
 
 def _late_links(own: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +292,12 @@ def _late_links(own: DataFrame, percent: int) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK))
         return df.groupBy("group", block.alias(name)).agg(one.alias(f"{name}_sets"))
 
-    pairs = packed(own.where("left_over"), "rest", "late").join(packed(own, "members", "all"), "group")
+    # a group's blocks are dealt over tasks; its left-over blocks go to each of these tasks
+    late = packed(own.where("left_over"), "rest", "late")
+    every = packed(own, "members", "all").withColumn("share", F.floor(F.col("all") / BLOCKS_PER_TASK))
+    shares = own.groupBy("group").agg(F.max(F.floor((F.ceil(F.col("members") / BLOCK) - 1) / BLOCKS_PER_TASK)).alias("last"))
+    late = late.join(shares, "group").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))))
+    pairs = late.join(every, ["group", "share"])
     found = pairs.select("late_sets", "all_sets").mapInArrow(partial(_compared, percent=percent), "a long, b long")
     return stored_in_batches(found.distinct(), "late", 4)
 
@@ -293,4 +324,5 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def _repeats(source: DataFrame) -> bool:
-    return source.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
+    """Whether an id is missing or occurs more than once."""
+    return source.groupBy("doc").agg(F.count("*").alias("c")).where("doc is null or c > 1").limit(1).count() > 0

@@ -15,6 +15,8 @@ BATCH_ROWS = 512
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Largest table, in rows, that is sent to every executor.
 BROADCAST_ROWS = 2_000_000
+#: Narrow rows that are worth a task and a file of their own.
+TASK_ROWS = 100_000
 
 
 #: The folder that holds this library.
@@ -54,10 +56,18 @@ def stored_in_batches(df: DataFrame, name: str, rows: int) -> DataFrame:
         conf.set(_BATCH, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def compact(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` of about ``rows`` rows in no more tasks than they are worth; many tasks of a few rows
+    cost a file each wherever they shuffle or store."""
+    return df.coalesce(max(1, -(-rows // task_rows)))
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is made once, survives lost
-    executors, and Spark knows its size when it plans the joins."""
+    executors, and Spark knows its size when it plans the joins. ``rows``, if known, is about
+    how many narrow rows it has, or more."""
     spark = df.sparkSession
+    df = df if rows is None else compact(df, rows)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -77,15 +87,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = settle(edges.where("a != b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
     last = None
     while True:
-        both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        down = large.groupBy("x").agg(F.min("y").alias("m"))
-        small_star = large.join(down, "x")
-        edges = settle(
-            small_star.select("x", F.col("m").alias("y")).union(small_star.where("y != m").select(F.col("y").alias("x"), F.col("m").alias("y"))).distinct()
-        )
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
             return edges.select(F.col("x").alias("node"), F.col("y").alias("component"))
-        last = tuple(now)
+        last, rows = tuple(now), now[0]
+        edges = compact(edges, rows)
+        both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = compact(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), rows)
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        large = compact(compact(large, rows).distinct(), rows)
+        down = compact(large.groupBy("x").agg(F.min("y").alias("m")), rows)
+        small_star = compact(large.join(down, "x"), rows)
+        stars = small_star.select("x", F.col("m").alias("y")).union(small_star.where("y != m").select(F.col("y").alias("x"), F.col("m").alias("y")))
+        edges = settle(compact(compact(stars, rows).distinct(), rows))
