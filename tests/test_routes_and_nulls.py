@@ -90,7 +90,7 @@ def test_stored_files_are_one_batch(spark, unordered, tmp_path):
     assert all(want[w] == n for w, n in got.items())
 
 
-def test_late_rows_are_an_error_unless_allowed(spark, unordered, tmp_path):
+def test_late_rows_are_an_error_unless_allowed(spark, unordered, tmp_path, monkeypatch):
     schema = spark.read.parquet(unordered).schema
 
     def stream():
@@ -100,6 +100,9 @@ def test_late_rows_are_an_error_unless_allowed(spark, unordered, tmp_path):
         jobs.run_to_parquet(stream(), str(tmp_path / "a"), str(tmp_path / "pa"))
     query = jobs.run_to_parquet(stream(), str(tmp_path / "b"), str(tmp_path / "pb"), allow_late=True)
     assert jobs.dropped_rows(query) > 0
+    monkeypatch.setattr(jobs, "PROGRESS", 1)
+    with pytest.raises(jobs.LateRows, match="unseen"):
+        jobs.run_to_parquet(stream(), str(tmp_path / "c"), str(tmp_path / "pc"))
 
 
 def test_patient_streams_give_batch_totals_file_by_file(spark, unordered, tmp_path):

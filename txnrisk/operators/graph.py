@@ -16,6 +16,8 @@ from txnrisk.operators.windows import group_sizes, short_run_features
 from txnrisk.session import settle
 
 
+# Most pattern types, each of which is a column of its own.
+PATTERN_TYPES = 1000
 # Most values of a dictionary that become literals.
 LITERAL_CODES = 200
 
@@ -198,7 +200,10 @@ def amount_similarity(df: DataFrame, patterns: DataFrame, amount: str = "amount"
     stats = patterns.groupBy("pattern_type").agg(F.round(F.avg(amount), 2).alias("m"), F.round(F.stddev_samp(amount), 2).alias("s"))
     out: dict[str, Column] = {}
     similar: dict[str, Column] = {}
-    for r in sorted(stats.collect(), key=lambda r: r["pattern_type"]):
+    types = stats.limit(PATTERN_TYPES + 1).collect()
+    if len(types) > PATTERN_TYPES:
+        raise ValueError(f"more than {PATTERN_TYPES} pattern types can't be a column each")
+    for r in sorted(types, key=lambda r: r["pattern_type"]):
         name = r["pattern_type"].lower()
         if r["s"] is not None and r["s"] > 0:
             z = (F.col(amount) - F.lit(r["m"])) / F.lit(r["s"])

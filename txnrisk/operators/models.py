@@ -26,6 +26,8 @@ from txnrisk.operators.splits import fold_role, stable_hash
 from txnrisk.session import settle
 
 SEED = 42
+# Most values of a label.
+CLASSES = 1000
 # Fits that run at the same time; their jobs share the cluster.
 PARALLEL = 4
 # Sorted score ranges whose pooled blocks one task merges in a round.
@@ -66,7 +68,10 @@ def build(kind: str, cols: Sequence[str], label: str, scaler: str | None = None,
 
 def with_class_weights(df: DataFrame, label: str, out: str = "_weight") -> DataFrame:
     """Balanced weight of each row's class. Classes are few, so they become literals."""
-    weights = {r[label]: float(r["weight"]) for r in class_weights(df, label).collect()}
+    found = class_weights(df, label).limit(CLASSES + 1).collect()
+    if len(found) > CLASSES:
+        raise ValueError(f"{label} has more than {CLASSES} values and is no class")
+    weights = {r[label]: float(r["weight"]) for r in found}
     pairs = itertools.chain.from_iterable((F.lit(k), F.lit(w)) for k, w in weights.items())
     return df.withColumn(out, F.element_at(F.create_map(*pairs), F.col(label)))
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from txnrisk.operators.monitor import window_aggregates
 
-# Progress records kept per query: rows dropped in more batches than this could go unseen.
+# Progress records kept per query: a run of as many batches can't tell whether rows were dropped, and fails.
 PROGRESS = 10_000
 
 
@@ -72,7 +72,8 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, timeout: int |
     Raises ``LateRows`` if the watermark dropped rows, unless ``allow_late``, and ``TimeoutError``
     after stopping the query if it takes longer than ``timeout`` seconds.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.numRecentProgressUpdates", PROGRESS)
+    # Spark keeps one record fewer than it is told
+    stream.sparkSession.conf.set("spark.sql.streaming.numRecentProgressUpdates", PROGRESS + 1)
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
@@ -87,6 +88,8 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, timeout: int |
         raise TimeoutError(f"the stream into {path} did not end in {timeout} s")
     if query.exception() is not None:
         raise query.exception()
+    if not allow_late and len(query.recentProgress) >= PROGRESS:
+        raise LateRows(f"rows may have been dropped unseen in {PROGRESS} batches or more; read more files per batch or allow late rows")
     if not allow_late and (late := dropped_rows(query)):
         raise LateRows(f"{late} rows came more than the allowed time after newer ones; read more files per batch or allow more")
     return query
