@@ -3,6 +3,8 @@ import math
 import random
 import statistics
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +158,31 @@ def test_outliers_and_principal_components(sample):
     pcs = stats.principal_components(df.select("y", "x", "flag"), ["x", "flag"], "y").orderBy("component").collect()
     assert pcs[-1]["cumulative"] == pytest.approx(1.0)
     assert stats.leakage_screen(df.withColumn("split", F.when(F.col("y") == 1, "test").otherwise("train")), ["x"], "split").first()["is_leaky"]
+
+
+def test_correlations_of_many_columns_with_nulls(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 5))
+    wide = np.concatenate([base @ rng.normal(size=(5, 58)) + rng.normal(size=(400, 58)) + 1e6, np.full((400, 1), 7.7), np.full((400, 1), 0.1)], 1)
+    wide[rng.random(wide.shape) < 0.1] = np.nan
+    names = [f"c{i}" for i in range(60)]
+    frame = pd.DataFrame(wide, columns=names)
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in row) for row in wide.tolist()], ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r["a"], r["b"]): r["r"] for r in stats.correlation_matrix(df, names).collect()}
+    want = frame.corr()
+    assert len(got) == 60 * 59 // 2
+    for (a, b), r in got.items():
+        if "c58" in (a, b) or "c59" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_correlations_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, 2.0, nan, None, 5.0), (2.0, 4.0, 1.0, None, 5.0), (3.0, 6.5, 2.0, None, 6.0), (None, 1.0, inf, None, 7.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = {(r["a"], r["b"]): r["r"] for r in stats.correlation_matrix(df, list("abcde")).collect()}
+    assert got["a", "b"] == pytest.approx(0.9979487, abs=1e-6) and got["a", "d"] is None and math.isnan(got["b", "c"]) and math.isnan(got["a", "c"])
+    assert set(r["r"] for r in stats.correlation_matrix(df.limit(0), list("ab")).collect()) == {None}
+    assert stats.correlation_matrix(df, ["a"]).count() == 0

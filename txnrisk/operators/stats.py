@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import partial, reduce
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -37,27 +39,102 @@ def correlations_with(df: DataFrame, cols: Sequence[str], target: str) -> DataFr
     return row.unpivot([], list(cols), "variable", "r")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """Rows of values as matrices; a null is NaN with its place in the mask: (values, known)."""
+    for batch in batches:
+        values = batch.column(0).flatten()
+        known = values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width)
+        yield values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width), known
+
+
+def _column_moments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """One row per task and column: finite values, their mean, squared deviations, least and largest."""
+    n, mean, squares = np.zeros(width), np.zeros(width), np.zeros(width)
+    low, high = np.full(width, np.inf), np.full(width, -np.inf)
+    for x, known in _blocks(batches, width):
+        fit = known & np.isfinite(x)
+        own = fit.sum(0)
+        some = np.maximum(own, 1)
+        x = np.where(fit, x, 0.0)
+        m = x.sum(0) / some
+        d = (np.where(fit, x - m, 0.0) ** 2).sum(0)
+        total = np.maximum(n + own, 1)
+        squares += d + (m - mean) ** 2 * n * own / total
+        mean += (m - mean) * own / total
+        n += own
+        low, high = np.minimum(low, np.where(fit, x, np.inf).min(0, initial=np.inf)), np.maximum(high, np.where(fit, x, -np.inf).max(0, initial=-np.inf))
+    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.arange(width), n, mean, squares, low, high)], names=["i", "n", "mean", "squares", "low", "high"])
+
+
+_GRAM = "part long, i long, cells array<double>"
+
+
+def _gram_rows(parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    count, width, _ = parts.shape
+    kinds, at = np.repeat(np.arange(count), width), np.tile(np.arange(width), count)
+    cells = pa.array(list(parts.reshape(-1, width)), pa.list_(pa.float64()))
+    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at), cells], names=["part", "i", "cells"])
+
+
+def _gram(batches: Iterator[pa.RecordBatch], shift: np.ndarray, scale: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's sums over rows where both of two columns are known and finite: rows, rows known at all,
+    values, squares and products, a matrix each."""
+    width = len(shift)
+    total = np.zeros((5, width, width))
+    for x, known in _blocks(batches, width):
+        fit = known & np.isfinite(x)
+        z = np.where(fit, (np.where(fit, x, 0.0) - shift) / scale, 0.0)
+        mask, seen = fit.astype(np.float64), known.astype(np.float64)
+        total += np.stack([mask.T @ mask, seen.T @ seen, z.T @ mask, (z * z).T @ mask, z.T @ z])
+    yield from _gram_rows(total)
+
+
+def _added(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((5, width, width))
+    for batch in batches:
+        cells = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        np.add.at(total, (batch.column(0).to_numpy(), batch.column(1).to_numpy()), cells)
+    yield from _gram_rows(total)
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r) for each pair of columns over their pairwise complete rows.
 
-    Columns without nulls are standardised by one first pass, so that each of their
-    pairs costs one sum; only pairs with nulls need their own moments.
+    Values and masks are multiplied as blocks: a few matrices of the columns' number per task hold the
+    moments of all pairs, whether they have nulls or not, and are added up over the tasks. Values are
+    shifted and scaled by one first pass. r is null for a column that is constant on a pair's rows, and
+    NaN if one of these rows has a value that is not finite.
     """
-    pairs = list(combinations(cols, 2))
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    moments = [F.struct(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in cols]
-    first = values.agg(F.count(F.lit(1)).alias("_rows"), *moments).first()
-    whole = {c for c in cols if first[c]["n"] == first["_rows"] and first[c]["s"]}
-    z = {c: (F.col(c) - F.lit(first[c]["m"])) / F.lit(first[c]["s"]) for c in whole}
-
-    def pair(a: str, b: str) -> Column:
-        if a in whole and b in whole:
-            return F.sum(z[a] * z[b]) / F.lit(float(first["_rows"] - 1))
-        return safe_corr(a, b)
-
-    row = values.agg(*[pair(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*cells)))
+    cols = list(cols)
+    width = len(cols)
+    if width < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    tasks = rows.mapInArrow(partial(_column_moments, width=width), "i long, n double, mean double, squares double, low double, high double")
+    n, middle = F.col("n"), F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0.0))
+    first = tasks.groupBy("i").agg(middle.alias("mean"), F.sum(n).alias("n"), F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"))
+    by_column = {r["i"]: r for r in first.collect()}
+    nothing = {"mean": 0.0, "n": 0.0, "squares": 0.0, "low": 0.0, "high": 0.0}
+    found = [by_column.get(i, nothing) for i in range(width)]
+    shift = np.array([r["mean"] or 0.0 for r in found])
+    scale = np.array([math.sqrt(r["squares"] / r["n"]) if r["n"] and r["squares"] > 0 else 1.0 for r in found])
+    parts = rows.mapInArrow(partial(_gram, shift=shift, scale=scale), _GRAM)
+    merged = parts.repartition(max(1, math.isqrt(rows.rdd.getNumPartitions()))).mapInArrow(partial(_added, width=width), _GRAM)
+    total = np.zeros((5, width, width))
+    for r in merged.toLocalIterator():
+        total[r["part"], r["i"]] += np.array(r["cells"])
+    both, known, sums, squares, products = total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        covariance = products - sums * sums.T / both
+        own = squares - sums**2 / both
+        r = covariance / np.sqrt(own * own.T)
+    # what rounding alone leaves of a constant
+    noise = both * (8 * np.finfo(float).eps * (1 + np.abs(shift) / scale))[:, None] ** 2
+    flat = (own <= noise) | np.array([f["low"] == f["high"] for f in found])[:, None] | (both < 2)
+    r = np.where(known > both, np.nan, np.clip(r, -1.0, 1.0))
+    r = np.where((flat | flat.T) & (known == both), None, r.astype(object))
+    pairs = [(cols[i], cols[j], None if r[i, j] is None else float(r[i, j])) for i, j in combinations(range(width), 2)]
+    return df.sparkSession.createDataFrame(pairs, "a string, b string, r double")
 
 
 def strong_pairs(matrix: DataFrame, above: float = 0.8) -> DataFrame:
