@@ -14,45 +14,55 @@ from txnrisk.llm.common import table
 
 
 def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. A null or empty page has an empty text; null ids and urls and repeated rows are pages like others."""
     return html_suffix.main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, counts at most one apart. A null text has size 1; null ids and repeated rows are placed like others."""
     return ring.sharded(table(spark, sf_dir, "documents"))
 
 
 def op3_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from rows that are not held out. Null and empty texts have a score too; repeated rows get equal ones."""
     return nbsvm.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back. A null page is empty; null ids revisit a known equal page; repeated rows of the largest id are all stored."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op5_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document. Null and empty texts have no words and are clean; items without words or id have no windows; repeated rows count each."""
     found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op6_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document. Null and empty texts have none; null ids and repeated rows are rows like others."""
     return pii_chain.personal_data(table(spark, sf_dir, "documents"))
 
 
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document. Texts without words are linked with nothing; null and shared ids take part by their texts."""
     return chosen_path.near_components(table(spark, sf_dir, "documents"))
 
 
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures and verdict of every document. Null and empty texts have no words and fail the base rules; a null language is one of its own."""
     found = fertility.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return found.select("row.doc_id", *counts, "base_failed", "kept", *fertility.METRICS, "script")
 
 
 def op9_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document. Null and empty texts have no tokens; null ids and repeated rows are counted like others."""
     return longest_match.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op10_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes. Null texts have size 0; a null source is the last one; repeated rows get equal copies."""
     found = entropy_mix.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
