@@ -30,6 +30,8 @@ LEAF = 16
 PIVOTS = 2
 #: Sets that are compared with as many others in one step, where a large node needs it.
 BLOCK = 128
+#: Links that one task confirms on full sets.
+LINKS_PER_TASK = 4_000
 #: Blocks of a large group that one task compares with a block of left-over members.
 BLOCKS_PER_TASK = 16
 #: A link is a candidate if the agreement of the two sketches is at most this much below the threshold.
@@ -220,15 +222,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(heavy.join(pivots, "node").select("id", "n", "sketch", "others").mapInArrow(partial(_against, percent=percent), _LINKS))
     links = stored(links.groupBy("a", "b").agg(F.max("tree").alias("tree")), "links", rows=trees * nodes)
     sets = stored(_tokens(source, reps, links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width), "tokens")
-    edges = stored(_confirmed(links.where("tree"), sets, percent), "edges", rows=nodes)
+    found = links.groupBy("tree").count().collect()
+    trees_links, other_links = (sum(r["count"] for r in found if r["tree"] == t) for t in (True, False))
+    edges = stored(_confirmed(links.where("tree"), sets, percent), "edges", trees_links, LINKS_PER_TASK)
     parts = stored(components(edges), "parts", rows=nodes)
     more = _across(links.where("not tree"), parts)
-    edges = stored(edges.union(_confirmed(more, sets, percent)), "edges", rows=nodes)
+    edges = edges.union(stored(_confirmed(more, sets, percent), "edges", other_links, LINKS_PER_TASK))
     parts = stored(components(edges), "parts", rows=nodes)
     groups = _groups(heavy, parts, nodes)
     if groups.where("left_over").limit(1).count():
         own = stored(_tokens(source, reps, groups.select("id"), width).join(groups, "id"), "group-tokens")
-        edges = stored(edges.union(_late_links(own, percent)), "edges", rows=nodes)
+        edges = edges.union(_late_links(own, percent))
         parts = stored(components(edges), "parts", rows=nodes)
     # the smallest document of a component stands for it
     named = reps.select("fp1", "fp2", "n", "doc", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))

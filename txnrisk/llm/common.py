@@ -62,12 +62,12 @@ def compact(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
     return df.coalesce(max(1, -(-rows // task_rows)))
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is made once, survives lost
     executors, and Spark knows its size when it plans the joins. ``rows``, if known, is about
-    how many narrow rows it has, or more."""
+    how many rows its last stage works on, or more; ``task_rows`` of them are worth a task."""
     spark = df.sparkSession
-    df = df if rows is None else compact(df, rows)
+    df = df if rows is None else compact(df, rows, task_rows)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
