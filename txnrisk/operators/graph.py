@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions.dates import seconds
 from txnrisk.functions.labels import same_value
 from txnrisk.functions.numeric import gaussian_similarity, guarded_ratio, row_max, row_mean
 from txnrisk.operators.aggregates import value_shares
-from txnrisk.operators.ordering import BROADCAST_ROWS, WINDOW_ROWS, as_columns, global_rank, ranked, sized
+from txnrisk.operators.ordering import BROADCAST_ROWS, FRAME_TASK_ROWS, WINDOW_ROWS, as_columns, global_rank, largest_groups, ranked, sized, spread
 from txnrisk.operators.windows import group_sizes, short_run_features
-from txnrisk.session import settle
+from txnrisk.session import settle, stored
 
 
 # Most pattern types, each of which is a column of its own.
@@ -65,15 +65,18 @@ def edge_table(
     """
     sent = sent_currency if sent_currency is not None else F.lit("Euro")
     received = received_currency if received_currency is not None else F.lit("Euro")
-    keep = {
-        "_from": account_key(F.col("from_bank"), F.col("source")), "_to": account_key(F.col("to_bank"), F.col("target")),
-        "_at": F.col("timestamp"), "amount_sent": F.col(amount_sent), "_sent": sent.cast("string"), "amount_received": F.col(amount_received),
-        "_received": received.cast("string"), "_format": F.col("payment_format").cast("string"), "is_fraud": F.col("is_fraud"),
-    }
-    by = [f"_o{i}" for i in range(len(order))]
-    narrow = df.select(*[F.col(c).alias(o) for c, o in zip(order, by, strict=True)], *[c.alias(n) for n, c in keep.items()])
+    # every column once; texts are made of them after the sort
+    used = [*order, "from_bank", "source", "to_bank", "target", "timestamp", amount_sent, amount_received, "payment_format", "is_fraud"]
+    at = {c: f"_c{i}" for i, c in enumerate(dict.fromkeys(used))}
+    narrow = df.select(*[F.col(c).alias(n) for c, n in at.items()], sent.cast("string").alias("_sent"), received.cast("string").alias("_received"))
     # numbered by sorted partitions, which are stored once; everything else reads them
-    rows = global_rank(narrow, by, "edge_id", df.count()).drop(*by)
+    placed = global_rank(narrow, [at[c] for c in order], "edge_id", df.count())
+    col = lambda c: F.col(at[c])
+    rows = placed.select(
+        account_key(col("from_bank"), col("source")).alias("_from"), account_key(col("to_bank"), col("target")).alias("_to"),
+        col("timestamp").alias("_at"), col(amount_sent).alias("amount_sent"), "_sent", col(amount_received).alias("amount_received"),
+        "_received", col("payment_format").cast("string").alias("_format"), col("is_fraud").alias("is_fraud"), "edge_id",
+    )
     firsts = settle(_first_places(rows))
     start = rows.agg(F.min_by(seconds(F.date_trunc("day", F.col("_at").cast("timestamp"))), "edge_id")).scalar()
     # an unknown bank, account, currency or format has a code too
@@ -81,11 +84,15 @@ def edge_table(
     accounts = accounts.select(F.col("value").alias("_v"), (F.col("_rank") - 1).alias("_code"))
     few = firsts.where("kind = 'account'").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     codes = F.broadcast(accounts) if few else settle(accounts)
-    for column, out in (("_from", "from_id"), ("_to", "to_id")):
-        rows = rows.join(codes, F.col(column).eqNullSafe(F.col("_v"))).drop("_v", column).withColumnRenamed("_code", out)
+    # the few codes first: the joins then shuffle numbers instead of texts
     for kind, columns in (("currency", {"_sent": "sent_currency", "_received": "received_currency"}), ("format", {"_format": "payment_format"})):
         rows = _coded(rows, firsts.where(F.col("kind") == kind).select("value", "place"), columns, limit)
-    return rows.withColumn("seconds", seconds(F.col("_at")) - start + 10).drop("_at")
+    for column, out in (("_from", "from_id"), ("_to", "to_id")):
+        rows = rows.join(codes, F.col(column).eqNullSafe(F.col("_v"))).drop("_v", column).withColumnRenamed("_code", out)
+    rows = rows.withColumn("seconds", seconds(F.col("_at")) - start + 10)
+    return rows.select(
+        "amount_sent", "amount_received", "is_fraud", "edge_id", "from_id", "to_id", "sent_currency", "received_currency", "payment_format", "seconds"
+    )
 
 
 def _first_places(rows: DataFrame) -> DataFrame:
@@ -159,20 +166,22 @@ def degree_table(df: DataFrame, src: str = "source", dst: str = "target", distin
     )
 
 
-def fan_degrees(df: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
+def fan_degrees(df: DataFrame, src: str = "source", dst: str = "target", base: DataFrame | None = None) -> DataFrame:
     """Distinct receivers of the row's sender and distinct senders to its receiver.
 
-    An unknown end is no counterparty, and its own degree is null; every row is kept.
+    An unknown end is no counterparty, and its own degree is null; every row is kept. ``base``, if given,
+    has the same ends and is cheaper to read.
     """
-    pairs = df.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct()
+    pairs = stored((df if base is None else base).select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct())
     out = pairs.filter("_s IS NOT NULL").groupBy("_s").agg(F.count("_d").alias("fan_out_degree"))
     into = pairs.filter("_d IS NOT NULL").groupBy("_d").agg(F.count("_s").alias("fan_in_degree"))
     return df.join(out, F.col(src) == F.col("_s"), "left").join(into, F.col(dst) == F.col("_d"), "left").drop("_s", "_d")
 
 
-def degree_ratio(df: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
+def degree_ratio(df: DataFrame, src: str = "source", dst: str = "target", base: DataFrame | None = None) -> DataFrame:
     """Transfers of the sender over transfers to the receiver plus one."""
-    df = group_sizes(df, {"account_out_degree": ([src], dst), "account_in_degree": ([dst], src)})
+    # the sender last: what follows by sender needs no other shuffle
+    df = group_sizes(df, {"account_in_degree": ([dst], src), "account_out_degree": ([src], dst)}, base)
     return df.withColumns(
         {
             "account_degree_centrality": F.col("account_out_degree"),
@@ -181,11 +190,13 @@ def degree_ratio(df: DataFrame, src: str = "source", dst: str = "target") -> Dat
     )
 
 
-def bank_concentration(df: DataFrame, from_bank: str = "from_bank", to_bank: str = "to_bank", rare: float = 0.01) -> DataFrame:
+def bank_concentration(
+    df: DataFrame, from_bank: str = "from_bank", to_bank: str = "to_bank", rare: float = 0.01, base: DataFrame | None = None
+) -> DataFrame:
     """Share of all rows per bank, rare-bank flags and the same-bank flag."""
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = (df if base is None else base).agg(F.count(F.lit(1))).scalar()
     banks = {f"_n_{bank}": ([bank], bank) for bank in dict.fromkeys((from_bank, to_bank))}
-    df = group_sizes(df, banks)
+    df = group_sizes(df, banks, base)
     for bank in (from_bank, to_bank):
         df = df.withColumn(f"{bank}_frequency", F.col(f"_n_{bank}") / total)
         df = df.withColumn(f"{bank}_is_rare", (F.col(f"{bank}_frequency") < rare).cast("int"))
@@ -218,9 +229,11 @@ def amount_similarity(df: DataFrame, patterns: DataFrame, amount: str = "amount"
     return df.withColumns({"amount_pattern_similarity_max": row_max(cols), "amount_pattern_similarity_mean": row_mean(cols)})
 
 
-def hour_similarity(df: DataFrame, patterns: DataFrame, ts: str = "timestamp", pattern_ts: str = "timestamp") -> DataFrame:
+def hour_similarity(
+    df: DataFrame, patterns: DataFrame, ts: str = "timestamp", pattern_ts: str = "timestamp", base: DataFrame | None = None
+) -> DataFrame:
     """Overlap of the two hour-of-day histograms, the same number on every row."""
-    a = value_shares(df.select(F.hour(ts).alias("h")), "h").select("h", F.col("share").alias("_a"))
+    a = value_shares((df if base is None else base).select(F.hour(ts).alias("h")), "h").select("h", F.col("share").alias("_a"))
     b = value_shares(patterns.select(F.hour(pattern_ts).alias("_h")), "_h").select("_h", F.col("share").alias("_b"))
     overlap = a.join(b, F.col("h") == F.col("_h")).agg(F.coalesce(F.sum(F.least("_a", "_b")), F.lit(0.0)))
     return df.withColumns(
@@ -256,14 +269,19 @@ def pattern_graph_metrics(patterns: DataFrame, src: str = "source", dst: str = "
 
 
 def pattern_features(df: DataFrame, patterns: DataFrame, order: Sequence[str], limit: int = WINDOW_ROWS) -> DataFrame:
-    """All pattern features in sequence."""
+    """All pattern features in sequence.
+
+    The rows are stored once. What a step counts it counts on them, not on the steps before; steps by
+    sender follow each other.
+    """
+    base = stored(df)
     return (
-        df.transform(amount_similarity, patterns)
-        .transform(degree_ratio)
-        .transform(hour_similarity, patterns)
-        .transform(bank_concentration)
-        .transform(short_run_features, "source", order, limit=limit)
-        .transform(fan_degrees)
+        base.transform(amount_similarity, patterns)
+        .transform(hour_similarity, patterns, base=base)
+        .transform(bank_concentration, base=base)
+        .transform(degree_ratio, base=base)
+        .transform(short_run_features, "source", order, limit=limit, base=base)
+        .transform(fan_degrees, base=base)
     )
 
 
@@ -271,7 +289,19 @@ def ports(
     df: DataFrame, src: str = "source", dst: str = "target", ts: str = "timestamp", tiebreak: Sequence[str] = (),
     limit: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Order of first appearance of the sender at the receiver, and the reverse."""
+    """Order of first appearance of the sender at the receiver, and the reverse.
+
+    If no account has more than ``limit`` rows, each is numbered where one shuffle per end puts its rows.
+    """
+    sizes = largest_groups(df, [[src], [dst], []])
+    if max(sizes) and max(sizes[:2]) <= limit:
+        first = F.min(F.struct(F.col(ts), *as_columns(tiebreak))).over(Window.partitionBy(src, dst))
+        for end, other, port in ((dst, src, "in_port"), (src, dst, "out_port")):
+            own = Window.partitionBy(end).orderBy("_first", other)
+            dealt = spread(df, [end], sizes[2]) if sizes[2] > FRAME_TASK_ROWS else df.repartition(end)
+            df = dealt.withColumn("_first", first)
+            df = df.withColumn(port, (F.dense_rank().over(own) - 1).cast("long")).drop("_first")
+        return df
     pairs = df.groupBy(F.col(src).alias("_s"), F.col(dst).alias("_d")).agg(
         F.min(F.struct(F.col(ts), *as_columns(tiebreak))).alias("_first")
     )
@@ -281,13 +311,18 @@ def ports(
     return df.join(numbered, F.col(src).eqNullSafe(F.col("_s")) & F.col(dst).eqNullSafe(F.col("_d"))).drop("_s", "_d")
 
 
-def with_reverse(edges: DataFrame, src: str, dst: str, edge_id: str | None = None, in_port: str | None = None, out_port: str | None = None) -> DataFrame:
-    """Each edge in both directions; ports swap, reverse ids continue after the forward ones."""
+def with_reverse(
+    edges: DataFrame, src: str, dst: str, edge_id: str | None = None, in_port: str | None = None, out_port: str | None = None, count: int | None = None
+) -> DataFrame:
+    """Each edge in both directions; ports swap, reverse ids continue after the forward ones.
+
+    ``count``, if known, is the number of edges.
+    """
     flip: dict[str, Column] = {src: F.col(dst), dst: F.col(src), "direction": F.lit("rev_to")}
     if in_port and out_port:
         flip |= {in_port: F.col(out_port), out_port: F.col(in_port)}
     if edge_id:
-        flip[edge_id] = F.col(edge_id) + edges.agg(F.count(F.lit(1))).scalar()
+        flip[edge_id] = F.col(edge_id) + (edges.agg(F.count(F.lit(1))).scalar() if count is None else F.lit(count).cast("long"))
     forward = F.struct(*[F.col(c) for c in edges.columns], F.lit("to").alias("direction"))
     backward = F.struct(*[flip.get(c, F.col(c)).alias(c) for c in edges.columns], flip["direction"].alias("direction"))
     return edges.select(F.inline(F.array(forward, backward)))

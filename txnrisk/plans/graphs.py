@@ -147,7 +147,8 @@ WINDOW w AS (PARTITION BY source ORDER BY {ORDER_SQL} ROWS BETWEEN 2 PRECEDING A
     ),
 )
 def j10(spark, sf_dir):
-    out = graph.pattern_features(transfers(spark, sf_dir), pattern_rows(spark, sf_dir), ORDER)
+    rows = transfers(spark, sf_dir).select(*ROW_KEY, "source", "target", "from_bank", "to_bank")
+    out = graph.pattern_features(rows, pattern_rows(spark, sf_dir), ORDER)
     return out.select(
         *ROW_KEY, q("amount_pattern_similarity_max", 6).alias("amount_pattern_similarity_max"), q("degree_ratio", 6).alias("degree_ratio"),
         "hour_pattern_similarity", "same_bank_transfer", q("rolling_amount_mean_3").alias("rolling_amount_mean_3"), "fan_out_degree", "fan_in_degree",
@@ -220,7 +221,8 @@ def j15(spark, sf_dir):
     with_transfers("SELECT edge_id, from_id, to_id, 'to' AS direction FROM edges UNION ALL SELECT edge_id + (SELECT count(*) FROM edges), to_id, from_id, 'rev_to' FROM edges", EDGES, EDGE_TABLE),
 )
 def j16(spark, sf_dir):
-    return graph.with_reverse(_edges(spark, sf_dir).select("edge_id", "from_id", "to_id"), "from_id", "to_id", edge_id="edge_id")
+    edges, count = _edges(spark, sf_dir).select("edge_id", "from_id", "to_id"), transfers(spark, sf_dir).count()
+    return graph.with_reverse(edges, "from_id", "to_id", edge_id="edge_id", count=count)
 
 
 @register(
