@@ -23,7 +23,7 @@ from txnrisk.operators.encoding import class_weights
 from txnrisk.operators.evaluate import confusion, ranking_metrics
 from txnrisk.operators.ordering import WINDOW_ROWS, ranked
 from txnrisk.operators.splits import fold_role, stable_hash
-from txnrisk.session import settle
+from txnrisk.session import settle, stored
 
 SEED = 42
 # Most values of a label.
@@ -77,9 +77,12 @@ def with_class_weights(df: DataFrame, label: str, out: str = "_weight") -> DataF
 
 
 def train(
-    df: DataFrame, cols: Sequence[str], label: str, kind: str = "random_forest", balanced: bool = True, scaler: str | None = None, **settings
+    df: DataFrame, cols: Sequence[str], label: str, kind: str = "random_forest", balanced: bool = True, scaler: str | None = None,
+    is_stored: bool = False, **settings,
 ) -> PipelineModel:
+    """A fit reads its rows many times: they are stored once, unless they are read from files anyway."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols], label)
+    rows = rows if is_stored else stored(rows)
     if balanced:
         return build(kind, cols, label, scaler, "_weight", **settings).fit(with_class_weights(rows, label))
     return build(kind, cols, label, scaler, **settings).fit(rows)
@@ -119,7 +122,10 @@ def mean_importances(models: Iterable[PipelineModel], cols: Sequence[str], spark
 
 def ranked_rows(df: DataFrame, order: Sequence, limit: int = WINDOW_ROWS) -> DataFrame:
     """The rows with their place in time, stored once; every fold is a filter on the place."""
-    return settle(ranked(df, [], order, "_rank", limit))
+    count = df.count()
+    placed = ranked(df, [], order, "_rank", limit, count)
+    # ranks of more rows are stored already
+    return placed if count > limit else stored(placed)
 
 
 def fold_rows(rows: DataFrame, bounds: tuple[int, int, int, int]) -> DataFrame:
@@ -170,11 +176,11 @@ def fit_folds(
 
     def fitted(bound: tuple[int, int, int, int]) -> DataFrame:
         part = fold_rows(rows, bound)
-        model = train(part.filter(F.col("role") == "train"), cols, label, kind, **settings)
+        model = train(part.filter(F.col("role") == "train"), cols, label, kind, is_stored=True, **settings)
         return score(model, part).select("fold", "role", "probability", label)
 
     scored = at_once(df.sparkSession, [partial(fitted, b) for b in bounds], parallel)
-    return fold_metrics(settle(reduce(DataFrame.unionByName, scored)), "probability", label, threshold, limit)
+    return fold_metrics(stored(reduce(DataFrame.unionByName, scored)), "probability", label, threshold, limit)
 
 
 def summarise_folds(metrics: DataFrame) -> DataFrame:
@@ -212,7 +218,7 @@ def search(
 
     def fitted(trial: int, settings: dict, bound: tuple[int, int, int, int]) -> DataFrame:
         part = fold_rows(rows, bound)
-        model = train(part.filter(F.col("role") == "train"), cols, label, kind, **settings)
+        model = train(part.filter(F.col("role") == "train"), cols, label, kind, is_stored=True, **settings)
         test = score(model, part.filter(F.col("role") == "test"))
         return test.select(F.lit(trial).alias("trial"), F.lit(str(settings)).alias("settings"), "fold", "probability", label)
 
@@ -236,11 +242,11 @@ def permutation_importance(
     order, and each variant takes one column from the partner. All variants are
     evaluated in one job.
     """
-    base = settle(df.select(*dict.fromkeys([*cols, label, *order, *hash_cols])))
+    base = stored(df.select(*dict.fromkeys([*cols, label, *order, *hash_cols])))
     placed = ranked(base, [], order, "_at", limit)
     shuffled = ranked(base.withColumn("_hash", stable_hash(hash_cols, "permute")), [], ["_hash", *order], "_at", limit)
     partner = shuffled.select(F.col("_at").alias("_other"), *[F.col(c).alias(f"_p_{c}") for c in cols])
-    paired = settle(placed.join(partner, F.col("_at") == F.col("_other")).select(*cols, label, *[f"_p_{c}" for c in cols]))
+    paired = stored(placed.join(partner, F.col("_at") == F.col("_other")).select(*cols, label, *[f"_p_{c}" for c in cols]))
     variants = [score(model, paired.select(*cols, label)).select(F.lit("").alias("variable"), "probability", label)]
     for c in cols:
         changed = paired.select(*[F.col(f"_p_{c}").alias(c) if x == c else F.col(x) for x in cols], label)

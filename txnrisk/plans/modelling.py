@@ -14,7 +14,7 @@ from txnrisk.operators.windows import group_size
 from txnrisk.plans.registry import KEY, q, register, sq, with_scores, with_transfers
 from txnrisk.plans.splits import RANKS, SPAN
 from txnrisk.plans.topk import IDS
-from txnrisk.session import scratch_path, settle
+from txnrisk.session import scratch_path, stored
 from txnrisk.sources.canonical import ROW_KEY, line_scores, transfers
 from txnrisk.streaming import jobs
 
@@ -26,7 +26,7 @@ def feature_rows(spark, sf_dir):
     """Model input, settled because fitting reads it many times."""
     rows = group_size(transfers(spark, sf_dir), ["source"], "source_degree")
     extra = [c for c in ROW_KEY if c not in COLS]
-    return settle(rows.select(*extra, *COLS, "is_fraud"))
+    return stored(rows.select(*extra, *COLS, "is_fraud"))
 
 
 def _split(rows):
@@ -40,7 +40,7 @@ def _metrics(scored, model):
 
 def _trained(spark, sf_dir, kind, **settings):
     rows = _split(feature_rows(spark, sf_dir))
-    model = models.train(rows.filter(F.col("split") == "train"), COLS, "is_fraud", kind, **settings)
+    model = models.train(rows.filter(F.col("split") == "train"), COLS, "is_fraud", kind, is_stored=True, **settings)
     return rows, model
 
 
@@ -159,18 +159,18 @@ def _format_rows(spark, sf_dir):
 
 def _format_tree(spark, sf_dir):
     """(rows with their split, a first boosted tree that can tell all formats apart)."""
-    rows = settle(_split(_format_rows(spark, sf_dir)))
+    rows = stored(_split(_format_rows(spark, sf_dir)))
     train_rows = rows.filter(F.col("split") == "train")
     cols = ["code", "steady"]
-    return rows, models.train(train_rows, cols, "is_fraud", "boosted_trees", balanced=False, maxIter=1, maxDepth=5)
+    return rows, models.train(train_rows, cols, "is_fraud", "boosted_trees", balanced=False, is_stored=True, maxIter=1, maxDepth=5)
 
 
 @register("k15_saturated_logistic", with_transfers(f"SELECT payment_format, {sq('rate', 3)} AS probability FROM rate", *_RATES))
 def k15_saturated_logistic(spark, sf_dir):
     """Without a penalty, the probability of each format is its rate."""
-    rows = settle(_split(_format_rows(spark, sf_dir)))
+    rows = stored(_split(_format_rows(spark, sf_dir)))
     cols = [f"is_{k}" for k in range(1, 5)]
-    model = models.train(rows.filter(F.col("split") == "train"), cols, "is_fraud", "logistic", balanced=False, regParam=0.0, maxIter=200, tol=1e-12)
+    model = models.train(rows.filter(F.col("split") == "train"), cols, "is_fraud", "logistic", balanced=False, is_stored=True, regParam=0.0, maxIter=200, tol=1e-12)
     out = models.score(model, rows.filter(F.col("split") == "train")).groupBy("payment_format").agg(F.max("probability").alias("probability"))
     return out.withColumn("probability", q("probability", 3))
 
