@@ -24,7 +24,7 @@ from txnrisk.functions.labels import effect_label
 from txnrisk.operators.encoding import standard_scale
 from txnrisk.operators.ordering import WINDOW_ROWS, running_sum
 from txnrisk.operators.quantiles import long_form, quantiles
-from txnrisk.session import settle
+from txnrisk.session import settle, stored
 
 
 def safe_corr(a: str, b: str) -> Column:
@@ -109,7 +109,9 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     width = len(cols)
     if width < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    rows = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    # both passes read stored columns, numbered, since names may repeat
+    values = stored(df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]))
+    rows = values.select(F.array(*values.columns).alias("x"))
     tasks = rows.mapInArrow(partial(_column_moments, width=width), "i long, n double, mean double, squares double, low double, high double")
     n, middle = F.col("n"), F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0.0))
     first = tasks.groupBy("i").agg(middle.alias("mean"), F.sum(n).alias("n"), F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"))
@@ -279,7 +281,9 @@ def principal_components(df: DataFrame, cols: Sequence[str], label: str) -> Data
     Missing values count as 0, so every row takes part.
     """
     k = len(cols)
-    scaled = standard_scale(df.select(label, *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cols]), cols)
+    # read by the means, the fit's passes and the projection
+    rows = stored(df.select(label, *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cols]))
+    scaled = standard_scale(rows, cols)
     vectors = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(scaled).select(label, "_x")
     model = PCA(k=k, inputCol="_x", outputCol="_pc").fit(vectors)
     share = [float(v) for v in model.explainedVariance.toArray()]
