@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from txnrisk.operators.joins import map_frequency
 from txnrisk.operators.ordering import sized
 from txnrisk.operators.quantiles import quantile_row
+from txnrisk.session import settle, stored
 
 
 def frequency_map(df: DataFrame, column: str) -> DataFrame:
@@ -22,7 +23,7 @@ def frequency_map(df: DataFrame, column: str) -> DataFrame:
 
 def robust_params(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """(median, interquartile range) per column; a range of 0 becomes 1."""
-    q = quantile_row(df, cols, [0.25, 0.5, 0.75])
+    q = quantile_row(stored(df.select(*cols)), cols, [0.25, 0.5, 0.75])
     out = {}
     for c in cols:
         low, mid, high = q.get(c, [0.0, 0.0, 0.0])
@@ -90,7 +91,8 @@ class FeatureEncoder:
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> "FeatureEncoder":
-        self.maps = {c: frequency_map(df, c) for c in self.categorical}
+        df = stored(df.select(*dict.fromkeys([*self.categorical, *self.numeric])))
+        self.maps = {c: settle(frequency_map(df, c)) for c in self.categorical}
         encoded = self._encode(df)
         self.scales = robust_params(encoded, [*self.categorical, *self.numeric])
         return self
