@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from txnrisk.operators.joins import align_rows, thresholds_met
 from txnrisk.operators.ordering import WINDOW_ROWS, as_columns, attach, running_sum
 from txnrisk.operators.selection import cut_ranks, leading_number
-from txnrisk.session import settle
+from txnrisk.session import settle, stored
 
 # Costs of a false and a missed alert, and the regulatory limits.
 FP_COST, FN_COST = 1.0, 100.0
@@ -146,6 +146,10 @@ def _hits(
     lead = leading_number(df, score, descending=True)
     if lead is None:
         raise TypeError(f"{score} is not a number")
+    # every pass reads the score from files, none computes it again
+    names = [*keys, score, label, *[c for c in order if isinstance(c, str)]]
+    if all(isinstance(c, str) for c in order):
+        df = stored(df.select(*dict.fromkeys(names)))
     placed = cut_ranks(df, keys, by_score, lead, cuts, "_cut", limit)
     y = (F.col(label) == 1).cast("int")
     return placed.groupBy(*keys).agg(

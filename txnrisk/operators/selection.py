@@ -104,10 +104,8 @@ def cut_ranks(
     else:
         # one row: a few numbers, as literals
         only = table.first()
-        made = [F.struct(F.lit(c["value"]).alias("value"), F.lit(c["left"]).alias("left"), F.lit(c["side"]).alias("side")) for c in (only["_cuts"] if only else [])]
-        empty = F.array().cast("array<struct<value:double,left:long,side:int>>")
-        placed = rows.withColumn("_cuts", F.array(*made) if made else empty)
-    each = [F.get("_cuts", F.lit(k)) for k in range(len(cuts))]
+        placed = rows
+    each = [F.get("_cuts", F.lit(k)) for k in range(len(cuts))] if keys else [{name: F.lit(c[name]) for name in ("value", "left", "side")} for c in only["_cuts"]]
     tied = F.lit(False)
     for c in each:
         tied = tied | ((c["side"] == 0) & (c["value"] == F.col("_lead")))
