@@ -80,9 +80,12 @@ def train(
     df: DataFrame, cols: Sequence[str], label: str, kind: str = "random_forest", balanced: bool = True, scaler: str | None = None,
     is_stored: bool = False, **settings,
 ) -> PipelineModel:
-    """A fit reads its rows many times: they are stored once, unless they are read from files anyway."""
+    """A fit reads its rows many times: they are settled once, unless they are stored already.
+
+    Not as files of columns: the rows that a tree draws follow from the partitions.
+    """
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols], label)
-    rows = rows if is_stored else stored(rows)
+    rows = rows if is_stored else settle(rows)
     if balanced:
         return build(kind, cols, label, scaler, "_weight", **settings).fit(with_class_weights(rows, label))
     return build(kind, cols, label, scaler, **settings).fit(rows)

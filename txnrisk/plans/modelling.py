@@ -14,7 +14,7 @@ from txnrisk.operators.windows import group_size
 from txnrisk.plans.registry import KEY, q, register, sq, with_scores, with_transfers
 from txnrisk.plans.splits import RANKS, SPAN
 from txnrisk.plans.topk import IDS
-from txnrisk.session import scratch_path, stored
+from txnrisk.session import scratch_path, settle, stored
 from txnrisk.sources.canonical import ROW_KEY, line_scores, transfers
 from txnrisk.streaming import jobs
 
@@ -22,11 +22,11 @@ COLS = ["amount", "from_bank", "to_bank", "l_quantity", "l_discount", "l_tax", "
 ORDER = ["timestamp", *[c for c in ROW_KEY if c != "timestamp"]]
 
 
-def feature_rows(spark, sf_dir):
+def feature_rows(spark, sf_dir, keep=settle):
     """Model input, settled because fitting reads it many times."""
     rows = group_size(transfers(spark, sf_dir), ["source"], "source_degree")
     extra = [c for c in ROW_KEY if c not in COLS]
-    return stored(rows.select(*extra, *COLS, "is_fraud"))
+    return keep(rows.select(*extra, *COLS, "is_fraud"))
 
 
 def _split(rows):
@@ -64,14 +64,14 @@ def k15_boosted(spark, sf_dir):
 
 @register("k19_parameter_search")
 def k19(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir)
+    rows = feature_rows(spark, sf_dir, keep=stored)
     bounds = splits.series_bounds(rows.count(), 2)
     return models.search(rows, COLS, "is_fraud", "logistic", bounds, ORDER, n=2)
 
 
 @register("k20_temporal_cv")
 def k20(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir)
+    rows = feature_rows(spark, sf_dir, keep=stored)
     bounds = splits.series_bounds(rows.count(), 3)
     return models.summarise_folds(models.fit_folds(rows, COLS, "is_fraud", "logistic", bounds, ORDER))
 
@@ -159,7 +159,7 @@ def _format_rows(spark, sf_dir):
 
 def _format_tree(spark, sf_dir):
     """(rows with their split, a first boosted tree that can tell all formats apart)."""
-    rows = stored(_split(_format_rows(spark, sf_dir)))
+    rows = settle(_split(_format_rows(spark, sf_dir)))
     train_rows = rows.filter(F.col("split") == "train")
     cols = ["code", "steady"]
     return rows, models.train(train_rows, cols, "is_fraud", "boosted_trees", balanced=False, is_stored=True, maxIter=1, maxDepth=5)
@@ -168,7 +168,7 @@ def _format_tree(spark, sf_dir):
 @register("k15_saturated_logistic", with_transfers(f"SELECT payment_format, {sq('rate', 3)} AS probability FROM rate", *_RATES))
 def k15_saturated_logistic(spark, sf_dir):
     """Without a penalty, the probability of each format is its rate."""
-    rows = stored(_split(_format_rows(spark, sf_dir)))
+    rows = settle(_split(_format_rows(spark, sf_dir)))
     cols = [f"is_{k}" for k in range(1, 5)]
     model = models.train(rows.filter(F.col("split") == "train"), cols, "is_fraud", "logistic", balanced=False, is_stored=True, regParam=0.0, maxIter=200, tol=1e-12)
     out = models.score(model, rows.filter(F.col("split") == "train")).groupBy("payment_format").agg(F.max("probability").alias("probability"))

@@ -21,11 +21,11 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
     supplier = table(spark, sf_dir, "supplier")
     flagged = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)
-    # the sender's side first: the many lines are shuffled for one join, and with the flag, not its text
+    # lines go to the joins with the flag, not with the text it is made of
     line = line.withColumn("_flagged", F.when(flagged, 1).otherwise(0))
-    sent = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     return (
-        line.join(sent, F.col("l_orderkey") == F.col("o_orderkey"))
+        line.join(orders, line.l_orderkey == orders.o_orderkey)
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             "l_orderkey",
