@@ -3,6 +3,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from txnrisk.operators import windows as win
 
@@ -70,6 +71,53 @@ def test_rolling_rows_counts_rows_and_fills_deviation(moves, limit):
             assert got[r["id"]]["source_amount_std_7d"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("limit", [10_000, 200, 40])
+def test_rolling_rows_of_several_keys_meet_again(spark, limit):
+    # 200: only the key of smallest groups fits a task with its moments; 40: no key does
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 1, 2, 3, 4, 5, 6]), rng.choice(["a", "b", None]), rng.randrange(40), rng.choice([None, rng.random()])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k int, t string, at int, v double").repartition(3)
+    out = win.rolling_rows(df, ["t", "k"], ["at", "id"], ["v"], [3, 20], limit)
+    assert out.columns[:5] == df.columns and len(out.columns) == 21 and not [c for c in out.columns if c.startswith("_")]
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == 300
+    for name, spot in (("k", 1), ("t", 2)):
+        for value in {r[spot] for r in rows}:
+            own = sorted((r for r in rows if r[spot] == value), key=lambda r: (r[3], r[0]))
+            for i, r in enumerate(own):
+                for w in (3, 20):
+                    last = [x[4] for x in own[max(0, i - w + 1) : i + 1] if x[4] is not None]
+                    assert got[r[0]][f"{name}_v_count_{w}d"] == len(last)
+                    assert got[r[0]][f"{name}_v_sum_{w}d"] == pytest.approx(sum(last))
+                    assert got[r[0]][f"{name}_v_mean_{w}d"] == pytest.approx(statistics.mean(last) if last else 0.0)
+                    assert got[r[0]][f"{name}_v_std_{w}d"] == pytest.approx(statistics.stdev(last) if len(last) > 1 else 0.0)
+    assert win.rolling_rows(df.limit(0), ["t", "k"], ["at", "id"], ["v"], [3, 20], limit).count() == 0
+
+
+def test_rolling_rows_fill_little_disk(spark, request):
+    # small tables are joined as large ones are
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    request.addfinalizer(lambda old=spark.conf.get(broadcast): spark.conf.set(broadcast, old))
+    spark.conf.set(broadcast, "-1")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f.getName(): f.length() for f in blocks.getAllFiles().mkString("\n").split("\n") for f in [spark._jvm.java.io.File(f)] if f.getName().startswith("shuffle_")}
+
+    n = 40_000
+    random_rows = [F.xxhash64("id", F.lit(i)) for i in range(4)]
+    df = spark.range(n).select("id", *[F.pmod(c, F.lit(m)).alias(name) for c, m, name in zip(random_rows, (900, 90, 9), ("a", "b", "c"))], (F.pmod(random_rows[3], F.lit(10**7)) / 100).alias("v"))
+    # rows come from a shuffle
+    df = df.repartition(4, "a", "b").withColumn("at", F.pmod("a", F.lit(7)))
+    before = shuffled()
+    out = win.rolling_rows(df, ["a", "b", "c"], ["at", "id"], ["v"])
+    # what came before the last step has left nothing
+    assert sum(size for name, size in shuffled().items() if name not in before) < n
+    out.write.format("noop").mode("overwrite").save()
+    # rows, moments of two keys and what they are made of; 309 bytes a row when all columns of all keys moved
+    assert sum(size for name, size in shuffled().items() if name not in before) < 240 * n
+
+
 @pytest.mark.parametrize("limit", [10_000, 15])
 def test_short_run_needs_a_full_window(moves, limit):
     out = win.short_run_features(moves, "source", ["timestamp", "id"], limit=limit)
